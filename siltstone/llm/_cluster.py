@@ -48,11 +48,16 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: list[str], n: str, to
 
     Keys that hold HOT_SHARE of all rows or more number 1 / HOT_SHARE at most, because their
     counts add up to no more than total; they are broadcast. The other keys are shuffled and no
-    task can get more than HOT_SHARE of the rows for one of them.
+    task can get more than HOT_SHARE of the rows for one of them. rows is read once.
     """
     least = max(2, int(total * HOT_SHARE))
-    hot = counted.filter(F.col(n) >= least)
     out = [c for c in counted.columns if c not in key]
-    first = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    cold = first.filter(F.col("_hot").isNull()).drop("_hot", *out).join(counted.filter(F.col(n) < least), key, how)
-    return first.filter(F.col("_hot")).drop("_hot").unionByName(cold)
+    hot = counted.filter(F.col(n) >= least).select(*key, *(F.col(c).alias(f"_hot_{c}") for c in out), F.lit(True).alias("_hot"))
+    cold = counted.filter(F.col(n) < least).select(*key, F.lit(0).alias("_salt"), *out, F.lit(True).alias("_cold"))
+    first = rows.join(F.broadcast(hot), key, "left")
+    # rows of hot keys have their match by now; a salt that the other side lacks deals them out evenly
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(997)).cast("int"))
+    both = first.withColumn("_salt", salt).join(cold, [*key, "_salt"], "left")
+    if how == "inner":
+        both = both.filter(F.col("_hot") | F.col("_cold"))
+    return both.select(*rows.columns, *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in out))
