@@ -61,3 +61,12 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: list[str], n: str, to
     if how == "inner":
         both = both.filter(F.col("_hot") | F.col("_cold"))
     return both.select(*rows.columns, *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in out))
+
+
+#: A written table of up to so many narrow rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has BROADCAST_ROWS rows at most. df must be a written table of narrow rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -9,9 +9,10 @@ just similar enough shares no bucket with probability MISS at most. For 85 % tha
 Buckets become links without a list of all pairs in them:
 
 1. Documents with equal sets are one class; its smallest document stands for it.
-2. Each document is compared with the smallest leader (first member) of its buckets. A group
-   of n near copies takes n comparisons here and mostly becomes one component.
-3. Members that aren't in their leader's component are compared with every leader they have.
+2. Each document is compared with the smallest leader (first member) of its buckets of a few
+   bands. A group of n near copies takes n comparisons here and mostly becomes one component.
+3. Of all bands' buckets, only those that hold several components go on; members that aren't in
+   their leader's component are compared with every leader they have.
 4. In a bucket that still holds several components, members of different components are
    compared unless sizes or the triangle inequality of the Jaccard distance (both distances
    to the leader are known by then) rule a link out. Nothing is capped.
@@ -29,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._cluster import join_counted, stash
+from siltstone.llm._cluster import BROADCAST_ROWS, join_counted, sized, stash
 from siltstone.llm._textscan import NON_SPACE, Words, blocks, distinct_sets, mix64
 
 N_BANDS = 44
 MISS = 2e-6
 
+#: Bands that the first comparison uses.
+FIRST_BANDS = 4
+
 #: Shingles of one leader's members that one task compares before the members are split over more.
-GROUP_SHINGLES = 200_000
+GROUP_SHINGLES = 50_000
 
 
 def band_rows(percent: int) -> int:
@@ -166,69 +170,78 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 def link_components(sketched: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents in classes or components of two or more. sketched must be a written table."""
-    linked = lambda c, t: 100 * F.col(c) >= percent * F.col(t)
+    linked = 100 * F.col("common") >= percent * F.col("total")
     usable = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = usable.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
-    total = usable.count()
+    total = max(1, usable.count())
     repeated = stash(classes.filter(F.col("_n") > 1), "classes")
-    # a class's other members are left out below, all in one narrow join
-    in_class = stash(join_counted(usable.select("doc_id", "fp_a", "fp_b"), repeated, ["fp_a", "fp_b"], "_n", total, "inner").select("doc_id", "rep"), "members")
-    others = in_class.filter(F.col("doc_id") != F.col("rep")).select("doc_id").distinct()
-    reps = usable.join(others, "doc_id", "left_anti").select("doc_id", F.col("n_shingles").alias("n"), "bands")
-    entries = reps.select("doc_id", "n", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    buckets = stash(buckets.select("band", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("n_lead"), "_n"), "buckets")
-    in_bucket = stash(join_counted(entries, buckets, ["band"], "_n", max(1, total) * N_BANDS, "inner"), "entries")
+    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        in_class = usable.select("doc_id", "fp_a", "fp_b").join(F.broadcast(repeated), ["fp_a", "fp_b"])
+    else:
+        in_class = join_counted(usable.select("doc_id", "fp_a", "fp_b"), repeated, ["fp_a", "fp_b"], "_n", total, "inner")
+    in_class = stash(in_class.select("doc_id", "rep"), "members")
+    others = stash(in_class.filter(F.col("doc_id") != F.col("rep")).select("doc_id").distinct(), "others")
+    reps = usable.join(sized(others), "doc_id", "left_anti").select("doc_id", F.col("n_shingles").alias("n"), "bands")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    leads = in_bucket.filter(F.col("doc_id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    all_leads = stash(leads, "leads")
-    leads = all_leads.filter(fits)
-    candidates = leads.select(F.col("a").alias("_id")).union(leads.select("b"))
-    # members of a bucket that don't fit their leader may fit each other
-    unfit = all_leads.filter(~fits).select(F.col("b").alias("_id"))
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    docs, id_col, text_col = stash(plain.join(candidates.union(unfit).distinct(), "_id", "left_semi"), "texts"), "_id", "_text"
-    first = stash(leads.groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b")).alias("x")).select("x.a", "b", "x.n_a", "x.n_b"), "first")
-    tested = stash(compare(first, docs, k, id_col, text_col), "tested")
-    edges = tested.filter(linked("common", "total")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = stash(components(edges, "one"), "roots")
-
-    def rooted(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs whose documents aren't in one component yet. Known roots are few rows for each document, so joins are by document."""
-        counted = lambda side: pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).join(known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-        n = max(1, pairs.count())
-        out = join_counted(pairs, counted("a"), ["a"], "_n", n)
-        out = join_counted(out.drop("_n"), counted("b"), ["b"], "_n", n).drop("_n")
-        return out.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
-
-    second = rooted(leads.join(first.select("a", "b"), ["a", "b"], "left_anti"), roots)
-    second = stash(second, "second")
-    more = stash(compare(second, docs, k, id_col, text_col), "tested")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """Texts of the documents in pairs; texts are shuffled only where there are more of those than a broadcast takes."""
+        wanted = stash(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "wanted")
+        return stash(plain.join(sized(wanted), "_id", "left_semi"), "texts")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return stash(compare(pairs, texts_of(pairs), k, "_id", "_text"), "tested")
+
+    def open_buckets(roots: DataFrame | None, n_bands: int) -> DataFrame:
+        """(band, doc_id, n, root, lead, n_lead, root_lead): the members of those of the first n_bands kinds of buckets that hold several components."""
+        rooted = reps.join(sized(roots.select(F.col("node").alias("doc_id"), "root")), "doc_id", "left") if roots is not None else reps.withColumn("root", F.lit(None).cast("long"))
+        entries = rooted.select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.explode(F.slice("bands", 1, n_bands)).alias("band"))
+        buckets = entries.groupBy("band").agg(F.min(F.struct("doc_id", "n", "root")).alias("lead"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n"))
+        buckets = stash(buckets.filter("_low <> _high").select("band", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("n_lead"), F.col("lead.root").alias("root_lead"), "_n"), "buckets")
+        if buckets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            members = entries.join(F.broadcast(buckets), "band")
+        else:
+            members = join_counted(entries, buckets, ["band"], "_n", total * n_bands, "inner")
+        return stash(members.drop("_n"), "entries")
+
+    def led(members: DataFrame) -> DataFrame:
+        pairs = members.filter("root <> root_lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b"))
+        return pairs.filter(fits)
+
+    # a few bands and one leader for each document find most links of large groups
+    first = led(open_buckets(None, FIRST_BANDS)).groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b")).alias("x")).select("x.a", "b", "x.n_a", "x.n_b")
+    tested = compared(stash(first, "first"))
+    edges = tested.filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(edges, "first")
+    # all bands and all leaders, where components are still apart
+    members = open_buckets(roots, N_BANDS)
+    second = stash(led(members).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "second")
+    more = compared(second)
     tested = tested.unionByName(more)
-    new = more.filter(linked("common", "total")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if new.limit(1).count():
-        edges = edges.unionByName(new)
-        roots = stash(components(edges, "two"), "roots")
-    # what is left: buckets of several components, without the members in their leader's component
-    of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
-    several = rooted(all_leads, roots).select("a", "b").distinct()
-    open_buckets = in_bucket.join(several.select(F.col("a").alias("lead"), F.col("b").alias("doc_id")), ["lead", "doc_id"], "left_semi").select("band").distinct()
-    open_entries = in_bucket.join(open_buckets, "band", "left_semi").join(of("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    if more.filter(linked).limit(1).count():
+        edges = edges.unionByName(more.filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        roots = components(edges, "second")
+    # what is left: members of different components of a bucket, neither of them its leader
+    now = members.drop("root", "root_lead").join(sized(roots.select(F.col("node").alias("doc_id"), "root")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    apart = now.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("band")
     distance = tested.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("total")).alias("far"))
-    open_entries = stash(open_entries.join(distance, ["lead", "doc_id"], "left").filter(F.col("doc_id") != F.col("lead")).select("band", "doc_id", "n", "root", "far"), "open")
-    x, y = open_entries.alias("x"), open_entries.alias("y")
+    still = now.join(apart, "band", "left_semi").filter(F.col("doc_id") != F.col("lead")).join(distance, ["lead", "doc_id"], "left")
+    still = stash(still.select("band", "doc_id", "n", "root", "far"), "open")
+    x, y = still.alias("x"), still.alias("y")
     near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & near)
-    rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).filter(fits).distinct()
+    alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & near & alike)
+    rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
     rest = stash(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        new = stash(compare(rest, docs, k, id_col, text_col).filter(linked("common", "total")).select(F.col("a").alias("u"), F.col("b").alias("v")), "new")
+        new = compared(rest).filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if new.limit(1).count():
-            roots = stash(components(edges.unionByName(new), "three"), "roots")
+            roots = components(edges.unionByName(new), "rest")
     alone = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
     # members of classes take the component of the document that stands for them
-    class_root = repeated.select("rep", F.col("_n")).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "_n", F.coalesce("root", "rep").alias("component_id"))
-    by_class = join_counted(in_class, class_root.groupBy("rep").agg(F.sum("_n").alias("_n"), F.min("component_id").alias("component_id")), ["rep"], "_n", max(1, total), "inner").select("doc_id", "component_id")
+    class_root = repeated.groupBy("rep").agg(F.sum("_n").alias("_n")).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "_n", F.coalesce("root", "rep").alias("component_id"))
+    by_class = join_counted(in_class, class_root, ["rep"], "_n", total, "inner").select("doc_id", "component_id")
     return alone.unionByName(by_class).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
