@@ -29,6 +29,28 @@ def _byte_letters() -> dict[int, int]:
     return {b: 0x100 + i for i, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """Ids of parts, learned when first asked for."""
+
+    def __init__(self, encoder: WordEncoder):
+        super().__init__({"": b""})
+        self.encoder = encoder
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= KEEP_WORDS:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+            if not part:
+                return b""
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.encoder.learn(part)
+        self[part] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts, reusing the ids of words seen before.
 
@@ -43,8 +65,7 @@ class WordEncoder:
     def __init__(self, path: str, by_word: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.known = _Known(self)
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
 
@@ -65,31 +86,16 @@ class WordEncoder:
         if not self.by_word or "<|" in text:
             return self.whole([text])[0]
         parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.new
-        if unknown := [x for x in set(parts) if x not in known]:
-            if len(known) + len(unknown) > KEEP_WORDS and len(known) > 1:
-                self.old, self.new = known, {"": b""}
-                known, unknown = self.new, [x for x in set(parts) if x]
-            self._learn(unknown)
-        return b"".join(map(known.__getitem__, parts))
-
-    def _learn(self, unknown: list[str]) -> None:
-        known, old, hard = self.new, self.old, []
-        for x in unknown:
-            if x in old:
-                known[x] = old[x]
-                continue
-            low = x.lower() if x.isascii() else x.translate(_ASCII_LOWER)
-            stop = low[-1] if len(low) > 1 and low[-1] in ".," and low[-2].isascii() and low[-2].isalpha() else ""
-            word = low[:-1] if stop else low
-            if (ids := known.get(word) or old.get(word)) is None:
-                if not word.isalpha() or word != word.lower() or not is_normalized("NFC", word):
-                    hard.append(x)
-                    continue
-                ids = known[word] = self._model_ids(word)
-            known[x] = ids + self._model_ids(stop) if stop else ids
-        if hard:
-            known.update(zip(hard, self.whole(hard)))
+        return b"".join(map(self.known.__getitem__, parts))
+
+    def learn(self, x: str) -> bytes:
+        """Ids of a part that isn't known."""
+        low = x.lower() if x.isascii() else x.translate(_ASCII_LOWER)
+        stop = low[-1] if len(low) > 1 and low[-1] in ".," and low[-2].isascii() and low[-2].isalpha() else ""
+        word = low[:-1] if stop else low
+        if not word.isalpha() or word != word.lower() or not is_normalized("NFC", word):
+            return self.whole([x])[0]
+        return self._model_ids(word) + (self._model_ids(stop) if stop else b"")
 
     def _model_ids(self, word: str) -> bytes:
         written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
