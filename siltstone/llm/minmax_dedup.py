@@ -14,8 +14,10 @@ Buckets become links without a list of all pairs in them:
 3. Of all bands' buckets, only those that hold several components go on; members that aren't in
    their leader's component are compared with every leader they have.
 4. In a bucket that still holds several components, members of different components are
-   compared unless sizes or the triangle inequality of the Jaccard distance (both distances
-   to the leader are known by then) rule a link out. Nothing is capped.
+   compared unless sizes, the triangle inequality of the Jaccard distance (both distances to
+   the leader are known by then) or parity sketches rule a link out: each shingle that only
+   one of two sets has changes one of PARITY_BITS bits, so sketches never differ in more bits
+   than the sets in shingles. Nothing is capped and no link is lost.
 
 Every comparison is exact, on the full sets of 64-bit shingle hashes.
 """
@@ -78,11 +80,22 @@ def band_keys(sets: np.ndarray, offsets: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
-_SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("fp_a", T.LongType()), T.StructField("fp_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+PARITY_BITS = 512
+
+
+def parity_sketches(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text, PARITY_BITS bits as 64-bit integers: whether an odd number of its shingles fall on each bit."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    bits = np.bincount(owner * PARITY_BITS + (sets % np.uint64(PARITY_BITS)).astype(np.int64), minlength=n * PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(n, PARITY_BITS), axis=1).view(np.int64)
+
+
+_SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("fp_a", T.LongType()), T.StructField("fp_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
 
 
 def sketch(docs: DataFrame, k: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, two 64-bit set fingerprints and band keys (null without shingles)."""
+    """id_col, n_shingles, two 64-bit set fingerprints, band keys (null without shingles) and parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +111,7 @@ def sketch(docs: DataFrame, k: int, rows: int, id_col: str = "doc_id", text_col:
                         prints[i, full] = np.add.reduceat(mix64(sets ^ np.uint64(salt)), bounds[:-1]).view(np.int64)
                     for t, row in zip(full, band_keys(sets, bounds, rows).view(np.int64)):
                         bands[t] = row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp_a", "fp_b", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), pa.array(bands, pa.list_(pa.int64())), pa.array(list(parity_sketches(sets, at)), pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "parity"])
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), *_SKETCH]))
 
@@ -228,10 +241,15 @@ def link_components(sketched: DataFrame, docs: DataFrame, k: int, percent: int,
     distance = tested.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("total")).alias("far"))
     still = now.join(apart, "band", "left_semi").filter(F.col("doc_id") != F.col("lead")).join(distance, ["lead", "doc_id"], "left")
     still = stash(still.select("band", "doc_id", "n", "root", "far"), "open")
+    wanted = stash(still.select("doc_id").distinct(), "wanted")
+    parity = stash(usable.select("doc_id", "parity").join(sized(wanted), "doc_id", "left_semi"), "parity")
+    still = still.join(sized(parity), "doc_id")
     x, y = still.alias("x"), still.alias("y")
+    apart_bits = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    sketches = (100 + percent) * apart_bits <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
     near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & near & alike)
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & near & alike & sketches)
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
     rest = stash(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():

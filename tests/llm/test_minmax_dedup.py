@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from siltstone.llm import minmax_dedup
 
 
@@ -72,3 +74,15 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
 def test_bands():
     assert minmax_dedup.band_rows(85) == 8
     assert minmax_dedup.band_rows(80) == 6
+
+
+def test_sketches_never_differ_more_than_sets():
+    r = np.random.RandomState(4)
+    sets = [np.unique(r.randint(0, 2**62, n).astype(np.uint64)) for n in (0, 1, 30, 400, 3000)]
+    sets.append(sets[3][20:])
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sketches = minmax_dedup.parity_sketches(np.concatenate(sets), offsets)
+    for a, x in zip(sets, sketches):
+        for b, y in zip(sets, sketches):
+            bits = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b))
