@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAD_CONSISTENCY = 0.6745
@@ -55,3 +55,40 @@ def welford(rows: DataFrame, group: str, value: str, success: F.Column) -> DataF
 def geometric_mean(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Geometric mean of each group; 0 where a value isn't positive."""
     return rows.groupBy(group).agg(F.when(F.min(value) <= 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.log(F.when(F.col(value) > 0, F.col(value)))))).alias("geometric_mean"))
+
+
+def median_and_mad(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Median and median absolute deviation of each group."""
+    med = rows.groupBy(group).agg(F.median(value).alias("median"))
+    return rows.join(med, group).groupBy(group).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+
+
+def conformal_p(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, n, p): the right-tail conformal p-value of each value against its group. Equal values are one row before they are ordered."""
+    ties = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(group)
+    upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("n").over(w)
+    return ties.select(group, value, "n", ((total - upto + 1) / (total + 1)).alias("p"))
+
+
+def ucb(rows: DataFrame, group: str, value: str, alpha: float = 1.0) -> DataFrame:
+    """Upper confidence score of each group: mean plus annealed exploration. Variances stay within 0.001 and 1 and are 1 for fewer than two rows."""
+    seen = rows.groupBy(group).agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.var_samp(value).alias("_var"))
+    total = seen.agg(F.sum("_n").alias("_total"))
+    var = F.when(F.col("_n") < 2, 1.0).otherwise(F.greatest(F.lit(0.001), F.least(F.lit(1.0), F.col("_var"))))
+    rate = alpha / F.log(F.col("_total") + F.lit(2.718281828459045))
+    return seen.crossJoin(F.broadcast(total)).select(group, (F.col("_mean") + rate * F.sqrt(var / (F.col("_n") + 1))).alias("ucb"))
+
+
+def degree_outliers(nodes: DataFrame, edges: DataFrame, node: str, sigmas: float = 2.0, least: int = 3) -> DataFrame:
+    """Nodes with least or more edges into them and over sigmas population deviations more than the mean of all nodes."""
+    degrees = nodes.select(node).join(edges.groupBy(node).agg(F.count(F.lit(1)).alias("_d")), node, "left").select(node, F.coalesce("_d", F.lit(0)).alias("degree"))
+    stats = degrees.agg(F.avg("degree").alias("_m"), F.stddev_pop("degree").alias("_sd"))
+    found = degrees.crossJoin(F.broadcast(stats)).filter((F.col("degree") > F.col("_m") + sigmas * F.col("_sd")) & (F.col("degree") >= least))
+    return found.select(node, "degree", F.when(F.col("_sd") > 0, (F.col("degree") - F.col("_m")) / F.col("_sd")).otherwise(F.lit(0.0)).alias("z"))
+
+
+def e_product(rows: DataFrame, group: str, e_value: Column) -> DataFrame:
+    """Logarithm of the product of each group's e-values, each 1e-9 at least, and their mean."""
+    return rows.groupBy(group).agg(F.sum(F.log(F.greatest(e_value, F.lit(1e-9)))).alias("log_product"), F.avg(e_value).alias("mean"))

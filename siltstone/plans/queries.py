@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import signals
 from siltstone.functions import text as tx
-from siltstone.operators import blocks, graph, ledger, ranking, statistics
+from siltstone.operators import blocks, graph, ledger, ranking, selection, statistics
 
 #: Terms of the ranking query; frequent words of the tables' invented prose.
 QUERY_TERMS = ["the", "thand", "pour", "nicht", "ciónes"]
@@ -309,3 +310,197 @@ def w1_rank_and_scale(spark, sf_dir):
     clamp = lambda c: F.greatest(F.lit(0.05), F.least(F.lit(1.0), c))
     scaled = F.when(F.col("hi") - F.col("lo") < 1e-10, F.lit(0.5)).otherwise(clamp((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 0.95 + 0.05))
     return ranked.select("p_partkey", F.round(clamp((1 - F.col("r") / F.col("n")) * 0.95 + 0.05), 6).alias("rank_score"), F.round(scaled, 6).alias("scaled"))
+
+
+def _any_sql(column: str, needles: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{n}')" for n in needles) + ")"
+
+
+_NOT_CODE_SQL = signals.NOT_CODE.replace("'", "''")
+
+
+@_register(f"""
+WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, {_any_sql("t", signals.CREDENTIALS)} OR len(list_filter(string_split(t, chr(10)),
+  lambda x: NOT regexp_matches(x, '{_NOT_CODE_SQL}') AND contains(x, '=') AND {_any_sql("x", signals.SECRET_NAMES)})) > 0 AS safety,
+  CAST(len(list_filter(string_split(t, chr(10)), lambda x: {_any_sql("x", signals.ANCHORS)})) AS BIGINT) AS anchors FROM t
+""")
+def f6_safety_and_anchors(spark, sf_dir):
+    """F6 and F27."""
+    return _t(spark, sf_dir, "documents").select("doc_id", signals.has_safety_signal(F.col("text")).alias("safety"), signals.anchor_lines(F.col("text")).alias("anchors"))
+
+
+@_register("""
+WITH b AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'SystemMessage' WHEN 'user' THEN 'UserMessage' WHEN 'tool' THEN 'ToolResult' WHEN 'function' THEN 'ToolResult'
+    ELSE CASE WHEN role = 'assistant' AND regexp_matches(text, '^\\s*<(thinking|reasoning)>') THEN 'ThinkingBlock' ELSE 'AssistantMessage' END END AS kind,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, turn, kind, p >= n - 2 AS protected, round(CASE WHEN n <= 1 THEN 1.0 ELSE 0.4 * exp(-p / (0.15 * n)) + 0.4 * exp(-(n - p - 1) / (0.15 * n)) + 0.2 END, 6) AS attention FROM b
+""")
+def w16_blocks_and_attention(spark, sf_dir):
+    """F12, W5 and W16."""
+    w = Window.partitionBy("conv_id")
+    t = _t(spark, sf_dir, "conversations").withColumn("p", F.row_number().over(w.orderBy("turn")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    return t.select("conv_id", "turn", signals.block_kind(F.col("role"), F.col("text")).alias("kind"), (F.col("p") >= F.col("n") - 2).alias("protected"), F.round(signals.attention_weight(F.col("p"), F.col("n")), 6).alias("attention"))
+
+
+@_register("SELECT doc_id, round(0.3 + 0.7 / (1 + exp(-ln(greatest(1, length(text) // 4) / 80))), 6) AS mass FROM documents")
+def x31_mass_factor(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.round(signals.mass_factor(tx.token_estimate(F.col("text"))), 6).alias("mass"))
+
+
+@_register("""
+WITH p AS (SELECT p_partkey, p_size * 1000 AS total, p_partkey % 3 AS files, p_retailprice / 2000 AS e FROM part),
+a AS (SELECT *, CAST(trunc(least(greatest(total * 0.05, 50), 500)) AS BIGINT) AS l1 FROM p),
+b AS (SELECT *, CAST(trunc(CAST(greatest(total - l1, 0) AS DOUBLE) * CAST(CASE WHEN e > 0.7 THEN 0.20 WHEN e < 0.3 THEN 0.35 ELSE 0.25 END AS DOUBLE)) AS BIGINT) AS l2 FROM a)
+SELECT p_partkey, CASE WHEN total > 0 AND files > 0 THEN l1 ELSE 0 END AS level1, CASE WHEN total > 0 AND files > 0 THEN l2 ELSE 0 END AS level2,
+  CAST(CASE WHEN total > 0 AND files > 0 THEN greatest(total - l1, 0) - l2 ELSE 0 END AS BIGINT) AS level3 FROM b
+""")
+def k18_budget_split(spark, sf_dir):
+    levels = signals.split_budget(F.col("p_size") * 1000, F.col("p_partkey") % 3, F.col("p_retailprice") / 2000)
+    return _t(spark, sf_dir, "part").select("p_partkey", *(c.alias(f"level{i}") for i, c in enumerate(levels, 1)))
+
+
+@_register("SELECT event_id, CAST(bit_count(xor(event_id, user_id)) AS BIGINT) AS distance, round(greatest(cos(bit_count(xor(event_id, user_id)) * pi() / 64), 0), 6) AS cosine FROM events")
+def x16_hamming_cosine(spark, sf_dir):
+    """X15 and X16 on pairs of integers as fingerprints."""
+    d = signals.hamming(F.col("event_id"), F.col("user_id"))
+    return _t(spark, sf_dir, "events").select("event_id", d.cast("long").alias("distance"), F.round(signals.simhash_cosine(d), 6).alias("cosine"))
+
+
+def _grams_sql(n: int) -> str:
+    return f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+
+
+_SPACED = "list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')"
+
+
+@_register(f"""
+WITH t AS (SELECT conv_id, turn, list_distinct({_grams_sql(3)}) AS t FROM (SELECT conv_id, turn, {_SPACED} AS w FROM conversations)),
+n AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY conv_id ORDER BY turn), []) AS x FROM t)
+SELECT conv_id, turn, round(CASE WHEN len(list_distinct(list_concat(t, x))) > 0 THEN len(list_intersect(t, x)) / len(list_distinct(list_concat(t, x))) ELSE 0 END, 6) AS likeness FROM n
+""")
+def u3_trigram_jaccard(spark, sf_dir):
+    t = _t(spark, sf_dir, "conversations").select("conv_id", "turn", signals.ngrams(F.col("text"), 3).alias("t"))
+    t = t.withColumn("x", F.coalesce(F.lead("t").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>")))
+    return t.select("conv_id", "turn", F.round(tx.term_jaccard(F.col("t"), F.col("x")), 6).alias("likeness"))
+
+
+@_register(f"""
+WITH d AS (SELECT doc_id, list_distinct({_grams_sql(2)}) AS g FROM (SELECT doc_id, {_SPACED} AS w FROM documents)),
+o AS (SELECT g, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(g) AS g FROM d) GROUP BY g HAVING count(*) = 1), a AS (SELECT doc_id, count(*) AS n FROM o GROUP BY 1)
+SELECT doc_id, round(CASE WHEN len(g) > 0 THEN 1 - coalesce(n, 0) / len(g) ELSE 0 END, 6) AS redundancy FROM d LEFT JOIN a USING (doc_id)
+""")
+def u5_ngram_redundancy(spark, sf_dir):
+    return selection.ngram_redundancy(_t(spark, sf_dir, "documents"), "doc_id", signals.ngrams(F.col("text"), 2)).withColumn("redundancy", F.round("redundancy", 6))
+
+
+@_register(f"""
+SELECT term, round(ln((SELECT count(*) FROM documents) / (1 + df)) + 1, 6) AS idf FROM (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_WORDS})) AS term FROM documents) GROUP BY term)
+""")
+def a18_smoothed_idf(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    df = docs.select(F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(total)).select("term", F.round(F.log(F.col("n") / (1 + F.col("df"))) + 1, 6).alias("idf"))
+
+
+@_register("""
+SELECT event_type, strftime(ts, '%Y-%m') AS month, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY GROUPING SETS ((event_type), (strftime(ts, '%Y-%m')), ())
+""")
+def a3_usage_summary(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_type", F.date_format("ts", "yyyy-MM").alias("month"), "user_id")
+    return e.groupingSets([["event_type"], ["month"], []], "event_type", "month").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@_register("""
+SELECT s AS state, count(o_orderkey) AS n, round(coalesce(avg(o_totalprice), 0), 4) AS mean FROM (SELECT unnest(['F', 'O', 'P', 'X']) AS s) LEFT JOIN orders ON o_orderstatus = s GROUP BY s
+""")
+def a5_state_counts(spark, sf_dir):
+    """Listed states without rows count zero."""
+    counts = _t(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("state")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    states = spark.range(1).select(F.explode(F.array(*map(F.lit, "FOPX"))).alias("state"))
+    return states.join(counts, "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
+@_register("""
+WITH c AS (SELECT c_custkey, count(o_orderkey) AS degree FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1), s AS (SELECT avg(degree) AS m, stddev_pop(degree) AS sd FROM c)
+SELECT c_custkey, degree, round((degree - m) / sd, 4) AS z FROM c, s WHERE degree > m + 2 * sd AND degree >= 3
+""")
+def a10_degree_outliers(spark, sf_dir):
+    edges = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return statistics.degree_outliers(_t(spark, sf_dir, "customer"), edges, "c_custkey").withColumn("z", F.round("z", 4))
+
+
+@_register("""
+WITH t AS (SELECT event_type, value, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL)
+SELECT event_type, value, n, round((sum(n) OVER (PARTITION BY event_type) - sum(n) OVER (PARTITION BY event_type ORDER BY value) + 1) / (sum(n) OVER (PARTITION BY event_type) + 1), 6) AS p FROM t
+""")
+def a27_conformal_p(spark, sf_dir):
+    return statistics.conformal_p(_t(spark, sf_dir, "events"), "event_type", "value").withColumn("p", F.round("p", 6))
+
+
+@_register("SELECT user_id, round(sum(ln(greatest(value / 50, 1e-9))), 5) AS log_product, round(avg(value / 50), 6) AS mean FROM events GROUP BY 1")
+def a29_e_values(spark, sf_dir):
+    found = statistics.e_product(_t(spark, sf_dir, "events"), "user_id", F.col("value") / 50)
+    return found.select("user_id", F.round("log_product", 5).alias("log_product"), F.round("mean", 6).alias("mean"))
+
+
+@_register("""
+WITH g AS (SELECT user_id, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1)
+SELECT user_id, round(m + 1 / ln((SELECT sum(n) FROM g) + exp(1)) * sqrt(CASE WHEN n < 2 THEN 1 ELSE greatest(0.001, least(1, v)) END / (n + 1)), 5) AS ucb FROM g
+""")
+def a37_ucb(spark, sf_dir):
+    return statistics.ucb(_t(spark, sf_dir, "events"), "user_id", "value").withColumn("ucb", F.round("ucb", 5))
+
+
+@_register("""
+WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1)
+SELECT event_type, round(any_value(med), 6) AS median, round(median(abs(value - med)), 6) AS mad FROM events JOIN m USING (event_type) GROUP BY 1
+""")
+def a53_median_and_mad(spark, sf_dir):
+    found = statistics.median_and_mad(_t(spark, sf_dir, "events"), "event_type", "value")
+    return found.select("event_type", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+
+
+@_register("SELECT source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY 1")
+def a57_coverage_gaps(spark, sf_dir):
+    """Documents without a label, by source."""
+    return _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("SELECT count(*) AS users FROM (SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error')")
+def u7_users_in_both(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.filter("event_type = 'purchase'").select("user_id").intersect(e.filter("event_type = 'error'").select("user_id")).agg(F.count(F.lit(1)).alias("users"))
+
+
+@_register("""
+WITH r AS (SELECT *, coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_retailprice / p_size DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM part)
+SELECT p_brand, round(sum(p_retailprice * greatest(0, least(1, (100 - b) / p_size))), 4) AS bound FROM r GROUP BY 1
+""")
+def k17_fractional_bound(spark, sf_dir):
+    return selection.fractional_bound(_t(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_retailprice", "p_size", 100).withColumn("bound", F.round("bound", 4))
+
+
+@_register("""
+SELECT p_partkey, p_brand FROM part x WHERE NOT EXISTS (SELECT 1 FROM part y WHERE y.p_brand = x.p_brand AND y.p_retailprice <= x.p_retailprice AND y.p_size >= x.p_size
+  AND (y.p_retailprice < x.p_retailprice OR y.p_size > x.p_size))
+""")
+def k33_pareto(spark, sf_dir):
+    return selection.pareto(_t(spark, sf_dir, "part"), "p_brand", "p_retailprice", "p_size").select("p_partkey", "p_brand")
+
+
+@_register("SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 32")
+def k34_claim_due(spark, sf_dir):
+    return selection.claim_due(_t(spark, sf_dir, "events"), F.col("event_type") == "error", "ts", "event_id").select("event_id", "user_id")
+
+
+@_register("""
+WITH t AS (SELECT l_orderkey, l_partkey, max(l_quantity) AS r FROM lineitem GROUP BY ALL)
+SELECT x.l_partkey AS a, y.l_partkey AS b, round(0.1 * sum(x.r), 6) AS strength, count(*) AS n FROM t x JOIN t y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey
+GROUP BY ALL ORDER BY strength DESC, a, b LIMIT 20
+""")
+def k35_top_pairs(spark, sf_dir):
+    """Parts of the same orders, with the quantity as reward."""
+    pairs = selection.chosen_together(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_quantity")
+    return selection.top_pairs(pairs.withColumn("strength", F.round("strength", 6)), 20)
