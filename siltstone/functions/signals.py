@@ -78,5 +78,14 @@ def simhash_cosine(distance: Column) -> Column:
 def ngrams(text: Column, n: int) -> Column:
     """All runs of n words between white space; none in shorter or null texts."""
     w = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<string>"))
+    count = F.greatest(F.size(w) - (n - 1), F.lit(0))
+    # shifted copies are zipped: a lambda that uses w would split the text again for each word
+    out = F.slice(w, 1, count)
+    for shift in range(1, n):
+        out = F.zip_with(out, F.slice(w, 1 + shift, count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
+
+
+def hashed(values: Column) -> Column:
+    """64-bit hashes of an array's strings. Spark compares arrays of integers by a hash set, but those of strings pair by pair, which is too slow for long texts."""
+    return F.transform(values, lambda x: F.xxhash64(x))

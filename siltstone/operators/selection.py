@@ -47,7 +47,7 @@ def ngram_redundancy(docs: DataFrame, key: str, grams: Column) -> DataFrame:
     """(key, redundancy): the share of a text's different n-grams that other texts have too; 0 without n-grams.
 
     An n-gram of one text is counted for that text straight from its group, so n-grams are
-    shuffled once, combined before, and never joined back. key is unique.
+    shuffled once, combined before, and never joined back. grams are 64-bit hashes; key is unique.
     """
     each = docs.select(key, F.array_distinct(grams).alias("_grams"))
     owners = each.select(key, F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias(key))

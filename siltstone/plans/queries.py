@@ -380,8 +380,8 @@ n AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY conv_id ORDER BY turn), [])
 SELECT conv_id, turn, round(CASE WHEN len(list_distinct(list_concat(t, x))) > 0 THEN len(list_intersect(t, x)) / len(list_distinct(list_concat(t, x))) ELSE 0 END, 6) AS likeness FROM n
 """)
 def u3_trigram_jaccard(spark, sf_dir):
-    t = _t(spark, sf_dir, "conversations").select("conv_id", "turn", signals.ngrams(F.col("text"), 3).alias("t"))
-    t = t.withColumn("x", F.coalesce(F.lead("t").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>")))
+    t = _t(spark, sf_dir, "conversations").select("conv_id", "turn", signals.hashed(signals.ngrams(F.col("text"), 3)).alias("t"))
+    t = t.withColumn("x", F.coalesce(F.lead("t").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<long>")))
     return t.select("conv_id", "turn", F.round(tx.term_jaccard(F.col("t"), F.col("x")), 6).alias("likeness"))
 
 
@@ -391,7 +391,7 @@ o AS (SELECT g, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(g) AS g FROM d
 SELECT doc_id, round(CASE WHEN len(g) > 0 THEN 1 - coalesce(n, 0) / len(g) ELSE 0 END, 6) AS redundancy FROM d LEFT JOIN a USING (doc_id)
 """)
 def u5_ngram_redundancy(spark, sf_dir):
-    return selection.ngram_redundancy(_t(spark, sf_dir, "documents"), "doc_id", signals.ngrams(F.col("text"), 2)).withColumn("redundancy", F.round("redundancy", 6))
+    return selection.ngram_redundancy(_t(spark, sf_dir, "documents"), "doc_id", signals.hashed(signals.ngrams(F.col("text"), 2))).withColumn("redundancy", F.round("redundancy", 6))
 
 
 @_register(f"""
@@ -400,7 +400,7 @@ SELECT term, round(ln((SELECT count(*) FROM documents) / (1 + df)) + 1, 6) AS id
 def a18_smoothed_idf(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = docs.select(F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = ranking.term_counts(docs, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(total)).select("term", F.round(F.log(F.col("n") / (1 + F.col("df"))) + 1, 6).alias("idf"))
 
 
