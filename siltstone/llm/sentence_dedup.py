@@ -2,7 +2,9 @@
 
 Spans are runs of consecutive sentences: from each sentence on and back, the shortest run of
 RUN sentences or more with RUN_WORDS words or more, or of fewer sentences with LONG_WORDS
-words. So each sentence of a passage of twice RUN_WORDS words lies in a span inside it. Spans are
+words. So if the whole sentences of a passage are that many, each of them lies in a span inside
+it, wherever the passage starts and ends. Lone sentences of under LONG_WORDS words, runs of
+under RUN_WORDS words and sentences that are cut differently in both texts stay. Spans are
 hashed (128 bits) and joined over all documents; the one with the least (document, sentence)
 is the first of its kind, and sentences that any other one covers are removed.
 """
@@ -21,12 +23,12 @@ from pyspark.sql import types as T
 
 from siltstone.llm._cluster import join_counted, stash
 
-RUN = 3
-RUN_WORDS = 20
-LONG_WORDS = 40
+RUN = 2
+RUN_WORDS = 12
+LONG_WORDS = 20
 
 #: A sentence ends after . ! or ? (with closing quotes or brackets) before white space, and at a line's end.
-_SENTENCE = re.compile(r"""\S[^\n]*?(?:[.!?]["')\]]*(?=\s|$)|(?=\n|$))\s*""")
+_SENTENCE = re.compile(r"""\S[^\n.!?]*+(?:[.!?](?!["')\]]*+(?:\s|$))[^\n.!?]*+)*+(?:[.!?]["')\]]*+)?\s*+""")
 _ASCII_LOWER = str.maketrans({i: i + 32 for i in range(65, 91)})
 
 
@@ -37,31 +39,15 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def spans(words: list[int]) -> set[tuple[int, int]]:
     """(first, end) of the spans of sentences that have so many words."""
-    found = set()
     n = len(words)
-    sums = [0]
-    for w in words:
-        sums.append(sums[-1] + w)
-
-    def enough(a: int, b: int) -> bool:
-        return (b - a >= RUN and sums[b] - sums[a] >= RUN_WORDS) or sums[b] - sums[a] >= LONG_WORDS
-
-    end = 0
-    for a in range(n):
-        end = max(end, a + 1)
-        while end <= n and not enough(a, end):
-            end += 1
-        if end > n:
-            break
-        found.add((a, end))
-    start = n
-    for b in range(n, 0, -1):
-        start = min(start, b - 1)
-        while start >= 0 and not enough(start, b):
-            start -= 1
-        if start < 0:
-            break
-        found.add((start, b))
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    at = np.arange(n)
+    end = np.maximum(at + RUN, np.searchsorted(sums, sums[:-1] + RUN_WORDS))
+    end = np.minimum(end, np.searchsorted(sums, sums[:-1] + LONG_WORDS))
+    start = np.minimum(at + 1 - RUN, np.searchsorted(sums, sums[1:] - RUN_WORDS, side="right") - 1)
+    start = np.maximum(start, np.searchsorted(sums, sums[1:] - LONG_WORDS, side="right") - 1)
+    found = set(zip(at[end <= n].tolist(), end[end <= n].tolist()))
+    found.update(zip(start[start >= 0].tolist(), (at[start >= 0] + 1).tolist()))
     return found
 
 
