@@ -9,11 +9,13 @@ identifiers pile up near 0.
 
 False discoveries are controlled in each stratum of encoding and length: of the candidates
 with p >= t those that evenly spread p-values (estimated from p > 1/2) don't account for are
-false; t is the least twentieth with an estimated share of them of MAX_FALSE at most.
+false; t is the least twentieth with an estimated share of them of MAX_FALSE at most. Each
+different string counts once, however many copies it has, and all its copies are judged alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -90,7 +92,7 @@ def battery(token: str) -> tuple[int, float]:
     return size, min(1.0, 3 * min(p_uniform, p_runs, p_serial))
 
 
-_CANDIDATES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("stratum", T.IntegerType()), T.StructField("bin", T.IntegerType())]))
+_CANDIDATES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("stratum", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("key", T.LongType())]))
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -98,7 +100,7 @@ def candidates(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -
     """keep columns, base (spans of the patterns) and found (tested candidates that no base span overlaps) of each row."""
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("base", _SPANS), T.StructField("found", _CANDIDATES)])
     base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    found_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32())]))
+    found_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32()), ("key", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +114,7 @@ def candidates(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -
                         continue
                     size, p = battery(m[0])
                     length = sum(m.end() - m.start() >= edge for edge in LENGTHS)
-                    found.append({"start": m.start(), "end": m.end(), "stratum": size * 10 + length, "bin": min(BINS - 1, int(p * BINS))})
+                    found.append({"start": m.start(), "end": m.end(), "stratum": size * 10 + length, "bin": min(BINS - 1, int(p * BINS)), "key": int.from_bytes(hashlib.blake2b(m[0].encode(), digest_size=8).digest(), "little", signed=True)})
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
                 founds.append(found)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(bases, base_type), pa.array(founds, found_type)], names=[f.name for f in schema])
@@ -121,9 +123,11 @@ def candidates(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -
 
 
 def thresholds(tested: DataFrame, max_false: float = MAX_FALSE) -> dict[int, int]:
-    """The least bin that counts as random in each stratum that has one; from counts of strata and bins alone, 300 rows at most."""
+    """The least bin that counts as random in each stratum that has one; from counts of different strings by stratum and bin, 600 rows at most."""
     counts: dict[int, list[int]] = {}
-    for r in tested.select(F.explode("found").alias("c")).groupBy("c.stratum", "c.bin").count().collect():
+    # bin 0 never passes and counts nowhere; copies are folded before the shuffle
+    strings = tested.select(F.explode("found").alias("c")).filter(F.col("c.bin") > 0).select("c.stratum", "c.bin", "c.key").distinct()
+    for r in strings.groupBy("stratum", "bin").count().collect():
         counts.setdefault(r["stratum"], [0] * BINS)[r["bin"]] = r["count"]
     out = {}
     for stratum, bins in counts.items():
