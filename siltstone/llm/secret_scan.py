@@ -1,7 +1,7 @@
 """Secret scans by patterns and a battery of randomness tests (operator 2).
 
 Beyond the fixed patterns, every run of 20 or more characters of the base64 alphabets is a
-candidate. Its encoding is inferred (hex, base32, base64) and its symbols are tested for
+candidate, with the padding at its end; a '=' inside parts a name from its value. Its encoding is inferred (hex, base32, base64) and its symbols are tested for
 uniformity (chi-squared over eight equal cells of the alphabet), for runs above and below the
 alphabet's middle and for lag-1 serial correlation; the battery's p-value is three times the
 least of the three, 1 at most. A random secret has a p-value spread evenly; words and
@@ -43,7 +43,7 @@ LENGTHS = (20, 24, 32, 48, 96)
 _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 _BASE64 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {"-": 62, "_": 63}
 _BASE32 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")}
 _HEXES = {c: int(c, 16) for c in "0123456789abcdefABCDEF"}

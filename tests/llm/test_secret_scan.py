@@ -45,3 +45,11 @@ def iter_keys(r, least, most, n):
         if least <= secret_scan.battery(k)[1] < most:
             n -= 1
             yield k
+
+
+def test_values_after_an_inner_equals_sign_are_tested_alone(spark):
+    r = random.Random(3)
+    names = ["aws_secret_access_key=", "private_key=", "AccountKey=", "DB_PASS=", "https://x.org/a?sig=", "A_LONG_NAME_OF_A_VARIABLE="]
+    values = [k + r.choice(["", "=", "=="]) for k in iter_keys(r, 0.5, 1.1, 60)]
+    texts = [f"x {names[i % 6]}{v} y" for i, v in enumerate(values)]
+    assert found(spark, texts) == [[v] for v in values]
