@@ -1,8 +1,9 @@
 """Secret scans by patterns and a battery of randomness tests (operator 2).
 
 Beyond the fixed patterns, every run of 20 or more characters of the base64 alphabets is a
-candidate, with the padding at its end; a '=' inside parts a name from its value. Its encoding is inferred (hex, base32, base64) and its symbols are tested for
-uniformity (chi-squared over eight equal cells of the alphabet), for runs above and below the
+candidate, with the padding at its end; a '=' inside parts a name from its value. Its encoding is inferred (hex, base32 and base36 of either case, base64; lower-case base32 and
+base36 only with a digit, as else it may be a word) and its symbols are tested for
+uniformity (chi-squared over eight or nine equal cells of the alphabet), for runs above and below the
 alphabet's middle and for lag-1 serial correlation; the battery's p-value is three times the
 least of the three, 1 at most. A random secret has a p-value spread evenly; words and
 identifiers pile up near 0.
@@ -46,8 +47,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 _BASE64 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {"-": 62, "_": 63}
 _BASE32 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")}
+_BASE36 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")}
+_LOWER32 = {c.lower(): i for c, i in _BASE32.items()}
+_LOWER36 = {c.lower(): i for c, i in _BASE36.items()}
 _HEXES = {c: int(c, 16) for c in "0123456789abcdefABCDEF"}
 
+#: (number in strata, symbols, cells, values) of the alphabets, the first that has all symbols of a candidate is inferred.
+_ALPHABETS = ((16, 16, 8, _HEXES), (32, 32, 8, _BASE32), (33, 32, 8, _LOWER32), (36, 36, 9, _BASE36), (37, 36, 9, _LOWER36), (64, 64, 8, _BASE64))
+_DIGIT = re.compile("[0-9]")
+
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns, in code points, by start and then kind."""
@@ -63,24 +71,26 @@ def _upper_normal(z: float) -> float:
 
 
 def battery(token: str) -> tuple[int, float]:
-    """(alphabet size, p-value) of a candidate."""
+    """(number of the inferred alphabet, p-value) of a candidate."""
     body = token.rstrip("=")
-    for size, table in ((16, _HEXES), (32, _BASE32), (64, _BASE64)):
-        if all(c in table for c in body):
+    symbols = set(body)
+    for kind, size, n_cells, table in _ALPHABETS:
+        if symbols <= table.keys() and not (kind in (33, 37) and not _DIGIT.search(body)):
             break
     else:
         return 64, 0.0
-    if size == 16 and any(c.islower() for c in body) and any(c.isupper() for c in body):
-        size, table = 64, _BASE64
+    if kind == 16 and any(c.islower() for c in body) and any(c.isupper() for c in body):
+        kind, size, n_cells, table = _ALPHABETS[-1]
     values = [table[c] for c in body]
     n = len(values)
     if n < LENGTHS[0]:
-        return size, 0.0
-    cells = [0] * 8
+        return kind, 0.0
+    cells = [0] * n_cells
     for v in values:
-        cells[v * 8 // size] += 1
-    chi = sum(c * c for c in cells) * 8 / n - n
-    wilson = ((max(chi, 0) / 7) ** (1 / 3) - (1 - 2 / 63)) / math.sqrt(2 / 63)
+        cells[v * n_cells // size] += 1
+    chi = sum(c * c for c in cells) * n_cells / n - n
+    free = n_cells - 1
+    wilson = ((max(chi, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
     p_uniform = _upper_normal(wilson)
     above = [2 * v >= size for v in values]
     runs = 1 + sum(a != b for a, b in zip(above, above[1:]))
@@ -89,7 +99,7 @@ def battery(token: str) -> tuple[int, float]:
     spread = (size * size - 1) / 12
     serial = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:])) / spread
     p_serial = 2 * _upper_normal(abs(serial) / math.sqrt(n - 1))
-    return size, min(1.0, 3 * min(p_uniform, p_runs, p_serial))
+    return kind, min(1.0, 3 * min(p_uniform, p_runs, p_serial))
 
 
 _CANDIDATES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("stratum", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("key", T.LongType())]))
@@ -112,9 +122,9 @@ def candidates(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -
                 for m in _CANDIDATE.finditer(text):
                     if any(s < m.end() and m.start() < e for _, s, e in base):
                         continue
-                    size, p = battery(m[0])
+                    kind, p = battery(m[0])
                     length = sum(m.end() - m.start() >= edge for edge in LENGTHS)
-                    found.append({"start": m.start(), "end": m.end(), "stratum": size * 10 + length, "bin": min(BINS - 1, int(p * BINS)), "key": int.from_bytes(hashlib.blake2b(m[0].encode(), digest_size=8).digest(), "little", signed=True)})
+                    found.append({"start": m.start(), "end": m.end(), "stratum": kind * 10 + length, "bin": min(BINS - 1, int(p * BINS)), "key": int.from_bytes(hashlib.blake2b(m[0].encode(), digest_size=8).digest(), "little", signed=True)})
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
                 founds.append(found)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(bases, base_type), pa.array(founds, found_type)], names=[f.name for f in schema])

@@ -53,3 +53,21 @@ def test_values_after_an_inner_equals_sign_are_tested_alone(spark):
     values = [k + r.choice(["", "=", "=="]) for k in iter_keys(r, 0.5, 1.1, 60)]
     texts = [f"x {names[i % 6]}{v} y" for i, v in enumerate(values)]
     assert found(spark, texts) == [[v] for v in values]
+
+
+def test_keys_of_one_case_with_digits_are_as_even_as_those_of_base64():
+    r = random.Random(4)
+    lower, upper = string.ascii_lowercase, string.ascii_uppercase
+    for alphabet in (lower + string.digits, upper + string.digits, lower + "234567", upper + "234567", "0123456789abcdef", BASE64):
+        for n in (24, 32, 40, 64):
+            p = [secret_scan.battery(key(r, alphabet, n))[1] for _ in range(1000)]
+            assert sum(x < 0.05 for x in p) < 80 and sum(x > 0.5 for x in p) > 350
+    # words stay out
+    for word in ("donaudampfschifffahrtsgesellschaft", "internationalisierungsbehoerde", "a_name_of_several_words", "aaaaaaaaaaaaaaaaaaaaaaaa0"):
+        assert secret_scan.battery(word)[1] < 0.05
+
+
+def test_keys_of_one_case_with_digits_are_found(spark):
+    r = random.Random(5)
+    keys = [key(r, string.ascii_lowercase + string.digits, 32) for _ in range(200)]
+    assert sum(map(bool, found(spark, [f"a {k} b" for k in keys]))) >= 0.85 * 200
