@@ -2,7 +2,8 @@
 
 Each line is good or bad. Its features are shares of characters and of repeated words and the
 same of the lines before and after it; the chain adds weights for neighbouring labels. Lines
-of a labelled document take its label. The probabilities that lines are good (forward-backward
+of a labelled document take its label, as no line has one of its own: every chain that is
+learned from is constant, so the transitions learn how strongly lines go together. The probabilities that lines are good (forward-backward
 marginals), weighted by length, make the document's value, which a logistic curve fitted to
 the same rows turns into its score.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm._cluster import bounded
 from siltstone.llm._textscan import NON_SPACE, Words, blocks
 
 #: Labelled documents that weights are fitted to.
@@ -29,6 +31,9 @@ LAGS = 12
 #: A labelled document's lines are learned from in chains of so many.
 CHAIN = 64
 
+#: Lines that one labelled document gives at most.
+TRAIN_LINES = 256
+
 _KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "digit": b"0123456789",
@@ -188,23 +193,33 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], steps: int = STEPS,
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: F.Column, max_train: int = MAX_TRAIN) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, may_learn: F.Column, max_train: int = MAX_TRAIN, train_lines: int = TRAIN_LINES) -> Model | None:
     """Fit to at most max_train documents (the first by a hash of their ids) with a label 0 or 1 that may be learned from. None without both labels.
 
-    may_learn is over doc_id. Labels that contradict each other or are null don't count. Features
-    of the sample alone reach the driver.
+    may_learn is over doc_id. Labels that contradict each other or are null don't count; of
+    rows that share an id the least text is taken. A document of more than train_lines lines
+    gives chains of CHAIN lines, evenly over the whole text, of that many lines together; so
+    max_train * train_lines rows of features at most reach the driver.
     """
     known = labels.filter(may_learn & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("_least"), F.max("quality").alias("_label")).filter("_least = _label")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select(F.col("doc_id").alias("_id"), "_label")
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")  # max_train rows
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))  # max_train rows
+    joined = bounded(joined).groupBy("doc_id", "_label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "_label")
+
+    def sampled(n: int) -> np.ndarray:
+        """Line numbers of the chains that a document of n lines gives."""
+        if n <= train_lines:
+            return np.arange(n)
+        at = np.linspace(0, n - CHAIN, max(1, train_lines // CHAIN)).astype(np.int64)
+        return np.unique((at[:, None] + np.arange(CHAIN)[None, :]).ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
                 features, size, per_text = line_features(data, offsets)
-                bounds = np.concatenate([[0], np.cumsum(per_text)])
-                pairs = list(zip(bounds[:-1], bounds[1:]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([features[x:y].astype("<f4").tobytes() for x, y in pairs], pa.binary()), pa.array([size[x:y].astype("<i8").tobytes() for x, y in pairs], pa.binary())], names=["doc_id", "label", "features", "size"])
+                first = np.concatenate([[0], np.cumsum(per_text)])
+                rows = [first[i] + sampled(n) for i, n in enumerate(per_text)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([features[r].astype("<f4").tobytes() for r in rows], pa.binary()), pa.array([size[r].astype("<i8").tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "features", "size"])
 
     found = joined.mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("label", some.schema["_label"].dataType), T.StructField("features", T.BinaryType()), T.StructField("size", T.BinaryType())])).collect()
     found.sort(key=lambda r: (r["doc_id"], len(r["features"]), r["features"]))
@@ -215,19 +230,21 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: F.Column, max_train: int
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """keep columns, score and predicted of each row. A null text is an empty one, which is one empty line; without a model every score is 0.5."""
+    """keep columns, score and predicted of each row.
+
+    A null text is an empty one, which is one empty line; without a model every score is 0.5.
+    Repeated rows have equal scores; an empty table gives an empty result. Only texts go to
+    Python, and only scores come back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = keep.index(text_col) if text_col in keep else len(keep)
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def scores(texts: pa.Array) -> pa.Array:
         model = shared.value
-        for batch in batches:
-            for a, b, data, offsets in blocks(batch.column(place)):
-                found = model.scores(*line_features(data, offsets)) if model else np.full(b - a, 0.5)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(found)], names=[f.name for f in schema])
+        found = [model.scores(*line_features(data, offsets)) if model else np.full(b - a, 0.5) for a, b, data, offsets in blocks(texts)]
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    scored = docs.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
+    scored = bounded(docs).select(*keep, scores(text_col).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._cluster import BROADCAST_ROWS, join_counted, sized, stash
+from siltstone.llm._cluster import bounded, discard, fits, join_counted, sized, stash
 from siltstone.llm._textscan import NON_SPACE, Words, blocks, distinct_sets, mix64
 
 N_BANDS = 44
@@ -44,6 +44,9 @@ FIRST_BANDS = 4
 #: Shingles of one leader's members that one task compares before the members are split over more.
 GROUP_SHINGLES = 50_000
 
+#: Members of a bucket of several components that one share of its comparisons has.
+BUCKET_MEMBERS = 256
+
 
 def band_rows(percent: int) -> int:
     return max(r for r in range(1, 33) if r == 1 or (1 - (percent / 100) ** r) ** N_BANDS <= MISS)
@@ -82,13 +85,21 @@ def band_keys(sets: np.ndarray, offsets: np.ndarray, rows: int) -> np.ndarray:
 
 PARITY_BITS = 512
 
+#: Texts whose bits are counted at once.
+PARITY_TEXTS = 256
+
 
 def parity_sketches(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each text, PARITY_BITS bits as 64-bit integers: whether an odd number of its shingles fall on each bit."""
     n = len(offsets) - 1
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    bits = np.bincount(owner * PARITY_BITS + (sets % np.uint64(PARITY_BITS)).astype(np.int64), minlength=n * PARITY_BITS) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(n, PARITY_BITS), axis=1).view(np.int64)
+    out = np.zeros((n, PARITY_BITS // 64), np.int64)
+    for a in range(0, n, PARITY_TEXTS):
+        b = min(n, a + PARITY_TEXTS)
+        owner = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+        place = owner * PARITY_BITS + (sets[offsets[a] : offsets[b]] % np.uint64(PARITY_BITS)).astype(np.int64)
+        bits = np.bincount(place, minlength=(b - a) * PARITY_BITS) & 1
+        out[a:b] = np.packbits(bits.astype(np.uint8).reshape(b - a, PARITY_BITS), axis=1).view(np.int64)
+    return out
 
 
 _SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("fp_a", T.LongType()), T.StructField("fp_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
@@ -111,9 +122,10 @@ def sketch(docs: DataFrame, k: int, rows: int, id_col: str = "doc_id", text_col:
                         prints[i, full] = np.add.reduceat(mix64(sets ^ np.uint64(salt)), bounds[:-1]).view(np.int64)
                     for t, row in zip(full, band_keys(sets, bounds, rows).view(np.int64)):
                         bands[t] = row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), pa.array(bands, pa.list_(pa.int64())), pa.array(list(parity_sketches(sets, at)), pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "parity"])
+                parity = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * (PARITY_BITS // 64), PARITY_BITS // 64, dtype=np.int32), pa.array(parity_sketches(sets, at).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), pa.array(bands, pa.list_(pa.int64())), parity], names=["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "parity"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), *_SKETCH]))
+    return bounded(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), *_SKETCH]))
 
 
 def compare(pairs: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,6 +176,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     n = both.count()
     degree = both.groupBy("u").agg(F.count(F.lit(1)).alias("_degree"))
     roots = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_degree")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"), "_degree"), f"{label}-roots")
+    held = roots
     while n:
         seen = join_counted(both.select(F.col("u").alias("node"), "v"), roots, ["node"], "_degree", n, "inner")
         least = seen.groupBy("v").agg(F.min("root").alias("m"))
@@ -174,10 +187,13 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         jump = sizes.join(step.select(F.col("node").alias("new"), F.col("new").alias("next")), "new", "left")
         moved = join_counted(step, jump, ["new"], "_n", n)
         moved = stash(moved.select("node", F.coalesce("next", "new").alias("root"), "was", "_degree"), f"{label}-roots")
+        discard(step, held)
+        held = moved
         changed = moved.filter(F.col("root") != F.col("was")).limit(1).count()
         roots = moved.select("node", "root", "_degree")
         if not changed:
             break
+    discard(both)
     return roots.select("node", "root")
 
 
@@ -188,23 +204,28 @@ def link_components(sketched: DataFrame, docs: DataFrame, k: int, percent: int,
     classes = usable.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
     total = max(1, usable.count())
     repeated = stash(classes.filter(F.col("_n") > 1), "classes")
-    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(repeated):
         in_class = usable.select("doc_id", "fp_a", "fp_b").join(F.broadcast(repeated), ["fp_a", "fp_b"])
     else:
         in_class = join_counted(usable.select("doc_id", "fp_a", "fp_b"), repeated, ["fp_a", "fp_b"], "_n", total, "inner")
     in_class = stash(in_class.select("doc_id", "rep"), "members")
     others = stash(in_class.filter(F.col("doc_id") != F.col("rep")).select("doc_id").distinct(), "others")
     reps = usable.join(sized(others), "doc_id", "left_anti").select("doc_id", F.col("n_shingles").alias("n"), "bands")
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    like_sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """Texts of the documents in pairs; texts are shuffled only where there are more of those than a broadcast takes."""
         wanted = stash(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "wanted")
-        return stash(plain.join(sized(wanted), "_id", "left_semi"), "texts")
+        found = stash(plain.join(sized(wanted), "_id", "left_semi"), "texts")
+        discard(wanted)
+        return found
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return stash(compare(pairs, texts_of(pairs), k, "_id", "_text"), "tested")
+        texts = texts_of(pairs)
+        found = stash(compare(pairs, texts, k, "_id", "_text"), "tested")
+        discard(texts)
+        return found
 
     def open_buckets(roots: DataFrame | None, n_bands: int) -> DataFrame:
         """(band, doc_id, n, root, lead, n_lead, root_lead): the members of those of the first n_bands kinds of buckets that hold several components."""
@@ -212,19 +233,24 @@ def link_components(sketched: DataFrame, docs: DataFrame, k: int, percent: int,
         entries = rooted.select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.explode(F.slice("bands", 1, n_bands)).alias("band"))
         buckets = entries.groupBy("band").agg(F.min(F.struct("doc_id", "n", "root")).alias("lead"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n"))
         buckets = stash(buckets.filter("_low <> _high").select("band", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("n_lead"), F.col("lead.root").alias("root_lead"), "_n"), "buckets")
-        if buckets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        if fits(buckets, 80):
             members = entries.join(F.broadcast(buckets), "band")
         else:
             members = join_counted(entries, buckets, ["band"], "_n", total * n_bands, "inner")
-        return stash(members.drop("_n"), "entries")
+        found = stash(members.drop("_n"), "entries")
+        discard(buckets)
+        return found
 
     def led(members: DataFrame) -> DataFrame:
         pairs = members.filter("root <> root_lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b"))
-        return pairs.filter(fits)
+        return pairs.filter(like_sizes)
 
     # a few bands and one leader for each document find most links of large groups
-    first = led(open_buckets(None, FIRST_BANDS)).groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b")).alias("x")).select("x.a", "b", "x.n_a", "x.n_b")
-    tested = compared(stash(first, "first"))
+    members = open_buckets(None, FIRST_BANDS)
+    first = led(members).groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b")).alias("x")).select("x.a", "b", "x.n_a", "x.n_b")
+    first = stash(first, "first")
+    tested = compared(first)
+    discard(members, first)
     edges = tested.filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(edges, "first")
     # all bands and all leaders, where components are still apart
@@ -237,19 +263,22 @@ def link_components(sketched: DataFrame, docs: DataFrame, k: int, percent: int,
         roots = components(edges, "second")
     # what is left: members of different components of a bucket, neither of them its leader
     now = members.drop("root", "root_lead").join(sized(roots.select(F.col("node").alias("doc_id"), "root")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    apart = now.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("band")
+    apart = now.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_members")).filter("_low <> _high").select("band", F.ceil(F.col("_members") / BUCKET_MEMBERS).cast("int").alias("shares"))
     distance = tested.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("total")).alias("far"))
-    still = now.join(apart, "band", "left_semi").filter(F.col("doc_id") != F.col("lead")).join(distance, ["lead", "doc_id"], "left")
-    still = stash(still.select("band", "doc_id", "n", "root", "far"), "open")
+    still = now.join(apart, "band").filter(F.col("doc_id") != F.col("lead")).join(distance, ["lead", "doc_id"], "left")
+    still = stash(still.select("band", "doc_id", "n", "root", "far", "shares"), "open")
     wanted = stash(still.select("doc_id").distinct(), "wanted")
     parity = stash(usable.select("doc_id", "parity").join(sized(wanted), "doc_id", "left_semi"), "parity")
-    still = still.join(sized(parity), "doc_id")
-    x, y = still.alias("x"), still.alias("y")
+    still = still.join(sized(parity, 128), "doc_id")
+    # a large bucket is dealt out: each member is in one share as x and in all shares as y
+    x = still.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")).alias("x")
+    y = still.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).alias("y")
     apart_bits = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
     sketches = (100 + percent) * apart_bits <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
     near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & near & alike & sketches)
+    together = (F.col("x.band") == F.col("y.band")) & (F.col("x.share") == F.col("y.share"))
+    rest = x.join(y, together & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & near & alike & sketches)
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
     rest = stash(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
@@ -281,5 +310,5 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose document is kept, with the columns of docs; repeated rows of a kept document stay."""
-    dropped = near_duplicates(docs, k, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    dropped = stash(near_duplicates(docs, k, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    return docs.join(sized(dropped), docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")

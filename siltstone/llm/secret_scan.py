@@ -4,14 +4,16 @@ Beyond the fixed patterns, every run of 20 or more characters of the base64 alph
 candidate, with the padding at its end; a '=' inside parts a name from its value. Its encoding is inferred (hex, base32 and base36 of either case, base64; lower-case base32 and
 base36 only with a digit, as else it may be a word) and its symbols are tested for
 uniformity (chi-squared over eight or nine equal cells of the alphabet), for runs above and below the
-alphabet's middle and for lag-1 serial correlation; the battery's p-value is three times the
-least of the three, 1 at most. A random secret has a p-value spread evenly; words and
-identifiers pile up near 0.
+alphabet's middle and for lag-1 serial correlation; the battery's p-value is 1 - (1 - p)^3 for
+the least p of the three. The number of runs takes few values in short strings, so it is judged
+by its exact distribution, and equal numbers are put in an order by a hash of the string. A
+random secret then has a p-value spread about evenly; words and identifiers pile up near 0.
 
 False discoveries are controlled in each stratum of encoding and length: of the candidates
 with p >= t those that evenly spread p-values (estimated from p > 1/2) don't account for are
 false; t is the least twentieth with an estimated share of them of MAX_FALSE at most. Each
 different string counts once, however many copies it has, and all its copies are judged alike.
+Candidates that overlap a span of the patterns count here too, but aren't reported again.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._cluster import stash
+from siltstone.llm._cluster import bounded, stash
 
 # Fixed values of the base scan.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,6 +42,9 @@ KINDS = ("assign", "access", "hex", "random")
 MAX_FALSE = 0.05
 BINS = 20
 
+#: Numbers of runs are judged exactly in strings of up to so many changes.
+EXACT_RUNS = 256
+
 #: Stratum edges of candidate lengths.
 LENGTHS = (20, 24, 32, 48, 96)
 
@@ -70,8 +77,34 @@ def _upper_normal(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(token: str) -> tuple[int, float]:
-    """(number of the inferred alphabet, p-value) of a candidate."""
+@lru_cache(EXACT_RUNS)
+def _tails(n: int) -> tuple[list[float], list[float]]:
+    """For |changes - n / 2| in halves: the probability of a greater one and of the same one, for n fair coins."""
+    beyond, same = [0.0] * (n + 1), [0.0] * (n + 1)
+    for k in range(n + 1):
+        same[abs(2 * k - n)] += math.comb(n, k) / 2**n
+    for d in range(n - 1, -1, -1):
+        beyond[d] = beyond[d + 1] + same[d + 1]
+    return beyond, same
+
+
+def _p_runs(changes: int, n: int, key: int) -> float:
+    """Two-sided p-value of the changes between neighbours out of n."""
+    if n > EXACT_RUNS:
+        return 2 * _upper_normal(abs(changes - n / 2) / (math.sqrt(n) / 2))
+    beyond, same = _tails(n)
+    d = abs(2 * changes - n)
+    return beyond[d] + same[d] * ((key & 0xFFFFFFFF) + 0.5) / 2**32
+
+
+def string_key(token: str) -> int:
+    """64 bits that stand for a string."""
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def battery(token: str, key: int | None = None) -> tuple[int, float]:
+    """(number of the inferred alphabet, p-value) of a candidate; key is its string_key(), if that is known."""
+    key = string_key(token) if key is None else key
     body = token.rstrip("=")
     symbols = set(body)
     for kind, size, n_cells, table in _ALPHABETS:
@@ -94,42 +127,47 @@ def battery(token: str) -> tuple[int, float]:
     p_uniform = _upper_normal(wilson)
     above = [2 * v >= size for v in values]
     runs = 1 + sum(a != b for a, b in zip(above, above[1:]))
-    p_runs = 2 * _upper_normal(abs(runs - (n + 1) / 2) / (math.sqrt(n - 1) / 2))
+    p_runs = _p_runs(runs - 1, n - 1, key)
     mean = (size - 1) / 2
     spread = (size * size - 1) / 12
     serial = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:])) / spread
     p_serial = 2 * _upper_normal(abs(serial) / math.sqrt(n - 1))
-    return kind, min(1.0, 3 * min(p_uniform, p_runs, p_serial))
+    least = min(p_uniform, p_runs, p_serial, 1.0)
+    return kind, 1 - (1 - least) ** 3
 
 
-_CANDIDATES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("stratum", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("key", T.LongType())]))
+_FREE = T.StructField("free", T.BooleanType())
+_CANDIDATES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("stratum", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("key", T.LongType()), _FREE]))
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+_TESTED = T.StructType([T.StructField("base", _SPANS), T.StructField("found", _CANDIDATES)])
+_TESTED_ARROW = pa.struct([("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), ("found", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32()), ("key", pa.int64()), ("free", pa.bool_())])))])
+
+
+@F.arrow_udf(_TESTED)
+def _tested(texts: pa.Array) -> pa.Array:
+    out = []
+    for text in texts:
+        text = text.as_py() or ""
+        base = base_spans(text)
+        starts = [s for _, s, _ in base]
+        reach = list(accumulate((e for *_, e in base), max))
+        found = []
+        for m in _CANDIDATE.finditer(text):
+            before = bisect_left(starts, m.end())
+            key = string_key(m[0])
+            kind, p = battery(m[0], key)
+            length = sum(m.end() - m.start() >= edge for edge in LENGTHS)
+            free = not before or reach[before - 1] <= m.start()
+            found.append({"start": m.start(), "end": m.end(), "stratum": kind * 10 + length, "bin": min(BINS - 1, int(p * BINS)), "key": key, "free": free})
+        out.append({"base": [{"kind": k, "start": s, "end": e} for k, s, e in base], "found": found})
+    return pa.array(out, _TESTED_ARROW)
+
+
 def candidates(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """keep columns, base (spans of the patterns) and found (tested candidates that no base span overlaps) of each row."""
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("base", _SPANS), T.StructField("found", _CANDIDATES)])
-    base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    found_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32()), ("key", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bases, founds = [], []
-            for text in batch.column(len(keep)):
-                text = text.as_py() or ""
-                base = base_spans(text)
-                found = []
-                for m in _CANDIDATE.finditer(text):
-                    if any(s < m.end() and m.start() < e for _, s, e in base):
-                        continue
-                    kind, p = battery(m[0])
-                    length = sum(m.end() - m.start() >= edge for edge in LENGTHS)
-                    found.append({"start": m.start(), "end": m.end(), "stratum": kind * 10 + length, "bin": min(BINS - 1, int(p * BINS)), "key": int.from_bytes(hashlib.blake2b(m[0].encode(), digest_size=8).digest(), "little", signed=True)})
-                bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
-                founds.append(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(bases, base_type), pa.array(founds, found_type)], names=[f.name for f in schema])
-
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    """keep columns, base (spans of the patterns) and found (tested candidates; free: no base span overlaps them) of each row."""
+    return bounded(docs).select(*keep, _tested(text_col).alias("_x")).select(*keep, "_x.base", "_x.found")
 
 
 def thresholds(tested: DataFrame, max_false: float = MAX_FALSE) -> dict[int, int]:
@@ -159,7 +197,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "
     tested = stash(candidates(docs, keep, text_col), "candidates")
     limits = thresholds(tested, max_false)
     least = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)) if limits else None
-    passed = F.filter("found", lambda c: c["bin"] >= F.coalesce(least[c["stratum"]], F.lit(BINS))) if limits else F.filter("found", lambda c: F.lit(False))
+    passed = F.filter("found", lambda c: c["free"] & (c["bin"] >= F.coalesce(least[c["stratum"]], F.lit(BINS)))) if limits else F.filter("found", lambda c: F.lit(False))
     random = F.transform(passed, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), F.lit("random").alias("kind"), c["end"].alias("end")))
     ranked = F.transform("base", lambda s: F.struct(s["start"].alias("start"), (F.array_position(F.array(*(F.lit(k) for k in KINDS)), s["kind"]) - 1).cast("int").alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     spans = F.transform(F.array_sort(F.concat(ranked, random)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -181,30 +219,26 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", max_false: float = MAX_FALSE
     plain = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)))
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
-    kept = plain.columns
-    scanned = scan(plain, tuple(kept), f"_c{at}", max_false)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lengths = [], []
-            columns = list(batch.columns[: len(names)])
-            for text, spans in zip(columns[at].to_pylist(), batch.column(len(names)).to_pylist()):
-                if spans:
-                    out, done = [], 0
-                    for s in sorted(spans, key=lambda s: s["start"]):
-                        if s["start"] >= done:
-                            out += [text[done : s["start"]], mask]
-                        done = max(done, s["end"])
-                    text = "".join(out) + text[done:]
-                    lengths.append(len(text))
-                else:
-                    lengths.append(None)
-                texts.append(text)
-            columns[at] = pa.array(texts, columns[at].type)
-            if count is not None:
-                was = columns[count].to_pylist()
-                columns[count] = pa.array([w if n is None else n for w, n in zip(was, lengths)], columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, names=kept)
-
-    out = scanned.select(*kept, "spans").mapInArrow(run, plain.schema)
-    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
+    scanned = scan(plain, tuple(plain.columns), f"_c{at}", max_false)
+
+    @F.arrow_udf(T.StringType())
+    def masked(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        for text, first, last in zip(texts, starts.to_pylist(), ends.to_pylist()):
+            text = text.as_py()
+            parts, done = [], 0
+            for s, e in sorted(zip(first, last)):
+                if s >= done:
+                    parts += [text[done:s], mask]
+                done = max(done, e)
+            out.append("".join(parts) + text[done:])
+        return pa.array(out, pa.string())
+
+    # only rows with spans send their texts
+    some = F.size("spans") > 0
+    text = F.when(some, masked(F.when(some, F.col(f"_c{at}")).otherwise(F.lit("")), F.col("spans.start"), F.col("spans.end"))).otherwise(F.col(f"_c{at}"))
+    out = scanned.withColumn("_masked", text)
+    value = {at: F.col("_masked")}
+    if count is not None:
+        value[count] = F.when(some, F.char_length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"_c{count}"))
+    return out.select(*(value.get(i, F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)))
