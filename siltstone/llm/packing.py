@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from siltstone.llm._cluster import stash
+from siltstone.llm._cluster import bounded, sized, stash
 from siltstone.llm._tokens import WordEncoder, default_vocabulary
 
 CAPACITY = 2048
 
-#: Ranks within one length are counted in so many shares, so a length that a third of all pieces have isn't one task's work.
-SHARES = 64
+#: Ranks within one length are counted in shares of about so many pieces, so a length that a third of all pieces have isn't one task's work.
+SHARE_PIECES = 4096
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,7 +50,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
                         length.append(len(ids[-1]) // 4)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -155,20 +155,25 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[s
     """Add sequence_id and offset to pieces (any table with a column length from 1 to capacity).
 
     pieces is read three times and must give the same rows each time: pass a written table.
-    Only the number of pieces of each length goes to the driver, capacity rows at most.
+    Only the number of pieces of each length goes to the driver, capacity rows at most. A
+    length is dealt out over as many shares as its number of pieces asks for.
     Pieces of one length are alike for the plan; their ranks follow order within shares, and
     repeated rows get places of their own. An empty table gives an empty result.
     """
     schema = T.StructType([*(f for f in pieces.schema), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    shared = pieces.withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(SHARES)).cast("int"))
-    counts = shared.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("_n"))
-    by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    spark = pieces.sparkSession
+    by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = _runs(plan_bins(by_length, capacity))
+    several = spark.createDataFrame([(n, -(-c // SHARE_PIECES)) for n, c in by_length.items() if c > SHARE_PIECES], "_length long, _shares long")
+    # at most capacity rows
+    dealt = pieces.join(F.broadcast(several), F.col("length") == F.col("_length"), "left").drop("_length")
+    shared = dealt.withColumn("_share", F.pmod(F.xxhash64(*order), F.coalesce("_shares", F.lit(1)))).drop("_shares")
+    counts = shared.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("length", "_share", F.coalesce("_before", F.lit(0)).alias("_before"))
-    # at most capacity * SHARES rows
+    # one row for each length and share: capacity rows and one for every SHARE_PIECES pieces
+    before = stash(before.select("length", "_share", F.coalesce("_before", F.lit(0)).alias("_before")), "shares")
     ranked = shared.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_share").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "_share"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = ranked.join(sized(before), ["length", "_share"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     names = [f.name for f in pieces.schema]
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
