@@ -47,7 +47,7 @@ def block_kind(role: Column, text: Column, tool: Column | None = None) -> Column
 
 def attention_weight(position: Column, total: Column) -> Column:
     """U-shaped weight of a position from 0: high at both ends; 1 where there is one place only."""
-    scale = 0.15 * total
+    scale = F.greatest(0.15 * total, F.lit(1.0))
     return F.when(total <= 1, F.lit(1.0)).otherwise(0.4 * F.exp(-position / scale) + 0.4 * F.exp(-(total - position - 1) / scale) + 0.2)
 
 

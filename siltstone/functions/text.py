@@ -39,17 +39,19 @@ def token_estimate(text: Column) -> Column:
 
 
 def preview(text: Column, width: int = 240) -> Column:
-    """White space collapsed; longer texts are cut to width and end in three dots."""
+    """White space collapsed; longer texts are cut so that they have width characters with the three dots at their end."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.char_length(flat) > width, F.concat(F.substring(flat, 1, width), F.lit("..."))).otherwise(flat)
+    return F.when(F.char_length(flat) > width, F.concat(F.substring(flat, 1, width - 3), F.lit("..."))).otherwise(flat)
 
 
 def pii_types(text: Column) -> Column:
     """Kinds of personal data that a text seems to hold: Email, APIKey, SSN."""
     email = F.contains(text, F.lit("@")) & F.contains(text, F.lit("."))
     key = F.regexp_extract(text, r"(?s)^.*?(sk-[\p{L}\p{N}-]*)", 1)
+    # that pattern is over bytes, and four of them follow its last digit
+    octets = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
     # a first match of 21 or more characters counts, a later one doesn't
-    return F.array_compact(F.array(F.when(email, F.lit("Email")), F.when(F.char_length(key) > 20, F.lit("APIKey")), F.when(text.rlike(r"(?s)[0-9]..-[0-9].-[0-9]..."), F.lit("SSN"))))
+    return F.array_compact(F.array(F.when(email, F.lit("Email")), F.when(F.char_length(key) > 20, F.lit("APIKey")), F.when(octets.rlike(r"(?s)[0-9]..-[0-9].-[0-9]...."), F.lit("SSN"))))
 
 
 def has_injection(text: Column) -> Column:

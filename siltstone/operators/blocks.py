@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What ends a line of a text.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
 
 def token_chunks(docs: DataFrame, chunk: int = 360, overlap: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_index, token_start, token_end) of overlapping windows over the white-space tokens of each document; none for empty ones."""
+    """(id, chunk_index, token_start, token_end) of overlapping windows over the tokens of each document; none for those without tokens.
+
+    A token starts with an ASCII letter or digit; such characters, _ and ' go on. Hyphens part tokens.
+    """
     step = max(chunk - overlap, 1)
-    n = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\r\n]+"), lambda w: w != ""))
+    n = F.regexp_count(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("-"), F.lit(" ")), F.lit(r"[A-Za-z0-9][A-Za-z0-9_']*"))
     counted = docs.select(F.col(id_col), n.alias("_n")).filter("_n > 0")
     last = F.greatest(F.lit(0), F.ceil((F.col("_n") - chunk) / step)).cast("int")
     chunks = counted.select(id_col, "_n", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
@@ -19,7 +25,7 @@ def token_chunks(docs: DataFrame, chunk: int = 360, overlap: int = 32, id_col: s
 
 def repetition_floods(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, run): runs of least or more consecutive equal non-empty lines, trimmed. Lines of one document stay together."""
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    lines = docs.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), LINE_END)).alias("pos", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
     w = Window.partitionBy(id_col)
     island = lines.withColumn("_g", F.col("pos") - F.row_number().over(w.partitionBy(id_col, "line").orderBy("pos")))
     return island.filter("line <> ''").groupBy(id_col, "line", "_g").agg(F.count(F.lit(1)).alias("run")).filter(F.col("run") >= least).drop("_g")

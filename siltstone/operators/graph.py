@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.lineage import cut
 
-def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+
+def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, rank) after a fixed number of iterations; nodes without edges spread their rank over all.
 
-    edges (src, dst) are taken once each. Lineage is cut every cut_every iterations by a
-    reliable checkpoint where the session has a checkpoint folder.
+    edges (src, dst) are taken once each. Each iteration is one join and one aggregate, whose
+    row for no target holds the loose rank; ranks are checkpointed, so plans stay small.
     """
-    spark = edges.sparkSession
-    links = edges.select("src", "dst").distinct()
-    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    base = nodes.select("node").distinct().join(out, F.col("node") == F.col("src"), "left").select("node", "deg")
-    n = base.count()
-    ranks = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for i in range(iterations):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        given = links.join(ranks.filter("deg is not null").select(F.col("node").alias("src"), (F.col("rank") / F.col("deg")).alias("give")), "src").groupBy("dst").agg(F.sum("give").alias("got"))
-        ranks = base.join(given, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(loose)).select("node", "deg", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / max(n, 1))).alias("rank"))
-        if (i + 1) % cut_every == 0 and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            ranks = ranks.checkpoint()
+    links = edges.select(F.col("src").alias("node"), "dst").distinct()
+    out = links.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    base = nodes.select("node").distinct().join(out, "node", "left")
+    base = cut(base)
+    n = max(base.count(), 1)
+    ranks = base.select("node", "deg", F.lit(1.0 / n).alias("rank"))
+    for _ in range(iterations):
+        given = ranks.join(links, "node", "left").groupBy("dst").agg(F.sum(F.col("rank") / F.coalesce("deg", F.lit(1))).alias("got"))
+        given = cut(given)
+        loose = given.filter("dst IS NULL").agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("loose"))
+        rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
+        ranks = base.join(given, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(loose)).select("node", "deg", rank.alias("rank"))
     return ranks.select("node", "rank")
 
 

@@ -6,25 +6,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def savings_by_tier(events: DataFrame, adjustments: DataFrame, key: str, tier: str, gross: str, debit: str) -> DataFrame:
-    """Events, gross, adjusted and net sums by tier. Adjustments are summed by event before the join, so no event counts twice."""
+def savings_by_tier(events: DataFrame, adjustments: DataFrame, key: str, tier: str, gross: str, cost: str, debit: str) -> DataFrame:
+    """Events, gross, base (gross minus the events' own cost), adjusted and net (base minus adjustments) sums by tier.
+
+    Adjustments are summed by event before the join, so no event counts twice.
+    """
     debits = adjustments.groupBy(key).agg(F.sum(debit).alias("_debit"))
     joined = events.join(debits, key, "left")
-    return joined.groupBy(tier).agg(F.count(F.lit(1)).alias("n_events"), F.sum(gross).alias("gross"), F.sum(F.coalesce("_debit", F.lit(0.0))).alias("adjusted")).withColumn("net", F.col("gross") - F.col("adjusted"))
+    sums = joined.groupBy(tier).agg(F.count(F.lit(1)).alias("n_events"), F.sum(gross).alias("gross"), F.sum(F.col(gross) - F.col(cost)).alias("base"), F.sum(F.coalesce("_debit", F.lit(0.0))).alias("adjusted"))
+    return sums.withColumn("net", F.col("base") - F.col("adjusted"))
+
+
+#: Sums of a usage summary, and the columns that may filter it.
+USAGE_SUMS = ("uncached_input_tokens", "cache_read_tokens", "cache_write_tokens", "output_tokens", "cost_micro_usd", "cache_savings_micro_usd")
+USAGE_FILTERS = ("provider", "model", "team", "tool", "project", "conversation_id")
+
+
+def usage_totals(events: DataFrame, filters: dict[str, str] | None = None) -> DataFrame:
+    """One row: requests, USAGE_SUMS, unpriced_requests and cache_hit_token_ratio of the events that the filters leave. Other filter columns raise."""
+    unknown = sorted(set(filters or {}) - set(USAGE_FILTERS))
+    if unknown:
+        raise ValueError(f"unsupported filters: {unknown}")
+    for column, value in (filters or {}).items():
+        events = events.filter(F.col(column) == value)
+    unpriced = F.sum(F.when(F.col("pricing_source").startswith("unpriced:"), 1).otherwise(0))
+    sums = events.agg(F.count(F.lit(1)).alias("requests"), *(F.coalesce(F.sum(c).cast("long"), F.lit(0)).alias(c) for c in USAGE_SUMS), F.coalesce(unpriced, F.lit(0)).alias("unpriced_requests"))
+    cached = F.col("cache_read_tokens")
+    return sums.withColumn("cache_hit_token_ratio", cached / F.greatest(F.lit(1), cached + F.col("uncached_input_tokens")))
 
 
 def as_of(versions: DataFrame, entity: str, instant: str, sequence: str, at: F.Column) -> DataFrame:
-    """The latest version of each entity with an instant not after at; of equal instants the one of the larger sequence."""
+    """The version of each entity with the largest sequence among those with an instant not after at; versions without an instant don't count."""
     known = versions.filter(F.col(instant) <= at)
     rest = [c for c in versions.columns if c != entity]
-    return known.groupBy(entity).agg(F.max_by(F.struct(*rest), F.struct(instant, sequence)).alias("_v")).select(entity, *(F.col(f"_v.{c}").alias(c) for c in rest))
+    return known.groupBy(entity).agg(F.max_by(F.struct(*rest), sequence).alias("_v")).select(entity, *(F.col(f"_v.{c}").alias(c) for c in rest))
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, change) for entities added, removed or changed between two snapshots."""
-    a, b = before.select(key, F.col(value).alias("_a"), F.lit(True).alias("_in_a")), after.select(key, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
-    change = F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
-    return a.join(b, key, "full").select(key, change.alias("change")).filter(F.col("change").isNotNull())
+def snapshot_diff(before: DataFrame, after: DataFrame, key: str, sequence: str, value: str) -> DataFrame:
+    """(key, change, from_sequence, to_sequence, from_value, to_value) for entities added, or changed to another version, between two snapshots."""
+    a = before.select(key, F.col(sequence).alias("from_sequence"), F.col(value).alias("from_value"), F.lit(True).alias("_old"))
+    b = after.select(key, F.col(sequence).alias("to_sequence"), F.col(value).alias("to_value"))
+    joined = b.join(a, key, "left").filter(~F.col("from_sequence").eqNullSafe(F.col("to_sequence")))
+    change = F.when(F.col("_old").isNull(), "added").otherwise("changed")
+    return joined.select(key, change.alias("change"), "from_sequence", "to_sequence", "from_value", "to_value")
 
 
 def rollup(events: DataFrame, ts: str, value: str) -> DataFrame:

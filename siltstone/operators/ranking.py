@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import words
+from siltstone.operators.lineage import cut
 
 K1, B = 1.2, 0.75
 
@@ -19,28 +20,53 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of documents with a term of the query: sum of ln((N - df + .5) / (df + .5) + 1) times the saturated term frequency.
 
-    One pass counts documents, lengths and the query terms' frequencies; only the query's terms are exploded.
+    Texts are split once: what is kept of each is its length and the query terms' frequencies.
     """
-    wanted = F.array(*(F.lit(t) for t in sorted(set(terms))))
-    split = docs.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
-    hits = F.filter("w", lambda t: F.array_contains(wanted, t))
-    slim = split.select("id", "dl", hits.alias("hits"))
-    stats = slim.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = slim.select("id", "dl", F.explode("hits").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each query term at most
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
-    return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("score"))
+    wanted = sorted(set(terms))
+    split = docs.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    tf = F.transform(F.array(*map(F.lit, wanted)), lambda t: F.size(F.filter("w", lambda x: x == t)))
+    slim = cut(split.select("id", F.size("w").alias("dl"), tf.alias("tf")))
+    stats = slim.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(1.0)), F.lit(1.0)).alias("avgdl"), F.array(*(F.count_if(F.col("tf")[i] > 0) for i in range(len(wanted)))).alias("df"))
+    idf = F.transform("df", lambda d: F.log((F.col("n") - d + 0.5) / (d + 0.5) + 1))
+    part = lambda tf, idf: idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = slim.filter(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+    return scored.select("id", F.aggregate(F.zip_with("tf", idf, part), F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
     return scored.orderBy(F.col(score).desc(), F.col(key)).limit(k)
 
 
-def key_terms(docs: DataFrame, k: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k terms of most tf * (ln(N / (1 + df)) + 1) over all documents."""
-    counts = term_counts(docs, id_col, text_col)
-    by_term = counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    weight = F.col("tf") * (F.log(F.col("n") / (1 + F.col("df"))) + 1)
-    return by_term.crossJoin(F.broadcast(n)).select("term", "tf", "df", F.round(weight, 6).alias("weight")).orderBy(F.col("weight").desc(), "term").limit(k)
+# Words that no query is about.
+STOP_WORDS = (
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "before",
+    "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has", "have", "he",
+    "her", "him", "how", "i", "if", "in", "into", "is", "it", "its", "just", "may", "me", "might",
+    "more", "my", "no", "not", "of", "on", "or", "our", "out", "she", "should", "so", "some",
+    "that", "the", "them", "then", "there", "they", "this", "to", "up", "us", "was", "we", "were",
+    "what", "when", "where", "which", "who", "why", "will", "with", "would", "you", "your",
+)
+
+
+def query_terms(text: Column) -> Column:
+    """Lower-case runs of letters, digits and underscores with two bytes or more that aren't stop words."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.filter(found, lambda w: (F.octet_length(w) >= 2) & ~w.isin(*STOP_WORDS))
+
+
+def key_terms(queries: DataFrame, docs: DataFrame, query_id: str, k: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, term, weight): the k terms of each query with the most tf * (ln(N / (1 + df)) + 1).
+
+    tf is a term's share of the query's terms; N and df are over the documents and the query
+    itself. Only document frequencies of terms that a query has are joined.
+    """
+    split = queries.select(query_id, query_terms(F.col(text_col)).alias("w"))
+    tf = split.select(query_id, F.size("w").alias("_n"), F.explode("w").alias("term")).groupBy(query_id, "_n", "term").agg(F.count(F.lit(1)).alias("_tf"))
+    asked = tf.select("term").distinct()
+    each = docs.select(F.explode(F.array_distinct(query_terms(F.col(text_col)))).alias("term"))
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).join(asked, "term", "left_semi")
+    total = docs.agg(F.count(F.lit(1)).alias("_docs"))
+    idf = F.log((F.col("_docs") + 1) / (2 + F.coalesce("_df", F.lit(0)))) + 1
+    scored = tf.join(df, "term", "left").crossJoin(F.broadcast(total)).select(query_id, "term", F.round(F.col("_tf") / F.col("_n") * idf, 6).alias("weight"))
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("weight"), "term"))
+    return scored.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 def fractional_bound(items: DataFrame, group: str, key: str, value: str, weight: str, budget: float) -> DataFrame:
-    """The most value of each group's items within a budget if one item may be cut: an upper bound for whole items. Weights are positive."""
-    w = Window.partitionBy(group).orderBy(F.desc("_density"), key).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = items.withColumn("_density", F.col(value) / F.col(weight)).withColumn("_before", F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (budget - F.col("_before")) / F.col(weight)))
-    return ranked.groupBy(group).agg(F.sum(F.col(value) * part).alias("bound"))
+    """The most value of each group's items within a budget if one item may be cut: an upper bound for whole items.
+
+    Values are rounded to 6 digits; items without value don't count, and those without weight count whole.
+    """
+    worth = items.withColumn("_value", F.round(value, 6)).filter("_value > 0")
+    density = F.when(F.col(weight) > 0, F.col("_value") / F.col(weight))
+    w = Window.partitionBy(group).orderBy(F.desc_nulls_first("_density"), F.desc("_value"), key).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = worth.withColumn("_density", density).withColumn("_before", F.coalesce(F.sum(weight).over(w), F.lit(0)))
+    part = F.when(F.col(weight) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (budget - F.col("_before")) / F.col(weight)))).otherwise(F.lit(1.0))
+    return ranked.groupBy(group).agg(F.sum(F.col("_value") * part).alias("bound"))
 
 
 def pareto(rows: DataFrame, group: str, cost: str, gain: str) -> DataFrame:

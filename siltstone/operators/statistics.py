@@ -21,30 +21,56 @@ def robust_anomalies(rows: DataFrame, group: str, value: str, least_group: int =
     return scored.filter(F.abs("z") >= z).drop("_n")
 
 
+#: Buckets of values that are ordered each by itself.
+BUCKETS = 64
+
+
+def count_below(ties: DataFrame, value: str, n: str, group: str | None = None) -> DataFrame:
+    """ties (one row for each group and numeric value, n rows each) with _below: how many rows of the group have a lower value.
+
+    Values are dealt out over BUCKETS by their approximate quantiles, so neither a group nor
+    the whole table is ordered in one task.
+    """
+    keys = [group] if group else []
+    bounds = sorted(set(ties.approxQuantile(value, [i / BUCKETS for i in range(1, BUCKETS)], 0.005)))
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
+    dealt = ties.withColumn("_bucket", bucket)
+    totals = dealt.groupBy(*keys, "_bucket").agg(F.sum(n).alias("_t"))
+    # at most BUCKETS rows for each group
+    lower = F.sum("_t").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.withColumn("_lower", F.coalesce(lower, F.lit(0))).drop("_t")
+    inner = F.coalesce(F.sum(n).over(Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_inner", inner).join(totals, [*keys, "_bucket"]).withColumn("_below", F.col("_inner") + F.col("_lower")).drop("_inner", "_lower", "_bucket")
+
+
 def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve with midranks for ties. Equal scores are one row before anything is ordered."""
     ties = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = count_below(ties, score, "n").withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return sums.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).otherwise(F.lit(0.5)).alias("auroc"))
 
 
+def _counted(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, _c, _below, _n): each value's rows, the group's rows with a lower one and all its rows. Null values don't count."""
+    ties = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    total = ties.groupBy(group).agg(F.sum("_c").alias("_n"))
+    return count_below(ties, value, "_c", group).join(total, group)
+
+
 def trimmed_mean(rows: DataFrame, group: str, value: str, share: float = 0.1) -> DataFrame:
     """Mean without max(1, int(n * share)) values at either end; the plain mean of fewer than three."""
-    w = Window.partitionBy(group)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    cut = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    kept = (F.col("_n") < 3) | ((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut))
-    return ranked.filter(kept).groupBy(group).agg(F.avg(value).alias("trimmed_mean"))
+    cut = F.when(F.col("_n") < 3, 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("_n") * share)))
+    first, last = F.greatest(F.col("_below"), cut), F.least(F.col("_below") + F.col("_c"), F.col("_n") - cut)
+    kept = _counted(rows, group, value).withColumn("_k", F.greatest(F.lit(0), last - first))
+    return kept.groupBy(group).agg((F.sum(F.col(value) * F.col("_k")) / F.sum("_k")).alias("trimmed_mean"))
 
 
 def conformal_quantile(rows: DataFrame, group: str, value: str, alpha: float) -> DataFrame:
-    """The ceil((n + 1)(1 - alpha))-th smallest value of each group; 1 where that is beyond n."""
-    w = Window.partitionBy(group)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = F.ceil((F.col("_n") + 1) * (1 - alpha))
-    return ranked.groupBy(group).agg(F.coalesce(F.max(F.when(F.col("_r") == at, F.col(value))), F.lit(1.0)).alias("quantile"))
+    """The ceil((n + 1)(1 - alpha))-th smallest value of each group, the largest one where that is beyond n."""
+    at = F.greatest(F.lit(1), F.least(F.ceil((F.col("_n") + 1) * (1 - alpha)), F.col("_n")))
+    hit = (F.col("_below") < at) & (at <= F.col("_below") + F.col("_c"))
+    return _counted(rows, group, value).filter(hit).select(group, F.col(value).alias("quantile"))
 
 
 def welford(rows: DataFrame, group: str, value: str, success: F.Column) -> DataFrame:
@@ -65,11 +91,8 @@ def median_and_mad(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def conformal_p(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, n, p): the right-tail conformal p-value of each value against its group. Equal values are one row before they are ordered."""
-    ties = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(group)
-    upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("n").over(w)
-    return ties.select(group, value, "n", ((total - upto + 1) / (total + 1)).alias("p"))
+    p = (F.col("_n") - F.col("_below") - F.col("_c") + 1) / (F.col("_n") + 1)
+    return _counted(rows, group, value).select(group, value, F.col("_c").alias("n"), p.alias("p"))
 
 
 def ucb(rows: DataFrame, group: str, value: str, alpha: float = 1.0) -> DataFrame:

@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import signals
 from siltstone.functions import text as tx
 from siltstone.operators import blocks, graph, ledger, ranking, selection, statistics
+from siltstone.plans.registry import ORACLE_SQL, QUERIES
+from siltstone.plans.registry import register as _register
+from siltstone.plans.registry import table as _t
+from siltstone.sources import jsonl
 
 #: Terms of the ranking query; frequent words of the tables' invented prose.
 QUERY_TERMS = ["the", "thand", "pour", "nicht", "ciónes"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _register(sql: str) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _WORDS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN_]+'), lambda w: length(w) >= 2)"
 
 
@@ -46,13 +31,24 @@ def k2_bm25_top(spark, sf_dir):
     return ranking.top_k(scored, 10)
 
 
+_STOPS = ", ".join(f"'{w}'" for w in ranking.STOP_WORDS)
+
+
+def _terms_sql(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[\\pL\\pN_]+'), lambda w: strlen(w) >= 2 AND w NOT IN ({_STOPS}))"
+
+
 @_register(f"""
-WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY ALL),
-t AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM c GROUP BY term)
-SELECT term, tf, df, round(tf * (ln((SELECT count(*) FROM documents) / (1 + df)) + 1), 6) AS weight FROM t ORDER BY weight DESC, term LIMIT 12
+WITH q AS (SELECT conv_id, turn, {_terms_sql("text")} AS w FROM conversations WHERE role = 'user'), n AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_terms_sql("text")}) AS term FROM documents) GROUP BY term),
+t AS (SELECT conv_id, turn, term, count(*) / any_value(len(w)) AS tf FROM (SELECT conv_id, turn, w, unnest(w) AS term FROM q) GROUP BY ALL),
+s AS (SELECT conv_id, turn, term, round(tf * (ln((n + 1) / (1 + coalesce(df, 0) + 1)) + 1), 6) AS weight FROM t LEFT JOIN df USING (term), n)
+SELECT conv_id, turn, term, weight FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY weight DESC, term) <= 12
 """)
 def k37_key_terms(spark, sf_dir):
-    return ranking.key_terms(_t(spark, sf_dir, "documents"))
+    users = _t(spark, sf_dir, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("query_id"), "text")
+    found = ranking.key_terms(users, _t(spark, sf_dir, "documents"), "query_id")
+    return found.select("query_id.conv_id", "query_id.turn", "term", "weight")
 
 
 @_register(f"""
@@ -81,7 +77,7 @@ def f2_token_estimate(spark, sf_dir):
 
 @_register("""
 WITH p AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS f FROM documents)
-SELECT doc_id, CASE WHEN length(f) > 240 THEN substr(f, 1, 240) || '...' ELSE f END AS preview FROM p
+SELECT doc_id, CASE WHEN length(f) > 240 THEN substr(f, 1, 237) || '...' ELSE f END AS preview FROM p
 """)
 def y3_preview(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", tx.preview(F.col("text")).alias("preview"))
@@ -92,11 +88,11 @@ def y1_fingerprint(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"))
 
 
-@_register("""
+@_register(r"""
 SELECT doc_id, array_to_string(list_filter([
   CASE WHEN contains(text, '@') AND contains(text, '.') THEN 'Email' END,
   CASE WHEN length(regexp_extract(text, '(?s)^.*?(sk-[\\pL\\pN-]*)', 1)) > 20 THEN 'APIKey' END,
-  CASE WHEN regexp_matches(text, '(?s)[0-9]..-[0-9].-[0-9]...') THEN 'SSN' END], lambda x: x IS NOT NULL), ',') AS pii,
+  CASE WHEN regexp_matches(regexp_replace(regexp_replace(regexp_replace(text, '[\x{10000}-\x{10FFFF}]', 'xxxx', 'g'), '[\x{0800}-\x{FFFF}]', 'xxx', 'g'), '[\x{0080}-\x{07FF}]', 'xx', 'g'), '(?s)[0-9]..-[0-9].-[0-9]....') THEN 'SSN' END], lambda x: x IS NOT NULL), ',') AS pii,
   regexp_matches(lower(text), 'ignore previous instructions|ignore all previous|system prompt:|you are now|jailbreak|disregard the above|forget your instructions') AS injection
 FROM documents
 """)
@@ -117,7 +113,7 @@ def f7_task_type(spark, sf_dir):
 
 
 @_register("""
-WITH c AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) AS n FROM documents)
+WITH c AS (SELECT doc_id, len(regexp_extract_all(replace(coalesce(text, ''), '-', ' '), '[A-Za-z0-9][A-Za-z0-9_'']*')) AS n FROM documents)
 SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, CAST(i * 328 AS BIGINT) AS token_start, CAST(least(i * 328 + 360, n) AS BIGINT) AS token_end
 FROM (SELECT doc_id, n, unnest(range(0, CAST(greatest(0, ceil((n - 360) / 328)) AS BIGINT) + 1)) AS i FROM c WHERE n > 0)
 """)
@@ -126,7 +122,8 @@ def s7_token_chunks(spark, sf_dir):
 
 
 @_register("""
-WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS pos, trim(unnest(x)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS pos, regexp_replace(unnest(x), '^\\s+|\\s+$', '', 'g') AS line
+  FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]') AS x FROM documents)),
 g AS (SELECT doc_id, line, pos - row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS g FROM l)
 SELECT doc_id, line, count(*) AS run FROM g WHERE line <> '' GROUP BY doc_id, line, g.g HAVING count(*) >= 2
 """)
@@ -153,21 +150,31 @@ def u2_turn_overlap(spark, sf_dir):
 @_register("""
 WITH d AS (SELECT l_orderkey, sum(l_extendedprice * l_discount) AS d FROM lineitem GROUP BY 1)
 SELECT o_orderpriority AS tier, count(*) AS n_events, round(sum(o_totalprice), 2) AS gross, round(sum(coalesce(d, 0)), 2) AS adjusted,
-  round(sum(o_totalprice) - sum(coalesce(d, 0)), 2) AS net FROM orders LEFT JOIN d ON o_orderkey = l_orderkey GROUP BY 1
+  round(sum(o_totalprice - o_totalprice * 0.01), 2) AS base, round(sum(o_totalprice - o_totalprice * 0.01) - sum(coalesce(d, 0)), 2) AS net FROM orders LEFT JOIN d ON o_orderkey = l_orderkey GROUP BY 1
 """)
 def a2_savings_by_tier(spark, sf_dir):
-    events = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("tier"), "o_totalprice")
+    events = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("tier"), "o_totalprice", (F.col("o_totalprice") * 0.01).alias("cost"))
     debits = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_extendedprice") * F.col("l_discount")).alias("debit"))
-    out = ledger.savings_by_tier(events, debits, "k", "tier", "o_totalprice", "debit")
-    return out.select("tier", "n_events", *(F.round(c, 2).alias(c) for c in ("gross", "adjusted", "net")))
+    out = ledger.savings_by_tier(events, debits, "k", "tier", "o_totalprice", "cost", "debit")
+    return out.select("tier", "n_events", *(F.round(c, 2).alias(c) for c in ("gross", "base", "adjusted", "net")))
 
 
 @_register("""
-SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS users,
-  count(CASE WHEN props IS NULL THEN 1 END) AS without_props, round(avg(value), 6) AS mean FROM events GROUP BY 1
+SELECT count(*) AS requests, coalesce(sum(l_partkey), 0)::BIGINT AS uncached_input_tokens, coalesce(sum(l_suppkey), 0)::BIGINT AS cache_read_tokens,
+  coalesce(sum(l_linenumber), 0)::BIGINT AS cache_write_tokens, coalesce(sum(CAST(l_quantity AS BIGINT)), 0)::BIGINT AS output_tokens,
+  coalesce(sum(CAST(floor(l_extendedprice) AS BIGINT)), 0)::BIGINT AS cost_micro_usd, coalesce(sum(CAST(floor(l_tax * 100) AS BIGINT)), 0)::BIGINT AS cache_savings_micro_usd,
+  coalesce(sum(CASE WHEN concat(CASE WHEN l_returnflag = 'R' THEN 'unpriced:' ELSE 'list:' END, l_linestatus) LIKE 'unpriced:%' THEN 1 ELSE 0 END), 0)::BIGINT AS unpriced_requests,
+  round(coalesce(sum(l_suppkey), 0) / greatest(1, coalesce(sum(l_suppkey), 0) + coalesce(sum(l_partkey), 0)), 9) AS cache_hit_token_ratio
+FROM lineitem WHERE l_linestatus = 'O'
 """)
 def a1_usage_totals(spark, sf_dir):
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("users"), F.count(F.when(F.col("props").isNull(), 1)).alias("without_props"), F.round(F.avg("value"), 6).alias("mean"))
+    """Lines as requests, keys as token counts."""
+    source = F.concat(F.when(F.col("l_returnflag") == "R", "unpriced:").otherwise("list:"), F.col("l_linestatus"))
+    events = _t(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("uncached_input_tokens"), F.col("l_suppkey").alias("cache_read_tokens"), F.col("l_linenumber").alias("cache_write_tokens"), F.col("l_quantity").cast("long").alias("output_tokens"),
+        F.floor("l_extendedprice").alias("cost_micro_usd"), F.floor(F.col("l_tax") * 100).alias("cache_savings_micro_usd"), source.alias("pricing_source"), F.col("l_linestatus").alias("model"),
+    )
+    return ledger.usage_totals(events, {"model": "O"}).withColumn("cache_hit_token_ratio", F.round("cache_hit_token_ratio", 9))
 
 
 @_register("""
@@ -210,11 +217,11 @@ def a33_trimmed_mean(spark, sf_dir):
 
 
 @_register("""
-WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-SELECT event_type, round(coalesce(max(CASE WHEN r = ceil((n + 1) * (1 - 0.1)) THEN value END), 1.0), 6) AS quantile FROM r GROUP BY 1
+WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, round(max(CASE WHEN r = greatest(1, least(ceil((n + 1) * (1::DOUBLE - 0.1::DOUBLE)), n)) THEN value END), 6) AS quantile FROM r GROUP BY 1
 """)
 def v10_conformal_quantile(spark, sf_dir):
-    return statistics.conformal_quantile(_t(spark, sf_dir, "events"), "event_type", "value", 0.1).withColumn("quantile", F.round("quantile", 6))
+    return statistics.conformal_quantile(_t(spark, sf_dir, "events"), "user_id", "value", 0.1).withColumn("quantile", F.round("quantile", 6))
 
 
 @_register("""
@@ -242,7 +249,7 @@ def v6_percentiles(spark, sf_dir):
 
 
 @_register("""
-SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus
+SELECT o_custkey, max(o_orderkey) AS o_orderkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus
 FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30' GROUP BY 1
 """)
 def j11_as_of(spark, sf_dir):
@@ -251,15 +258,16 @@ def j11_as_of(spark, sf_dir):
 
 
 @_register("""
-WITH a AS (SELECT o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders WHERE o_orderdate <= TIMESTAMP '1995-06-30' GROUP BY 1),
-b AS (SELECT o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30' GROUP BY 1)
-SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'added' WHEN b.o_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM a FULL JOIN b ON a.o_custkey = b.o_custkey WHERE a.o_custkey IS NULL OR b.o_custkey IS NULL OR a.s IS DISTINCT FROM b.s
+WITH a AS (SELECT o_custkey, max(o_orderkey) AS q, max_by(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderdate <= TIMESTAMP '1995-06-30' GROUP BY 1),
+b AS (SELECT o_custkey, max(o_orderkey) AS q, max_by(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30' GROUP BY 1)
+SELECT o_custkey, CASE WHEN a.q IS NULL THEN 'added' ELSE 'changed' END AS change, a.q AS from_sequence, b.q AS to_sequence, a.s AS from_value, b.s AS to_value
+FROM b LEFT JOIN a USING (o_custkey) WHERE a.q IS DISTINCT FROM b.q
 """)
 def j12_snapshot_diff(spark, sf_dir):
+    """J12 and U6."""
     orders = _t(spark, sf_dir, "orders")
     at = lambda d: ledger.as_of(orders, "o_custkey", "o_orderdate", "o_orderkey", F.lit(d).cast("timestamp"))
-    return ledger.snapshot_diff(at("1995-06-30"), at("1996-06-30"), "o_custkey", "o_orderstatus")
+    return ledger.snapshot_diff(at("1995-06-30"), at("1996-06-30"), "o_custkey", "o_orderkey", "o_orderstatus")
 
 
 @_register("""
@@ -303,9 +311,9 @@ FROM part
 def w1_rank_and_scale(spark, sf_dir):
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     stats = part.agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
-    # ranks of a global order: counted by price first, so only different prices are ordered together
-    ties = part.groupBy("p_retailprice").agg(F.count(F.lit(1)).alias("c"))
-    before = ties.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy(F.col("p_retailprice").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    # ranks of a global order: counted by price first, and prices are ordered in buckets
+    ties = part.groupBy("p_retailprice").agg(F.count(F.lit(1)).alias("c")).withColumn("_low", -F.col("p_retailprice"))
+    before = statistics.count_below(ties, "_low", "c").select("p_retailprice", F.col("_below").alias("before"))
     ranked = part.join(before, "p_retailprice").withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("p_retailprice").orderBy("p_partkey")) - 1).crossJoin(F.broadcast(stats))
     clamp = lambda c: F.greatest(F.lit(0.05), F.least(F.lit(1.0), c))
     scaled = F.when(F.col("hi") - F.col("lo") < 1e-10, F.lit(0.5)).otherwise(clamp((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 0.95 + 0.05))
@@ -334,7 +342,7 @@ def f6_safety_and_anchors(spark, sf_dir):
 WITH b AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'SystemMessage' WHEN 'user' THEN 'UserMessage' WHEN 'tool' THEN 'ToolResult' WHEN 'function' THEN 'ToolResult'
     ELSE CASE WHEN role = 'assistant' AND regexp_matches(text, '^\\s*<(thinking|reasoning)>') THEN 'ThinkingBlock' ELSE 'AssistantMessage' END END AS kind,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-SELECT conv_id, turn, kind, p >= n - 2 AS protected, round(CASE WHEN n <= 1 THEN 1.0 ELSE 0.4 * exp(-p / (0.15 * n)) + 0.4 * exp(-(n - p - 1) / (0.15 * n)) + 0.2 END, 6) AS attention FROM b
+SELECT conv_id, turn, kind, p >= n - 2 AS protected, round(CASE WHEN n <= 1 THEN 1.0 ELSE 0.4 * exp(-p / greatest(0.15 * n, 1.0)) + 0.4 * exp(-(n - p - 1) / greatest(0.15 * n, 1.0)) + 0.2 END, 6) AS attention FROM b
 """)
 def w16_blocks_and_attention(spark, sf_dir):
     """F12, W5 and W16."""
@@ -475,11 +483,13 @@ def u7_users_in_both(spark, sf_dir):
 
 
 @_register("""
-WITH r AS (SELECT *, coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_retailprice / p_size DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM part)
-SELECT p_brand, round(sum(p_retailprice * greatest(0, least(1, (100 - b) / p_size))), 4) AS bound FROM r GROUP BY 1
+WITH p AS (SELECT p_brand, p_partkey, round(p_retailprice - 920, 6) AS v, p_size - 1 AS w FROM part WHERE round(p_retailprice - 920, 6) > 0),
+r AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY p_brand ORDER BY CASE WHEN w > 0 THEN v / w END DESC NULLS FIRST, v DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p)
+SELECT p_brand, round(sum(CASE WHEN w = 0 THEN v ELSE v * greatest(0, least(1, (100 - b) / w)) END), 4) AS bound FROM r GROUP BY 1
 """)
 def k17_fractional_bound(spark, sf_dir):
-    return selection.fractional_bound(_t(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_retailprice", "p_size", 100).withColumn("bound", F.round("bound", 4))
+    parts = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_retailprice") - 920).alias("value"), (F.col("p_size") - 1).alias("weight"))
+    return selection.fractional_bound(parts, "p_brand", "p_partkey", "value", "weight", 100).withColumn("bound", F.round("bound", 4))
 
 
 @_register("""
@@ -504,3 +514,17 @@ def k35_top_pairs(spark, sf_dir):
     """Parts of the same orders, with the quantity as reward."""
     pairs = selection.chosen_together(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_quantity")
     return selection.top_pairs(pairs.withColumn("strength", F.round("strength", 6)), 20)
+
+
+@_register("""
+WITH l AS (SELECT event_id, props AS value FROM events UNION ALL SELECT -event_id, CASE event_id % 5 WHEN 0 THEN '[1, 2]' WHEN 1 THEN '{"k": "70"}' WHEN 2 THEN '{broken' WHEN 3 THEN ' ' ELSE '{"b": 1, "a": 2}' END FROM events)
+SELECT event_id FROM l WHERE trim(coalesce(value, '')) <> '' AND (NOT json_valid(value) OR coalesce(CASE WHEN json_type(value, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(json_extract(value, '$.k') AS DOUBLE) END, 0) >= 50)
+""")
+def s14_prune_lines(spark, sf_dir):
+    events = _t(spark, sf_dir, "events")
+    odd = F.element_at(F.array(*map(F.lit, ("[1, 2]", '{"k": "70"}', "{broken", " ", '{"b": 1, "a": 2}'))), (F.col("event_id") % 5 + 1).cast("int"))
+    lines = events.select("event_id", F.col("props").alias("value")).unionByName(events.select((-F.col("event_id")).alias("event_id"), odd.alias("value")))
+    return jsonl.prune(lines, "k", 50.0).select("event_id")
+
+
+from siltstone.plans import ledger_queries, selection_queries, text_queries  # noqa: E402, F401  (they register their queries)

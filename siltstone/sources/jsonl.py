@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 
 def prune(lines: DataFrame, ts_key: str, cutoff: float, column: str = "value") -> DataFrame:
-    """Lines to keep: those whose ts_key is cutoff or later, and those that aren't JSON objects. A missing ts_key counts as 0; blank lines go."""
-    parsed = F.from_json(F.col(column), "map<string,string>", {"mode": "PERMISSIVE"})
-    valid = parsed.isNotNull() & F.col(column).rlike(r"(?s)^\s*\{.*\}\s*$")
-    ts = F.coalesce(F.expr(f"try_cast(get_json_object(`{column}`, '$.{ts_key}') as double)"), F.lit(0.0))
-    return lines.filter((F.trim(column) != "") & (~valid | (ts >= cutoff)))
+    """Lines to keep: those whose ts_key is cutoff or later, and those that aren't JSON.
+
+    A ts_key that is missing or no number (a quoted one too) counts as 0, as does that of JSON
+    without keys; blank and null lines go. JSON that stays is written anew, with sorted keys.
+    """
+    value = F.try_parse_json(F.col(column))
+    stamp = F.try_variant_get(value, f"$.{ts_key}", "variant")
+    number = F.coalesce(F.schema_of_variant(stamp).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+    ts = F.when(number, F.try_variant_get(value, f"$.{ts_key}", "double")).otherwise(F.lit(0.0))
+    kept = lines.filter((F.trim(column) != "") & (value.isNull() | (ts >= cutoff)))
+    return kept.withColumn(column, F.coalesce(F.to_json(value), F.trim(column)))
 
 
 def write(rows: DataFrame, path: str) -> None:

@@ -6,8 +6,11 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from siltstone.functions import signals
 from siltstone.functions import text as tx
-from siltstone.operators import blocks, graph, ledger
+from siltstone.operators import blocks, graph, ledger, selection, statistics
 from siltstone.plans import queries
 from siltstone.sources import jsonl
 from siltstone.streaming import rollups
@@ -70,7 +73,9 @@ def test_nulls_and_empty_texts(spark):
 def test_prune_keeps_late_and_unparseable_lines(spark):
     lines = ['{"ts": 5, "a": 1}', '{"ts": 1}', '{"a": 1}', "junk", " "]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
-    assert sorted(r.value for r in jsonl.prune(df, "ts", 3).collect()) == sorted([lines[0], "junk"])
+    assert sorted(r.value for r in jsonl.prune(df, "ts", 3).collect()) == sorted(['{"a":1,"ts":5}', "junk"])
+    odd = spark.createDataFrame([("[1, 2]",), ('{"ts": "9"}',), ("7",), ('{"ts": 9.5}',)], "value string")
+    assert [r.value for r in jsonl.prune(odd, "ts", 3).collect()] == ['{"ts":9.5}']
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="needs the driver's tables")
@@ -84,3 +89,30 @@ def test_streaming_rollup_equals_batch(spark, tmp_path):
     got = sorted((str(r.start)[:10], r.n) for r in spark.table("daily").collect())
     want = sorted((r.key, r.n) for r in ledger.rollup(events, "ts", "value").filter("period = 'day'").collect())
     assert got == want
+
+
+def test_values_of_small_cases(spark):
+    """Cases at the edges of the formulas, with their values worked out by hand."""
+    one = lambda df: [tuple(r) for r in df.collect()]
+    texts = spark.createDataFrame([("x" * 241,), ("x" * 240,), ("a \n\t b",)], "t string")
+    assert one(texts.select(tx.preview(F.col("t")))) == [("x" * 237 + "...",), ("x" * 240,), ("a b",)]
+    # a number at the very end has too few bytes behind it; accented letters have two each
+    ends = spark.createDataFrame([("123-45-6789",), ("123-45-6789.",), ("123-45-é6789",), ("123-45-67é",)], "t string")
+    assert one(ends.select(F.array_contains(tx.pii_types(F.col("t")), "SSN"))) == [(False,), (True,), (False,), (False,)]
+    turns = spark.createDataFrame([(0, 3), (1, 3), (2, 3), (0, 1)], "p int, n int")
+    got = [round(r[0], 6) for r in turns.select(signals.attention_weight(F.col("p"), F.col("n"))).collect()]
+    assert got == [round(0.4 + 0.4 * math.exp(-2) + 0.2, 6), round(0.8 * math.exp(-1) + 0.2, 6), round(0.4 + 0.4 * math.exp(-2) + 0.2, 6), 1.0]
+    lines = spark.createDataFrame([(1, "\tab \r\n ab\r\nab\u2028\nx")], "doc_id long, text string")
+    assert [(r.line, r.run) for r in blocks.repetition_floods(lines, 2).collect()] == [("ab", 3)]
+    five = spark.createDataFrame([("g", float(v)) for v in (3, 1, 2, 5, 4)], "g string, v double")
+    assert one(statistics.conformal_quantile(five, "g", "v", 0.1)) == [("g", 5.0)]
+    assert one(statistics.trimmed_mean(five, "g", "v")) == [("g", 3.0)]
+    words = spark.createDataFrame([(1, "well-known it's _x - --")], "doc_id long, text string")
+    assert one(blocks.token_chunks(words, 2, 0).select("token_start", "token_end")) == [(0, 2), (2, 4)]
+    # the version of the larger sequence wins, though its instant is earlier; one without an instant doesn't count
+    versions = spark.createDataFrame([("e", 1, 5), ("e", 2, 3), ("e", 3, None), ("f", 4, 2)], "entity string, seq int, at int")
+    assert sorted(one(ledger.as_of(versions, "entity", "at", "seq", F.lit(6)).select("entity", "seq"))) == [("e", 2), ("f", 4)]
+    free = spark.createDataFrame([("g", 1, 2.0, 0), ("g", 2, -1.0, 1), ("g", 3, 4.0, 4)], "g string, k int, v double, w int")
+    assert one(selection.fractional_bound(free, "g", "k", "v", "w", 2)) == [("g", 4.0)]
+    with pytest.raises(ValueError):
+        ledger.usage_totals(versions, {"entity": "e"})
