@@ -71,3 +71,92 @@ def spikes(events: DataFrame, group: str, order: str, value: str, sigmas: float
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     seen = events.withColumn("_n", F.count(value).over(w)).withColumn("mean", F.avg(value).over(w)).withColumn("sd", F.stddev_samp(value).over(w))
     return seen.filter((F.col("_n") >= least) & (F.col("sd") > 0) & (F.abs(F.col(value) - F.col("mean")) > sigmas * F.col("sd"))).drop("_n")
+
+
+def event_net(events: DataFrame, adjustments: DataFrame, key: str) -> DataFrame:
+    """(key, reexpanded, adjustment, net_tokens, net_micro_usd) of each event (gross_tokens, gross_micro, cost_micro) less its adjustments (tokens, micro)."""
+    sums = adjustments.groupBy(key).agg(F.sum("tokens").alias("_t"), F.sum("micro").alias("_m"))
+    joined = events.join(sums, key, "left").withColumn("reexpanded", F.coalesce("_t", F.lit(0)).cast("long")).withColumn("adjustment", F.coalesce("_m", F.lit(0)).cast("long"))
+    return joined.select(key, "reexpanded", "adjustment", (F.col("gross_tokens") - F.col("reexpanded")).alias("net_tokens"), (F.col("gross_micro") - F.col("cost_micro") - F.col("adjustment")).alias("net_micro_usd"))
+
+
+def savings_by_confidence(rows: DataFrame, tiers: tuple[str, ...]) -> DataFrame:
+    """records, gross, retrieved (each 0 at least) and net by tier; each of the tiers has a row."""
+    sums = rows.groupBy("tier").agg(F.count(F.lit(1)).alias("records"), F.sum("gross").alias("gross"), F.sum(F.greatest(F.col("retrieved"), F.lit(0))).alias("retrieved"))
+    listed = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, tiers))).alias("tier"))
+    full = listed.join(sums, "tier", "left").select("tier", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("records", "gross", "retrieved")))
+    return full.withColumn("net", F.col("gross") - F.col("retrieved"))
+
+
+def decision_summary(rows: DataFrame) -> DataFrame:
+    """units, token sums, lossy units and whether none is lossy, by decision."""
+    sums = rows.groupBy("decision").agg(F.count(F.lit(1)).alias("units"), F.sum("before").cast("long").alias("tokens_before"), F.sum("after").cast("long").alias("tokens_after"), F.count_if("lossy").alias("lossy_units"))
+    return sums.withColumn("tokens_saved", F.col("tokens_before") - F.col("tokens_after")).withColumn("fully_recoverable", F.col("lossy_units") == 0)
+
+
+def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """usage (provider, model) with the rate of prices (key, rate) for provider:model, else for provider:*; null without one. Providers are trimmed and in lower case. Keys of prices are unique."""
+    provider = F.lower(F.trim("provider"))
+    exact = prices.select(F.col("key").alias("_exact"), F.col("rate").alias("_rate"))
+    rest = prices.select(F.col("key").alias("_any"), F.col("rate").alias("_else"))
+    found = usage.withColumn("_k", F.concat_ws(":", provider, "model")).withColumn("_w", F.concat(provider, F.lit(":*")))
+    return found.join(exact, F.col("_k") == F.col("_exact"), "left").join(rest, F.col("_w") == F.col("_any"), "left").select(*usage.columns, F.coalesce("_rate", "_else").alias("rate"))
+
+
+def compressed_risk(findings: DataFrame, group: str) -> DataFrame:
+    """(group, risk): 0 to 10, levelling off with the sum of severity times confidence, times 1.3 for findings that tainted data reaches."""
+    weight = F.col("severity") * F.col("confidence") * F.when(F.col("taint"), 1.3).otherwise(1.0)
+    return findings.groupBy(group).agg(F.least(F.lit(10.0), 10.0 * (1 - F.exp(-F.sum(weight) / 4.0))).alias("risk"))
+
+
+def temporal_links(traces: DataFrame, order: str, item: str) -> DataFrame:
+    """(source, target, n): how often an item of one trace is followed by another item in the next trace.
+
+    Traces are numbered by their rank among the different orders, which are ordered in buckets.
+    """
+    from siltstone.operators.statistics import count_below
+
+    once = traces.select(order, item).distinct()
+    keys = count_below(once.select(order).distinct().withColumn("_one", F.lit(1)), order, "_one").select(order, F.col("_below").alias("_k"))
+    rows = once.join(keys, order)
+    later = rows.select((F.col("_k") - 1).alias("_k"), F.col(item).alias("target"))
+    return rows.select("_k", F.col(item).alias("source")).join(later, "_k").filter("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def contradictions(beliefs: DataFrame, entity: str, gap: float = 0.4) -> DataFrame:
+    """(entity, stale_vs_fresh, confidence_divergence): pairs of an entity's beliefs (status, confidence) of which one is verified and one stale, and pairs whose confidences are over gap apart. Entities without either are left out.
+
+    Pairs are counted, not made: statuses by products of their counts, confidences by a range
+    over the entity's ordered values.
+    """
+    rows = beliefs.withColumn("_v", (F.col("status") == "verified").cast("int")).withColumn("_s", (F.col("status") == "stale").cast("int"))
+    mixed = rows.groupBy(entity).agg((F.coalesce(F.sum("_v"), F.lit(0)) * F.coalesce(F.sum("_s"), F.lit(0))).alias("stale_vs_fresh"))
+    ties = beliefs.filter(F.col("confidence").isNotNull()).groupBy(entity, "confidence").agg(F.count(F.lit(1)).alias("_n"))
+    near = F.sum("_n").over(Window.partitionBy(entity).orderBy("confidence").rangeBetween(-gap, 0))
+    upto = F.sum("_n").over(Window.partitionBy(entity).orderBy("confidence").rangeBetween(Window.unboundedPreceding, 0))
+    apart = ties.withColumn("_far", (upto - near) * F.col("_n")).groupBy(entity).agg(F.sum("_far").alias("confidence_divergence"))
+    both = mixed.join(apart, entity, "left").withColumn("confidence_divergence", F.coalesce("confidence_divergence", F.lit(0)))
+    return both.filter(F.col("stale_vs_fresh") + F.col("confidence_divergence") > 0)
+
+
+def forward_share(blocks: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """(group, order, overlap): the share of a block's word pairs that a later block of its group has; 0.5 where no later block has any pair."""
+    from siltstone.functions.signals import hashed, ngrams
+
+    pairs = blocks.select(group, order, hashed(ngrams(F.col(text), 2)).alias("_g"))
+    last = pairs.filter(F.size("_g") > 0).groupBy(group).agg(F.max(order).alias("_last"))
+    each = pairs.select(group, order, F.explode("_g").alias("_x")).groupBy(group, order, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    seen = each.withColumn("_later", F.max(order).over(Window.partitionBy(group, "_x")) > F.col(order))
+    share = seen.groupBy(group, order).agg((F.sum(F.when(F.col("_later"), F.col("_n")).otherwise(0)) / F.sum("_n")).alias("_share"))
+    joined = pairs.join(last, group, "left").join(share, [group, order], "left")
+    none_later = F.col("_last").isNull() | (F.col("_last") <= F.col(order))
+    return joined.select(group, order, F.when(none_later, 0.5).otherwise(F.coalesce("_share", F.lit(0.0))).alias("overlap"))
+
+
+def block_dependencies(blocks: DataFrame, group: str, order: str, kind: str) -> DataFrame:
+    """blocks with depends_on: the last user block before a tool call or thinking, the last call before a result, the last result and user block before an assistant's."""
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda k: F.max(F.when(F.col(kind) == k, F.col(order))).over(w)
+    user, call, result = last("UserMessage"), last("ToolCall"), last("ToolResult")
+    found = F.when(F.col(kind).isin("ToolCall", "ThinkingBlock"), F.array(user)).when(F.col(kind) == "ToolResult", F.array(call)).when(F.col(kind) == "AssistantMessage", F.array(result, user)).otherwise(F.array(F.lit(None)))
+    return blocks.withColumn("depends_on", F.array_compact(found))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import code
 from siltstone.functions.text import words
 from siltstone.operators.lineage import cut
 
@@ -70,3 +71,43 @@ def key_terms(queries: DataFrame, docs: DataFrame, query_id: str, k: int = 12, i
     scored = tf.join(df, "term", "left").crossJoin(F.broadcast(total)).select(query_id, "term", F.round(F.col("_tf") / F.col("_n") * idf, 6).alias("weight"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("weight"), "term"))
     return scored.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+
+
+#: Weights, times a term's idf, of paths that hold it, of files named by it and of identifiers that have a part of it.
+PATH_BOOST, NAME_BOOST, IDENTIFIER_BOOST = 8.0, 12.0, 3.0
+
+
+def code_bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """(id, coverage, base, path_boost, identifier_boost, score) of every row for a query over code.
+
+    Terms are those of code_tokens(); base is BM25 of them, times 1 + 1.5 * coverage^3 in the
+    score, where coverage is the share of terms found in text, path or identifiers. Texts are
+    split once: what is kept of each is its length and a few numbers for each term of the query.
+    """
+    spark = docs.sparkSession
+    asked = spark.range(1).select(code.code_tokens(F.lit(query)).alias("t")).select("t", F.transform("t", code.split_identifier).alias("p")).first()
+    if not asked["t"]:
+        zero = (F.lit(0.0).alias(c) for c in ("coverage", "base", "path_boost", "identifier_boost", "score"))
+        return docs.select(F.col(id_col).alias("id"), *zero)
+    path = F.coalesce(F.lower(F.col(path_col)), F.lit(""))
+    split = docs.select(F.col(id_col).alias("id"), path.alias("path"), code.path_tokens(F.col(path_col)).alias("in_path"), code.file_stem(F.col(path_col)).alias("name"), code.code_tokens(F.col(text_col)).alias("w"), F.array_distinct(F.flatten(F.transform(F.array_distinct(code.identifiers(F.col(text_col))), code.split_identifier))).alias("parts"))
+    count = lambda t: F.size(F.filter("w", lambda x: x == t))
+    hits = [
+        F.struct(
+            count(t).alias("tf"), (F.contains("path", F.lit(t)) | F.array_contains("in_path", t)).alias("path"), F.array_contains("in_path", t).alias("token"),
+            (F.col("name") == t).alias("name"), F.arrays_overlap("parts", F.array(*map(F.lit, p))).alias("part"),
+        )
+        for t, p in zip(asked["t"], asked["p"])
+    ]
+    slim = cut(split.select("id", F.size("w").alias("dl"), F.array(*hits).alias("hits")))
+    df = F.array(*(F.count_if((F.col("hits")[i]["tf"] > 0) | F.col("hits")[i]["token"]) for i in range(len(hits))))
+    stats = slim.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(1.0)), F.lit(1.0)).alias("avgdl"), df.alias("df"))
+    both = slim.crossJoin(F.broadcast(stats)).withColumn("x", F.zip_with("hits", "df", lambda h, d: F.struct(h.alias("h"), F.log((F.col("n") - d + 0.5) / (d + 0.5) + 1).alias("idf"))))
+    total = lambda f: F.aggregate(F.transform("x", f), F.lit(0.0), lambda a, v: a + v)
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    base = total(lambda x: x["idf"] * x["h"]["tf"] * (K1 + 1) / (x["h"]["tf"] + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    paths = total(lambda x: x["idf"] * (PATH_BOOST * one(x["h"]["path"]) + NAME_BOOST * one(x["h"]["name"])))
+    names = total(lambda x: x["idf"] * IDENTIFIER_BOOST * one(x["h"]["part"]))
+    found = total(lambda x: one((x["h"]["tf"] > 0) | x["h"]["path"] | x["h"]["part"])) / len(hits)
+    scored = both.select("id", found.alias("coverage"), base.alias("base"), paths.alias("path_boost"), names.alias("identifier_boost"))
+    return scored.withColumn("score", F.col("base") * (1 + 1.5 * F.pow("coverage", F.lit(3))) + F.col("path_boost") + F.col("identifier_boost"))

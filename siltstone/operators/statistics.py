@@ -115,3 +115,25 @@ def degree_outliers(nodes: DataFrame, edges: DataFrame, node: str, sigmas: float
 def e_product(rows: DataFrame, group: str, e_value: Column) -> DataFrame:
     """Logarithm of the product of each group's e-values, each 1e-9 at least, and their mean."""
     return rows.groupBy(group).agg(F.sum(F.log(F.greatest(e_value, F.lit(1e-9)))).alias("log_product"), F.avg(e_value).alias("mean"))
+
+
+def unit_quantile(value: str, q: float) -> Column:
+    """Linearly interpolated quantile of a group's values, as an aggregate; 0 for q of 0 or less or no values, 1 for q of 1 or more."""
+    if q <= 0:
+        return F.lit(0.0) * F.count(F.lit(1))
+    if q >= 1:
+        return F.lit(0.0) * F.count(F.lit(1)) + F.when(F.count(value) > 0, 1.0).otherwise(0.0)
+    return F.coalesce(F.percentile(value, F.lit(q)), F.lit(0.0))
+
+
+def nearest_percentile(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
+    """(group, percentile): the value at the rounded place p / 100 * (n - 1), from 0, of each group."""
+    at = F.round(p / 100 * (F.col("_n") - 1))
+    return _counted(rows, group, value).filter((F.col("_below") <= at) & (at < F.col("_below") + F.col("_c"))).select(group, F.col(value).alias("percentile"))
+
+
+def captured_mass(rows: DataFrame, group: str) -> DataFrame:
+    """(group, mass): the share of each group's positive utility that its selected rows have; 0 without any."""
+    worth = F.greatest(F.col("utility"), F.lit(0.0))
+    sums = rows.groupBy(group).agg(F.sum(worth).alias("_all"), F.sum(F.when(F.col("selected"), worth).otherwise(0.0)).alias("_kept"))
+    return sums.select(group, F.when(F.col("_all") <= 1e-12, 0.0).otherwise(F.col("_kept") / (F.col("_all") + 1e-12)).alias("mass"))

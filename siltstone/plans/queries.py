@@ -483,12 +483,12 @@ def u7_users_in_both(spark, sf_dir):
 
 
 @_register("""
-WITH p AS (SELECT p_brand, p_partkey, round(p_retailprice - 920, 6) AS v, p_size - 1 AS w FROM part WHERE round(p_retailprice - 920, 6) > 0),
+WITH p AS (SELECT p_brand, p_partkey, round(p_retailprice - 905, 6) AS v, p_size - 1 AS w FROM part WHERE round(p_retailprice - 905, 6) > 0),
 r AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY p_brand ORDER BY CASE WHEN w > 0 THEN v / w END DESC NULLS FIRST, v DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p)
 SELECT p_brand, round(sum(CASE WHEN w = 0 THEN v ELSE v * greatest(0, least(1, (100 - b) / w)) END), 4) AS bound FROM r GROUP BY 1
 """)
 def k17_fractional_bound(spark, sf_dir):
-    parts = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_retailprice") - 920).alias("value"), (F.col("p_size") - 1).alias("weight"))
+    parts = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_retailprice") - 905).alias("value"), (F.col("p_size") - 1).alias("weight"))
     return selection.fractional_bound(parts, "p_brand", "p_partkey", "value", "weight", 100).withColumn("bound", F.round("bound", 4))
 
 
