@@ -67,7 +67,7 @@ def _judged(spark, sf_dir):
 @register(f"""
 WITH r AS ({_JUDGED_SQL}), t AS (SELECT s, count(*) AS n, sum(y) AS p FROM r GROUP BY s),
 c AS (SELECT s, sum(p) OVER (ORDER BY s) / sum(n) OVER (ORDER BY s) AS lo, 1 - sum(p) OVER (ORDER BY s DESC) / sum(n) OVER (ORDER BY s DESC) AS hi FROM t),
-e AS (SELECT (SELECT min(s) FROM c WHERE lo > 0.1) AS f, (SELECT max(s) FROM c WHERE hi > 0.1) AS l)
+e AS (SELECT (SELECT min(s) FROM c WHERE lo > 0.1) AS f, (SELECT max(s) FROM c WHERE hi > 0.1) AS l),
 b AS (SELECT coalesce((SELECT max(s) FROM c, e WHERE f IS NULL OR s < f), '-inf'::DOUBLE) AS lo, coalesce((SELECT min(s) FROM c, e WHERE l IS NULL OR s > l), 'inf'::DOUBLE) AS hi, (SELECT max(s) FROM c) AS top, (SELECT min(s) FROM c) AS low)
 SELECT CASE WHEN lo >= hi THEN 0.5::DOUBLE * (least(lo, top) + greatest(hi, low)) ELSE lo END AS t_lo, CASE WHEN lo >= hi THEN 0.5::DOUBLE * (least(lo, top) + greatest(hi, low)) ELSE hi END AS t_hi FROM b
 """)
