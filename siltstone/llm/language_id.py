@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm._cluster import bounded
 from siltstone.llm._textscan import mix64
 
 ORDERS = (1, 2, 3)
@@ -166,7 +167,7 @@ def fit(learn: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
                 yield pa.RecordBatch.from_arrays([pa.array(langs[first : first + len(held)], pa.string()), pa.array([buckets[a:b].astype("<u4").tobytes() for a, b in pairs], pa.binary()), pa.array([n[a:b].astype("<f4").tobytes() for a, b in pairs], pa.binary())], names=["lang", "buckets", "counts"])
 
     # the share makes about max_train rows; the limit is the documented bound
-    found = picked.orderBy(F.xxhash64("h")).limit(max_train).select("text", "lang").mapInArrow(run, "lang string, buckets binary, counts binary").collect()
+    found = picked.orderBy(F.xxhash64("h"), "h", "lang", "text").limit(max_train).select("text", "lang").mapInArrow(run, "lang string, buckets binary, counts binary").collect()
     samples = []
     for r in found:
         buckets, n = np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["counts"], "<f4").astype(float)
@@ -213,7 +214,13 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
 
 
 def identify(docs: DataFrame, held_out: F.Column, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row of docs; only rows that aren't held out are learned from."""
-    flagged = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    """doc_id, held_out, lang_pred and score of each row of docs; only rows that aren't held out are learned from.
+
+    Null texts and texts without a letter are `und` with score 0. With one language learned, all
+    others are that one; with none, `und`. Null ids, repeated rows and ties are rows like all:
+    equal texts have equal results. An empty table gives an empty result. Weights take memory
+    for each language of the labels.
+    """
+    flagged = bounded(docs).select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     learn = flagged.filter(~F.col("held_out")).select("text", "lang", F.col("doc_id").alias("h"))
     return predict(flagged, fit(learn, max_train), ("doc_id", "held_out"))

@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from siltstone.llm._cluster import bounded
 from siltstone.llm._textscan import NON_SPACE, Words, blocks, mix64
 
 K = 3
@@ -25,6 +27,9 @@ N_HASHES = 64
 #: Ranges of document ids number at most this; one row for each goes to the driver.
 MAX_RANGES = 8192
 
+#: Rows of a range, where the shuffle partitions alone would give more.
+RANGE_ROWS = 50_000
+
 _SEEDS = np.random.RandomState(11).randint(1, 2**32, (N_HASHES, 2), dtype=np.uint64).astype(np.uint32)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -106,8 +111,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     task sees all rows. Null ids are the least; rows with one id follow in the order of their texts.
     """
     spark = docs.sparkSession
-    n = max(1, min(MAX_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    n = max(1, min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // RANGE_ROWS)))
+    keyed = bounded(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     cuts = keyed.select(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("c")).first()["c"] or []
     bounds = -np.unique(np.array(cuts, np.int64)).astype(object)[::-1]
     bounds = np.array([int(-x) for x in bounds], np.int64)  # descending
@@ -139,9 +144,15 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
-    """Fingerprints of each text and of its edited text (the last floor(n / 2) characters replaced by the next document's first as many), and likenesses."""
+    """Fingerprints of each text and of its edited text (the last floor(n / 2) characters replaced by the next document's first as many), and likenesses.
+
+    Ids are whole numbers of any type. A null text is an empty one, whose fingerprint is zeros;
+    two empty texts are alike (1). Null ids are the least; repeated rows follow each other, and
+    the only row of a table follows itself. An empty table gives an empty result. Other columns
+    aren't looked at, so their names can't clash.
+    """
     fields = [docs.schema["doc_id"], T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]
-    kind = pa.int64() if docs.schema["doc_id"].dataType == T.LongType() else None
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def compute(ids: list, texts: list[str], following: str) -> pa.RecordBatch:
         after = [*texts[1:], following]

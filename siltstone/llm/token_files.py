@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._cluster import shared_dir
+from siltstone.llm._cluster import bounded, shared_dir
 from siltstone.llm._tokens import WordEncoder, default_vocabulary
 
 MAGIC = b"SLTTOK01"
@@ -34,6 +34,9 @@ BLOCK_IDS = 1 << 18
 #: A position of every so many-th set bit is kept for select.
 SAMPLE = 256
 
+#: Documents whose boundaries are selected at once.
+READ_DOCS = 2048
+
 #: Shards, and so rows of totals at the driver, number at most this.
 MAX_SHARDS = 8192
 
@@ -84,6 +87,21 @@ class EliasFano:
         low = bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64)) if self.low_bits else 0
         return (high << self.low_bits) + low
 
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """The a-th to the (b - 1)-th value: only the bits between the sampled positions around them are read."""
+        if a >= b:
+            return np.zeros(0, np.int64)
+        s, t = a // SAMPLE, -(-b // SAMPLE)
+        start = int(self.samples[s])
+        end = int(self.samples[t]) if t < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[start // 8 : (end + 7) // 8], bitorder="little")
+        places = np.flatnonzero(bits[start % 8 :])[a - s * SAMPLE : b - s * SAMPLE] + start
+        high = places - np.arange(a, b)
+        first, last = a * self.low_bits, b * self.low_bits
+        packed = np.unpackbits(self.low[first // 8 : (last + 7) // 8], bitorder="little")[first % 8 :][: last - first]
+        low = packed.reshape(b - a, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64)) if self.low_bits else 0
+        return (high << self.low_bits) + low
+
     def select(self, i: int) -> int:
         """The i-th value, from the sampled position before it and the bits that follow."""
         if not 0 <= i < self.n:
@@ -147,7 +165,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     vocabulary = vocabulary or default_vocabulary()
     shards = min(MAX_SHARDS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     keys = [F.col("_id").asc_nulls_first(), F.col("_text").asc_nulls_first()]
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).repartitionByRange(shards, keys[0]).sortWithinPartitions(*keys)
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).repartitionByRange(shards, keys[0]).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder.load(vocabulary, by_word), int(end_id).to_bytes(4, "little")
@@ -186,10 +204,12 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 block = Block(data.as_py())
-                ends = block.bounds.values()
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = [block.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(starts + before[shard] + block.first, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "start", "n_tokens", "ids"])
+                for at in range(0, block.n_docs, READ_DOCS):
+                    to = min(at + READ_DOCS, block.n_docs)
+                    ends = block.bounds.select_range(at, to)
+                    starts = np.concatenate([[block.bounds.select(at - 1) if at else 0], ends[:-1]])
+                    ids = [block.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends)]
+                    yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids[at:to], pa.int64()), pa.array(starts + before[shard] + block.first, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "start", "n_tokens", "ids"])
 
     return blocks.select("shard", "data").mapInArrow(run, schema)
 
