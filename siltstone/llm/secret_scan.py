@@ -12,8 +12,8 @@ The chi-squared statistic is held against those of DRAWS random strings of the s
 the same reason, which a fixed seed draws.
 
 False discoveries are controlled in each stratum of encoding and length: of the candidates
-with p >= t those that evenly spread p-values (estimated from p > 1/2) don't account for are
-false; t is the least twentieth with an estimated share of them of MAX_FALSE at most. Each
+with p >= t those that evenly spread p-values (estimated from p > 1/4, beyond the words) don't
+account for are false; t is the least twentieth with an estimated share of them of MAX_FALSE at most. Each
 different string counts once, however many copies it has, and all its copies are judged alike.
 Candidates that overlap a span of the patterns count here too, but aren't reported again.
 """
@@ -45,6 +45,9 @@ KINDS = ("assign", "access", "hex", "random")
 MAX_FALSE = 0.05
 BINS = 20
 
+#: Bins from this one on (p of 1/4) tell how many random strings each bin has.
+EVEN_FROM = 5
+
 #: How many independent tests the three are worth: fitted to random strings of four alphabets and 22 to 200 characters (2.5 to 2.8).
 EFFECTIVE_TESTS = 2.62
 
@@ -201,7 +204,7 @@ def thresholds(tested: DataFrame, max_false: float = MAX_FALSE) -> dict[int, int
         counts.setdefault(r["stratum"], [0] * BINS)[r["bin"]] = r["count"]
     out = {}
     for stratum, bins in counts.items():
-        even = 2 * sum(bins[BINS // 2 :]) / BINS
+        even = sum(bins[EVEN_FROM:]) / (BINS - EVEN_FROM)
         for t in range(1, BINS):
             n = sum(bins[t:])
             if n and max(0.0, n - even * (BINS - t)) <= max_false * n:
