@@ -86,3 +86,10 @@ def sentences(text: Column, least: int = 20) -> Column:
     """Sentences of least characters or more: they end before white space after . ! or ?, and after a blank line, ;, or } at a line's end."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|(?<=\n\n)|(?<=[;}]\n)")
     return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.char_length(s) >= least)
+
+
+def best_matches(claims_: Column, evidence: Column) -> Column:
+    """Mean over a claim's word sets of the greatest Jaccard index with one of the evidence's; 0 without either. Both are one case's few sets."""
+    like = lambda a, b: F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    best = F.transform(claims_, lambda a: F.aggregate(evidence, F.lit(0.0), lambda m, b: F.greatest(m, like(a, b))))
+    return F.when((F.size(claims_) == 0) | (F.size(evidence) == 0), 0.0).otherwise(F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(claims_))

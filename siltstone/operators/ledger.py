@@ -160,3 +160,17 @@ def block_dependencies(blocks: DataFrame, group: str, order: str, kind: str) ->
     user, call, result = last("UserMessage"), last("ToolCall"), last("ToolResult")
     found = F.when(F.col(kind).isin("ToolCall", "ThinkingBlock"), F.array(user)).when(F.col(kind) == "ToolResult", F.array(call)).when(F.col(kind) == "AssistantMessage", F.array(result, user)).otherwise(F.array(F.lit(None)))
     return blocks.withColumn("depends_on", F.array_compact(found))
+
+
+def verified_chains(records: DataFrame, chain: str, order: str, digest: str, previous: str) -> DataFrame:
+    """(chain, records, first_break): the first record of each chain whose previous digest isn't that of the record before it (empty for the first); null for intact chains."""
+    want = F.coalesce(F.lag(digest).over(Window.partitionBy(chain).orderBy(order)), F.lit(""))
+    checked = records.withColumn("_ok", F.col(previous).eqNullSafe(want))
+    return checked.groupBy(chain).agg(F.count(F.lit(1)).alias("records"), F.min(F.when(~F.col("_ok"), F.col(order))).alias("first_break"))
+
+
+def rolling_values(events: DataFrame, ts: str, value: str, days: tuple[int, ...] = (1, 7, 30, 60, 90)) -> DataFrame:
+    """One row: sums of the last days up to the newest one, and of all. Days are summed first."""
+    daily = events.groupBy(F.to_date(ts).alias("_d")).agg(F.sum(value).alias("_v"))
+    last = daily.agg(F.max("_d").alias("_t"))
+    return daily.crossJoin(F.broadcast(last)).agg(*(F.sum(F.when(F.col("_d") > F.date_sub("_t", n), F.col("_v")).otherwise(0.0)).alias(f"d{n}") for n in days), F.sum("_v").alias("lifetime"))

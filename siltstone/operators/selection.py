@@ -59,3 +59,122 @@ def ngram_redundancy(docs: DataFrame, key: str, grams: Column) -> DataFrame:
     alone = owners.filter("_n = 1").groupBy(key).agg(F.count(F.lit(1)).alias("_alone"))
     total = F.size("_grams")
     return each.select(key, total.alias("_total")).join(alone, key, "left").select(key, F.when(F.col("_total") > 0, 1 - F.coalesce("_alone", F.lit(0)) / F.col("_total")).otherwise(F.lit(0.0)).alias("redundancy"))
+
+
+def greedy_fill(items: DataFrame, group: str, key: str, value: str, weight: str, budget: int, skip_worthless: bool = False) -> DataFrame:
+    """items with selected: of each group, from the densest item (value by weight, 1 at least) on, each that still fits the budget; one that doesn't is skipped.
+
+    Ties go to the larger value and then to the smaller key. A group is one request's
+    candidates and is folded as one array. With skip_worthless, items of no value stay out.
+    """
+    density = F.col(value) / F.greatest(F.col(weight), F.lit(1))
+    worth = (F.col(value) > 0) if skip_worthless else F.lit(True)
+    row = F.struct((-density).alias("d"), (-F.col(value)).alias("v"), F.col(key).alias("k"), F.col(weight).cast("long").alias("w"))
+    sorted_items = items.filter(worth).groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("_items"))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(items.select(F.array(F.col(key))).schema[0].dataType).alias("taken"))
+    take = lambda a, x: F.when(x["w"] <= a["left"], F.struct((a["left"] - x["w"]).alias("left"), F.concat(a["taken"], F.array(x["k"])).alias("taken"))).otherwise(a)
+    taken = sorted_items.select(group, F.explode(F.aggregate("_items", start, take, lambda a: a["taken"])).alias(key), F.lit(True).alias("selected"))
+    return items.join(taken, [group, key], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
+#: Cost units of the exact knapsack: budgets beyond it are cut into about so many.
+KNAPSACK_UNITS = 1000
+
+
+def knapsack(items: DataFrame, group: str, key: str, value: str, weight: str, budget: int) -> DataFrame:
+    """(group, key) of the items of the most value that fit the budget, exactly for budgets up to 2 * KNAPSACK_UNITS - 1.
+
+    Larger budgets are cut into units of budget // KNAPSACK_UNITS; items under one unit are
+    taken at once, and what is over the budget then is taken back from the last item on.
+    Values count to four digits. A group (one request's candidates) is one task's work: its
+    items times KNAPSACK_UNITS.
+    """
+    import numpy as np
+    import pandas as pd
+
+    unit = max(1, budget // KNAPSACK_UNITS)
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key, kind="stable")
+        weights, values = rows[weight].to_numpy(np.int64), (rows[value].to_numpy(np.float64) * 10_000).astype(np.int64)
+        cost = weights // unit
+        free = np.flatnonzero(cost == 0)
+        paid = np.flatnonzero((cost > 0) & (cost <= budget // unit))
+        room = max(0, budget - int(weights[free].sum())) // unit
+        picked = []
+        if room and len(paid):
+            best, kept = np.zeros(room + 1, np.int64), np.zeros((len(paid), room + 1), bool)
+            for i, p in enumerate(paid):
+                c = int(cost[p])
+                if c <= room:
+                    other = best[: room + 1 - c] + values[p]
+                    kept[i, c:] = other > best[c:]
+                    best[c:] = np.maximum(best[c:], other)
+            w = room
+            for i in range(len(paid) - 1, -1, -1):
+                if kept[i, w]:
+                    picked.append(int(paid[i]))
+                    w -= int(cost[paid[i]])
+        chosen = [*free.tolist(), *picked]
+        while len(chosen) > len(free) and weights[chosen].sum() > budget:
+            chosen.pop()
+        return rows.iloc[sorted(chosen)][[group, key]]
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([items.schema[group], items.schema[key]])
+    return items.select(group, key, value, weight).groupBy(group).applyInPandas(choose, schema)
+
+
+def module_diversity(candidates: DataFrame, selected: DataFrame, group: str, module: str, relevance: str) -> DataFrame:
+    """candidates with gain: relevance by one more than the group's selected rows of the same module."""
+    same = selected.groupBy(group, module).agg(F.count(F.lit(1)).alias("_same"))
+    return candidates.join(same, [group, module], "left").withColumn("gain", F.col(relevance) / (1 + F.coalesce("_same", F.lit(0)))).drop("_same")
+
+
+def resonance_bonus(pairs: DataFrame, candidates: DataFrame, selected: DataFrame, item: str) -> DataFrame:
+    """(item, bonus): the mean strength of a candidate's pairs (a, b, strength, n) with selected items, those seen often counting more; 0 without any."""
+    both = pairs.select("a", "b", "strength", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "strength", "n"))
+    mine = both.join(selected.select(F.col(item).alias("b")), "b", "left_semi").withColumn("_w", 1 - 1 / (1 + F.col("n")))
+    sums = mine.groupBy(F.col("a").alias(item)).agg((F.sum(F.col("_w") * F.col("strength")) / F.sum("_w")).alias("_bonus"))
+    return candidates.select(item).join(sums, item, "left").select(item, F.coalesce("_bonus", F.lit(0.0)).alias("bonus"))
+
+
+#: Cuts of a 64-bit fingerprint into six blocks.
+_CUTS = (0, 11, 22, 33, 44, 54, 64)
+
+
+def near_copies(docs: DataFrame, key: str, fingerprint: str, most: int = 3) -> DataFrame:
+    """(key, duplicate_of): rows in the order of their keys; one within most (3 or fewer) bits of an earlier row that is kept is its duplicate and isn't kept itself, null for kept rows.
+
+    Rows of one fingerprint are one class, whose least key stands for it. Two fingerprints
+    that differ in three bits agree in three of six blocks, so each of the twenty choices of
+    blocks is one join on half of the bits, which stays small for billions of rows. Rows are
+    settled round by round once all near earlier ones are, by a checkpointed table each.
+    """
+    from itertools import combinations
+
+    from siltstone.operators.lineage import cut
+
+    f = F.col(fingerprint)
+    classes = cut(docs.groupBy(fingerprint).agg(F.min(key).alias("k")))
+    block = lambda i: F.shiftrightunsigned(F.shiftleft(f, 64 - _CUTS[i + 1]), 64 - _CUTS[i + 1] + _CUTS[i])
+    keys = F.array(*(F.xxhash64(F.lit(n), *(block(i) for i in three)) for n, three in enumerate(combinations(range(6), 3))))
+    tables = classes.select("k", f.alias("f"), F.explode(keys).alias("t"))
+    x, y = tables.alias("x"), tables.alias("y")
+    near = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.k") < F.col("y.k")) & (F.bit_count(F.col("x.f").bitwiseXOR(F.col("y.f"))) <= most))
+    edges = cut(near.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
+    state = classes.select("k", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(docs.schema[key].dataType).alias("of"))
+    while True:
+        seen = edges.join(state.select(F.col("k").alias("a"), F.col("kept").alias("_kept")), "a").groupBy("b").agg(F.min(F.when(F.col("_kept"), F.col("a"))).alias("_of"), F.count_if(F.col("_kept").isNull()).alias("_open"), F.min(F.when(F.col("_kept").isNull(), F.col("a"))).alias("_next"))
+        joined = state.join(seen, F.col("k") == F.col("b"), "left")
+        # settled once a kept earlier row is near with no open one before it, or none is open
+        hit = F.col("_of").isNotNull() & (F.col("_next").isNull() | (F.col("_of") < F.col("_next")))
+        free = F.coalesce(F.col("_open"), F.lit(0)) == 0
+        kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(hit, False).when(free, True)
+        state = cut(joined.select("k", kept.alias("kept"), F.coalesce("of", F.when(hit, F.col("_of"))).alias("of")))
+        if not state.filter("kept IS NULL").limit(1).count():
+            break
+    least = classes.join(state, "k").select(F.col(fingerprint).alias("_f"), F.col("k").alias("_lead"), F.col("of").alias("_of"))
+    out = docs.join(least, F.col(fingerprint).eqNullSafe(F.col("_f")), "left")
+    return out.select(key, F.coalesce("_of", F.when(F.col(key) != F.col("_lead"), F.col("_lead"))).alias("duplicate_of"))

@@ -137,3 +137,14 @@ def captured_mass(rows: DataFrame, group: str) -> DataFrame:
     worth = F.greatest(F.col("utility"), F.lit(0.0))
     sums = rows.groupBy(group).agg(F.sum(worth).alias("_all"), F.sum(F.when(F.col("selected"), worth).otherwise(0.0)).alias("_kept"))
     return sums.select(group, F.when(F.col("_all") <= 1e-12, 0.0).otherwise(F.col("_kept") / (F.col("_all") + 1e-12)).alias("mass"))
+
+
+def renyi(value: str, alpha: float) -> Column:
+    """Entropy of order alpha in bits of a group's positive values as shares of their sum, as an aggregate; alpha 1 is Shannon's, over 100 that of the greatest share. Null without any."""
+    v = F.when(F.col(value) > 0, F.col(value))
+    total = F.sum(v)
+    if abs(alpha - 1.0) < 1e-10:
+        return F.log2(total) - F.sum(v * F.log2(v)) / total
+    if alpha > 100.0:
+        return -F.log2(F.max(v) / total)
+    return F.log2(F.sum(F.pow(v, F.lit(alpha))) / F.pow(total, F.lit(alpha))) / (1 - alpha)

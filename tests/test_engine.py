@@ -1,14 +1,16 @@
 """The engine's queries against SQL on the small tables, and operators on small fixtures."""
 
+import hashlib
 import math
 import os
+import random
 
 import duckdb
 import pytest
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import signals
+from siltstone.functions import claims, code, fingerprints, signals
 from siltstone.functions import text as tx
 from siltstone.operators import blocks, graph, ledger, selection, statistics
 from siltstone.plans import queries
@@ -116,3 +118,56 @@ def test_values_of_small_cases(spark):
     assert one(selection.fractional_bound(free, "g", "k", "v", "w", 2)) == [("g", 4.0)]
     with pytest.raises(ValueError):
         ledger.usage_totals(versions, {"entity": "e"})
+
+
+def test_knapsack_against_all_subsets(spark):
+    r = random.Random(1)
+    rows = [(g, k, round(r.random(), 4), r.randint(0, 30)) for g in range(6) for k in range(10)]
+    items = spark.createDataFrame(rows, "g int, k int, v double, w int")
+    got = {}
+    for x in selection.knapsack(items, "g", "k", "v", "w", 60).collect():
+        got.setdefault(x.g, set()).add(x.k)
+    for g in range(6):
+        own = [x for x in rows if x[0] == g]
+        best = max(sum(int(x[2] * 10_000) for x in own if m >> x[1] & 1) for m in range(1 << 10) if sum(x[3] for x in own if m >> x[1] & 1) <= 60)
+        mine = [x for x in own if x[1] in got[g]]
+        assert sum(x[3] for x in mine) <= 60 and sum(int(x[2] * 10_000) for x in mine) == best
+    # over 2000 the budget is cut into units, and still held
+    large = spark.createDataFrame([("g", k, float(v), w) for k, (v, w) in enumerate([(9, 4999), (5, 3000), (4, 1999), (1, 2), (3, 5003)])], "g string, k int, v double, w int")
+    assert {x.k for x in selection.knapsack(large, "g", "k", "v", "w", 5003).collect()} == {0, 3}
+    assert selection.knapsack(items.limit(0), "g", "k", "v", "w", 60).count() == 0
+
+
+def test_near_copies_against_one_by_one_insertion(spark):
+    r = random.Random(2)
+    base = [r.getrandbits(64) for _ in range(30)]
+    prints = [b ^ sum(1 << i for i in r.sample(range(64), r.choice([0, 1, 2, 3, 4, 5]))) for b in base for _ in range(8)]
+    r.shuffle(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    got = {x.k: x.duplicate_of for x in selection.near_copies(spark.createDataFrame(list(enumerate(signed)), "k long, f long"), "k", "f").collect()}
+    kept = []
+    for k, p in enumerate(prints):
+        near = [j for j in kept if (prints[j] ^ p).bit_count() <= 3]
+        assert got[k] == (near[0] if near else None)
+        if not near:
+            kept.append(k)
+    assert selection.near_copies(spark.createDataFrame([], "k long, f long"), "k", "f").count() == 0
+
+
+def test_simhash_and_code_terms_of_known_texts(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    text = "The quick (brown) fox, jumps."
+    sums = [0] * 64
+    for gram in ("the quick brown", "quick brown fox", "brown fox jumps"):
+        h = int.from_bytes(hashlib.md5(gram.encode()).digest()[:8], "little")
+        sums = [s + (1 if h >> i & 1 else -1) for i, s in enumerate(sums)]
+    want = sum(1 << i for i, s in enumerate(sums) if s > 0)
+    assert one(fingerprints.simhash(F.lit(text))) % 2**64 == want
+    assert one(fingerprints.simhash(F.lit(" .. "))) == 0
+    assert one(code.split_identifier(F.lit("HTMLParser_add_XYZ2Edges"))) == ["html", "parser", "add", "xyz2", "edges"]
+    assert one(code.code_tokens(F.lit("def chargedCards(queries): return matches"))) == ["chargedcard", "chargedcards", "charg", "charged", "card", "cards", "query", "queries", "match", "matches"]
+    assert one(code.path_tokens(F.lit("src/lang-graph/State_v2.py"))) == ["lang", "graph", "state", "v2"]
+    assert [one(code.stem(F.lit(w))) for w in ("class", "status", "boxes", "charge", "bee")] == [None, None, "boxe", "charg", None]
+    assert one(claims.sentences(F.lit("A sentence of some length. Short one. x = 1;\nanother line that is long"))) == ["A sentence of some length.", "another line that is long"]
+    assert one(signals.retry_delay(F.lit("e"), F.lit(3), 1.0, 60.0)) == pytest.approx(4 * (0.85 + 0.3 * int(hashlib.sha256(b"e:3").hexdigest()[:8], 16) / 0xFFFFFFFF))
+    assert one(signals.micro_cost(F.lit(5), F.lit("0.5").cast("decimal(4,1)"))) == 3
