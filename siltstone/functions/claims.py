@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once: inside a lambda, an expression would be computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def share_found(items: Column, among: Column) -> Column:
     """Share of an array's elements that another has; null for an empty one."""
-    return F.when(F.size(items) > 0, F.size(F.filter(items, lambda x: F.array_contains(among, x))) / F.size(items))
+    found = lambda a: lambda b: F.when(F.size(a) > 0, F.size(F.filter(a, lambda x: F.array_contains(b, x))) / F.size(a))
+    return let(items, lambda a: let(among, found(a)))
 
 
 def recognition(claim: Column, evidence: Column) -> Column:
@@ -45,15 +53,14 @@ def novel_entropy(claim: Column, evidence: Column) -> Column:
     words = tokens(F.lower(claim))
     kinds = F.array_distinct(words)
     n = F.size(words)
-    # of a word that occurs c times, c rows add -log2(c / n) / n each
-    bits = F.aggregate(kinds, F.lit(0.0), lambda a, k: a - _share(words, k, n) * F.log2(_share(words, k, n)))
+    bits = let(words, lambda w: F.aggregate(F.array_distinct(w), F.lit(0.0), lambda a, k: a + _bits(w, k)))
     norm = F.least(F.lit(1.0), bits / F.greatest(F.log2(F.size(kinds)), F.lit(1.0)))
     covered = share_found(words, F.array_distinct(tokens(F.lower(evidence))))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), norm * (1 - covered))))
 
 
-def _share(words: Column, kind: Column, n: Column) -> Column:
-    return F.size(F.filter(words, lambda w: w == kind)) / n
+def _bits(words: Column, kind: Column) -> Column:
+    return let(F.size(F.filter(words, lambda w: w == kind)) / F.size(words), lambda p: -p * F.log2(p))
 
 
 def trigrams(text: Column) -> Column:

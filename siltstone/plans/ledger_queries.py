@@ -263,13 +263,13 @@ def j15_contradictions(spark, sf_dir):
 
 @register("""
 WITH t AS (SELECT event_id, user_id, event_id - coalesce(max(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), event_id) AS age, value / 100 AS risk FROM events)
-SELECT event_id, round(exp(-ln(2) / 20 * age), 6) AS recency, round(CASE WHEN age > 0 THEN least(1, risk * 0.5 ** (age / 8)) ELSE risk END, 6) AS risk FROM t
+SELECT event_id, round(exp(-ln(2) / 20 * age), 6) AS recency, round(CASE WHEN age > 0 THEN least(1, risk * 0.5 ** (age / 7)) ELSE risk END, 6) AS risk FROM t
 """)
 def w7_decays(spark, sf_dir):
     """W7 and W17."""
     before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
     t = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") - F.coalesce(before, F.col("event_id"))).alias("age"), (F.col("value") / 100).alias("risk"))
-    return t.select("event_id", F.round(signals.half_life_decay(F.col("age"), F.lit(20)), 6).alias("recency"), F.round(signals.decayed_risk(F.col("risk"), F.col("age"), 8.0), 6).alias("risk"))
+    return t.select("event_id", F.round(signals.half_life_decay(F.col("age"), F.lit(20)), 6).alias("recency"), F.round(signals.decayed_risk(F.col("risk"), F.col("age"), 7.0), 6).alias("risk"))
 
 
 @register("""
