@@ -41,3 +41,39 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int = 2, both_ways: boo
         front = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(front)
     return seen
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that edges between the nodes reach, either way. Nodes without edges are their own.
+
+    Each round takes the least label of the neighbours and then that label's own label, until
+    none changes; labels are checkpointed. Nulls and loops link nothing.
+    """
+    labels = nodes.select("node").filter("node IS NOT NULL").distinct().withColumn("component", F.col("node"))
+    labels = cut(labels)
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst")
+    known = labels.select("node")
+    links = both.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    links = cut(links.select("src", "dst").distinct())
+    while True:
+        near = links.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("component").alias("_m"))
+        step = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("_old"), F.least("component", F.coalesce("_m", "component")).alias("_c"))
+        step = cut(step)
+        own = step.select(F.col("node").alias("_c"), F.col("_c").alias("_cc"))
+        labels = cut(step.join(own, "_c").select("node", "_old", F.least("_c", "_cc").alias("component")))
+        if labels.filter("_old <> component").isEmpty():
+            return labels.select("node", "component")
+        labels = labels.select("node", "component")
+
+
+def boosts(selected: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, boost): strengths of the edges (src, dst, strength) from selected nodes, summed by target and divided by the largest sum; 1 at most."""
+    sums = edges.join(selected.select(F.col("node").alias("src")).distinct(), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.sum("strength").alias("_s"))
+    top = sums.agg(F.max("_s").alias("_top"))
+    boost = F.when(F.col("_top") > 0, F.least(F.lit(1.0), F.col("_s") / F.col("_top"))).otherwise(F.col("_s"))
+    return sums.crossJoin(F.broadcast(top)).select("node", boost.alias("boost"))
+
+
+def dependents(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges (src, dst) into the targets (node)."""
+    return edges.join(targets.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
