@@ -220,3 +220,31 @@ def compression(source: Column, selected: Column, eligible: Column) -> Column:
         F.when(~empty & eligible, per_cent).otherwise(0.0).alias("reduction_pct"),
         F.when(empty, 0.0).otherwise(per_cent).alias("withheld_pct"),
     )
+
+
+# Words that decide a change's purpose, in the order in which they are tried.
+CHANGES = (("bugfix", ("fix", "bug", "patch")), ("security", ("security", "cve")), ("test", ("test", "spec")), ("refactor", ("refactor", "clean")), ("performance", ("perf", "optim")), ("docs", ("doc", "readme")))
+
+
+def change_set(diff: Column, message: Column) -> Column:
+    """Files changed and deleted, lines added and removed, functions of hunk headers and purpose of a unified diff; null counts as empty.
+
+    The purpose is taken from the message and the diff's first 2000 characters. Old files count as
+    deleted if any new one is the null device.
+    """
+    text = F.coalesce(diff, F.lit(""))
+    lines = F.split(text, r"\r?\n")
+    begins = lambda s: F.filter(lines, lambda x: x.startswith(s))
+    rest = lambda s: F.transform(begins(s), lambda x: F.substr(x, F.lit(len(s) + 1)))
+    count = lambda c: F.size(F.filter(lines, lambda x: x.startswith(c) & ~x.startswith(c * 3)))
+    named = lambda x, word: F.regexp_extract(x, word + r" ([\p{IsAlphabetic}\pN_]*)", 1)
+    names = F.transform(begins("@@"), lambda x: F.when(x.contains("fn "), named(x, "fn")).when(x.contains("def "), named(x, "def")).when(x.contains("function "), named(x, "function")).otherwise(""))
+    head = F.lower(F.concat(F.coalesce(message, F.lit("")), F.lit(" "), F.substring(text, 1, 2000)))
+    purpose = F.when(F.lit(False), "")
+    for name, words in CHANGES:
+        purpose = purpose.when(_has_any(head, words), name)
+    deleted = F.when(text.contains("+++ /dev/null"), rest("--- a/")).otherwise(F.array().cast("array<string>"))
+    return F.struct(
+        F.array_distinct(rest("+++ b/")).alias("files_modified"), deleted.alias("files_deleted"), count("+").alias("lines_added"), count("-").alias("lines_removed"),
+        F.array_distinct(F.filter(names, lambda n: n != "")).alias("functions_changed"), purpose.otherwise("feature").alias("intent"),
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +46,44 @@ def forward_overlap(turns: DataFrame, group: str, order: str, tokens: F.Column)
     w = Window.partitionBy(group).orderBy(order)
     seen = turns.withColumn("_t", F.array_distinct(tokens)).withColumn("_next", F.lead("_t").over(w))
     return seen.select(group, order, F.coalesce(term_jaccard(F.col("_t"), F.col("_next")), F.lit(0.0)).alias("overlap"))
+
+
+def line_chunks(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """(key, chunk, text): each text in runs of whole lines of at most so many UTF-8 bytes; a longer line stands alone and whole.
+
+    Null and empty texts give no rows; most of 0 or less gives the whole text. One text is held
+    at a time, in Python, as each chunk's start depends on the one before.
+    """
+
+    def runs(text: str | None) -> list[str]:
+        found, size = [], 0
+        for line in (text or "").splitlines(keepends=True):
+            n = len(line.encode("utf-8", "surrogatepass"))
+            if not found or (most > 0 and size + n > most):
+                found.append([])
+                size = 0
+            found[-1].append(line)
+            size += n
+        return ["".join(lines) for lines in found]
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(runs, na_action=None)
+
+    return docs.select(key, F.posexplode(cut(F.col(text))).alias("chunk", "text"))
+
+
+def blast_radius(beliefs: DataFrame, key: str, texts: list[str], changed: list[str]) -> DataFrame:
+    """(key, n_affected, risk): beliefs of which one of the texts holds the stem of a changed file in any case; risk low up to 2 of them, medium up to 5, else high.
+
+    changed is a list from the caller, so it is part of the plan; files without a stem match all.
+    """
+    stems = {re.sub(r"(?<=.)\.[^.]*$", "", f.rsplit("/", 1)[-1]).lower() for f in changed}
+    hit = F.lit(False)
+    for stem in sorted(stems):
+        for text in texts:
+            hit = hit | F.coalesce(F.lower(text).contains(stem), F.lit(False))
+    found = beliefs.filter(hit).select(key)
+    n = found.agg(F.count(F.lit(1)).alias("n_affected"))
+    risk = F.when(F.col("n_affected") <= 2, "low").when(F.col("n_affected") <= 5, "medium").otherwise("high")
+    return found.crossJoin(F.broadcast(n)).withColumn("risk", risk)  # one row

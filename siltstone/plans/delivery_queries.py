@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import routing, signals
-from siltstone.operators import delivery, graph, reports
+from siltstone.operators import blocks, delivery, graph, reports
 from siltstone.plans.registry import register, table
 
 
@@ -335,3 +335,37 @@ def i5_boosts(spark, sf_dir):
 def j7_dependents(spark, sf_dir):
     links = _links(spark, sf_dir)
     return graph.dependents(links, links.filter("dst % 10 = 4").select(F.col("dst").alias("node")))
+
+
+_DIFF_SQL = "concat('--- a/', p_brand, chr(10), CASE WHEN p_size % 4 = 0 THEN '+++ /dev/null' ELSE '+++ b/' || p_type END, chr(10), '@@ -1 +1 @@ ', CASE p_size % 3 WHEN 0 THEN 'pub fn ' WHEN 1 THEN 'def ' ELSE 'class ' END, replace(p_name, ' ', '_'), '(x)', chr(10), '+', p_name, chr(10), '+more', chr(10), '-', p_brand, chr(10), ' same')"
+
+
+@register(rf"""
+WITH d AS (SELECT p_partkey, {_DIFF_SQL} AS d, CASE p_partkey % 7 WHEN 0 THEN 'Fix it' WHEN 1 THEN 'Add a CVE' WHEN 2 THEN 'new SPEC' WHEN 3 THEN 'clean up' WHEN 4 THEN 'optimise' WHEN 5 THEN 'README' ELSE 'more' END AS m FROM part),
+l AS (SELECT *, string_split(d, chr(10)) AS l, lower(m || ' ' || left(d, 2000)) AS h FROM d)
+SELECT p_partkey, array_to_string(list_transform(list_filter(l, lambda x: starts_with(x, '+++ b/')), lambda x: substr(x, 7)), ',') AS files_modified, CASE WHEN contains(d, '+++ /dev/null') THEN array_to_string(list_transform(list_filter(l, lambda x: starts_with(x, '--- a/')), lambda x: substr(x, 7)), ',') ELSE '' END AS files_deleted,
+  len(list_filter(l, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')))::INT AS lines_added, len(list_filter(l, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---')))::INT AS lines_removed,
+  regexp_extract(l[3], '(?:fn|def) ([\pL\pN_]*)', 1) AS functions_changed, CASE {' '.join(f"WHEN {_any_sql('h', w)} THEN '{n}'" for n, w in routing.CHANGES)} ELSE 'feature' END AS intent FROM l
+""")
+def s24_change_sets(spark, sf_dir):
+    c, size, k = F.col, F.col("p_size"), F.col("p_partkey") % 7
+    new = F.when(size % 4 == 0, "+++ /dev/null").otherwise(F.concat(F.lit("+++ b/"), "p_type"))
+    word = F.when(size % 3 == 0, "pub fn ").when(size % 3 == 1, "def ").otherwise("class ")
+    diff = F.concat(F.lit("--- a/"), "p_brand", F.lit("\n"), new, F.lit("\n@@ -1 +1 @@ "), word, F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("(x)\n+"), "p_name", F.lit("\n+more\n-"), "p_brand", F.lit("\n same"))
+    message = F.when(k == 0, "Fix it").when(k == 1, "Add a CVE").when(k == 2, "new SPEC").when(k == 3, "clean up").when(k == 4, "optimise").when(k == 5, "README").otherwise("more")
+    found = table(spark, sf_dir, "part").select("p_partkey", routing.change_set(diff, message).alias("s")).select("p_partkey", "s.*")
+    return found.select("p_partkey", *(F.array_join(c(n), ",").alias(n) for n in ("files_modified", "files_deleted", "functions_changed")), "lines_added", "lines_removed", "intent")
+
+
+@register()
+def s3_line_chunks(spark, sf_dir):
+    """Documents in runs of lines of 512 bytes at most; tested against the texts, as SQL has no such running sum."""
+    return blocks.line_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 512)
+
+
+@register("""
+WITH h AS (SELECT p_partkey FROM part WHERE contains(lower(p_type), 'economy') OR contains(lower(p_type), 'bolt') OR contains(lower(p_name), 'economy') OR contains(lower(p_name), 'bolt'))
+SELECT p_partkey, (SELECT count(*) FROM h) AS n_affected, CASE WHEN (SELECT count(*) FROM h) <= 2 THEN 'low' WHEN (SELECT count(*) FROM h) <= 5 THEN 'medium' ELSE 'high' END AS risk FROM h
+""")
+def j16_blast_radius(spark, sf_dir):
+    return blocks.blast_radius(table(spark, sf_dir, "part"), "p_partkey", ["p_type", "p_name"], ["src/Economy.py", "metal/bolt.tar"])
