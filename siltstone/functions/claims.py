@@ -100,3 +100,10 @@ def best_matches(claims_: Column, evidence: Column) -> Column:
     like = lambda a, b: F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
     best = F.transform(claims_, lambda a: F.aggregate(evidence, F.lit(0.0), lambda m, b: F.greatest(m, like(a, b))))
     return F.when((F.size(claims_) == 0) | (F.size(evidence) == 0), 0.0).otherwise(F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(claims_))
+
+
+def suppressed(label: Column, risk: Column, profile: Column) -> Column:
+    """Whether a claim with this label is held back in a profile; a null risk is 0, unknown and null labels pass."""
+    strict = profile.isin("code", "rag", "qa", "benchmark_qa")
+    held = F.when(label == "contradicted", True).when(label == "unsupported", ~profile.isin("chat", "dialogue")).when(label == "unknown", strict | (F.coalesce(risk, F.lit(0.0)) >= 0.75))
+    return F.coalesce(held, F.lit(False))

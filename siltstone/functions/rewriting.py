@@ -14,6 +14,38 @@ SECRETS = (
     r"(?i)(authorization\s*[:=]\s*(?:bearer\s+)?)[^\s,;]+",
 )
 
+# Escape sequences of terminals, and characters that are dropped or replaced after them.
+ESCAPES = r"\x1B\[[0-9;]*[A-Za-z]|\x1B\][^\x07]*\x07|\x1B[()][AB012]|\x1B[>=<]"
+PLAIN = (("\r", ""), ("\u00a0", " "), ("\u200b", ""), ("\u2028", "\n"), ("\u2029", "\n"))
+
+# Words that make a decoded payload an instruction.
+ORDERS = ("ignore", "instruction", "system", "forget", "disregard", "override", "you are", "new role", "bypass")
+
+
+def without_escapes(text: Column) -> Column:
+    """Text without terminal escapes, CR and zero-width spaces; other odd white space becomes plain. Null stays null."""
+    out = F.regexp_replace(text, ESCAPES, "")
+    for odd, plain in PLAIN:
+        out = F.replace(out, F.lit(odd), F.lit(plain))
+    return out
+
+
+def encoded_orders(text: Column, least: int = 40) -> Column:
+    """Runs of least or more base64 characters whose UTF-8 text holds an instruction, in order; none for null.
+
+    Runs that lack padding, or whose bytes aren't UTF-8, are no payloads.
+    """
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[A-Za-z0-9+/]{{{least},}}={{0,2}}"), F.lit(0))
+
+    def orders(run: Column) -> Column:
+        body = F.rtrim(run, F.lit("="))
+        over, pads = F.length(body) % 4, F.length(run) - F.length(body)
+        whole = F.when(over == 0, body).when((over == 2) & (pads == 2), run).when((over == 3) & (pads >= 1), F.concat(body, F.lit("=")))
+        decoded = F.lower(F.try_validate_utf8(F.try_to_binary(whole, F.lit("base64")).cast("string")))
+        return F.coalesce(decoded.rlike("|".join(ORDERS)), F.lit(False))
+
+    return F.filter(runs, orders)
+
 
 def redacted(text: Column) -> Column:
     """Text without NUL, CR and common credentials."""

@@ -111,3 +111,42 @@ def code_bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str
     found = total(lambda x: one((x["h"]["tf"] > 0) | x["h"]["path"] | x["h"]["part"])) / len(hits)
     scored = both.select("id", found.alias("coverage"), base.alias("base"), paths.alias("path_boost"), names.alias("identifier_boost"))
     return scored.withColumn("score", F.col("base") * (1 + 1.5 * F.pow("coverage", F.lit(3))) + F.col("path_boost") + F.col("identifier_boost"))
+
+
+# Words that a search passes over.
+PASSED_OVER = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "to",
+    "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "and", "but",
+    "or", "not", "no", "if", "then", "than", "that", "this", "it", "its", "we", "you", "he", "she",
+    "they", "my", "your", "how", "what", "which", "where", "when", "who", "about",
+)
+
+
+def search_terms(text: Column) -> Column:
+    """Lower-case runs of letters and digits of two or more bytes without those passed over, in order, repeats too; none for null."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{N}]+")
+    return F.filter(parts, lambda t: (F.octet_length(t) > 1) & ~t.isin(*PASSED_OVER))
+
+
+def fielded_search(docs: DataFrame, key: str, entity: str, title: str, body: str, terms: list[str], k: int) -> DataFrame:
+    """(key, score): the k best rows for terms, which come from search_terms; ties go to the lower key.
+
+    A term weighs 3 for each time it is in the entity, 2 in the title and its share of the body's terms, times
+    ln(rows / rows with it), 0.1 at least. Repeated terms count again. Only weights of the terms leave a row, so
+    nothing but one row of counts and the k best is shuffled.
+    """
+    different = list(dict.fromkeys(terms))
+    if not different:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    split = docs.select(key, *(search_terms(F.col(c)).alias(f"_{n}") for n, c in (("e", entity), ("t", title), ("b", body))))
+    hits = split.select(key, *(F.filter(c, lambda x: x.isin(*different)).alias(c) for c in ("_e", "_t", "_b")), F.greatest(F.size("_b"), F.lit(1)).alias("_len"))
+    times = lambda field, t: F.size(F.filter(F.col(field), lambda x: x == t))
+    weight = lambda t: 3.0 * times("_e", t) + 2.0 * times("_t", t) + times("_b", t) / F.col("_len")
+    weights = hits.select(key, *(weight(F.lit(t)).alias(f"_w{i}") for i, t in enumerate(different)))
+    counts = weights.agg(F.count(F.lit(1)).alias("_n"), *(F.count(F.when(F.col(f"_w{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(different))))
+    idf = lambda i: F.greatest(F.log(F.col("_n") / F.greatest(F.col(f"_d{i}"), F.lit(1))), F.lit(0.1))
+    score = sum((terms.count(t) * F.col(f"_w{i}") * idf(i) for i, t in enumerate(different)), F.lit(0.0))
+    # the counts are one row
+    scored = weights.crossJoin(F.broadcast(counts)).select(key, F.round(score, 9).alias("score"))
+    return scored.filter("score > 0").orderBy(F.desc("score"), key).limit(k)
