@@ -77,3 +77,31 @@ def boosts(selected: DataFrame, edges: DataFrame) -> DataFrame:
 def dependents(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges (src, dst) into the targets (node)."""
     return edges.join(targets.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
+def invalidated(entries: DataFrame, members: DataFrame, stale: DataFrame) -> DataFrame:
+    """entries (entry, quality, cascades) with quality lowered and cascades counted up where a fragment is stale, and affected.
+
+    members: (entry, fragment); stale: (fragment, depth), depth 1 where null or lower. An entry keeps
+    2 ** -(sum of 1 / depth over its stale fragments / its fragments) of its quality, and half of that
+    from the fourth cascade on. Repeated members and stale fragments count once, the latter by their least depth.
+    """
+    depths = stale.groupBy("fragment").agg(F.greatest(F.lit(1), F.coalesce(F.min("depth"), F.lit(1))).alias("_depth"))
+    # counted by depth first: few rows of an entry are left to sum
+    marked = members.distinct().join(depths, "fragment", "left").groupBy("entry", "_depth").agg(F.count(F.lit(1)).alias("_n"))
+    overlap = marked.groupBy("entry").agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") / F.col("_depth")).alias("_overlap"))
+    joined = entries.join(overlap.filter("_overlap > 0"), "entry", "left").withColumn("affected", F.col("_overlap").isNotNull())
+    cascades = F.col("cascades") + F.col("affected").cast("int")
+    quality = F.col("quality") * F.when(F.col("affected"), F.pow(F.lit(2.0), -F.col("_overlap") / F.col("_all")) * F.when(cascades > 3, 0.5).otherwise(1.0)).otherwise(1.0)
+    return joined.select("entry", quality.alias("quality"), cascades.alias("cascades"), "affected")
+
+
+def without_sources(fragments: DataFrame, requested: DataFrame, source: str, key: str, derived: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """Fragments without the requested sources, each derived table without rows of removed fragments, and the requested sources that no fragment has.
+
+    A fragment without a source stays, as do derived rows without a fragment.
+    """
+    asked = requested.select(source).filter(F.col(source).isNotNull()).distinct()
+    gone = fragments.join(asked, source, "left_semi").select(key).distinct()
+    kept = {name: rows.join(gone, key, "left_anti") for name, rows in derived.items()}
+    return fragments.join(asked, source, "left_anti"), kept, asked.join(fragments.select(source).distinct(), source, "left_anti")

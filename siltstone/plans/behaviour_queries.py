@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import claims, rewriting
-from siltstone.operators import behaviour, ranking
+from siltstone.functions import claims, outcomes, rewriting
+from siltstone.operators import behaviour, graph, ranking
 from siltstone.plans.registry import register, table
 
 #: Events of one user are days apart: three days here, ten minutes for real calls.
@@ -128,3 +128,64 @@ def f41_suppressed(spark, sf_dir):
     pick = lambda key, *names: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
     label, profile = pick("o_orderkey", "grounded", "contradicted", "unsupported", "unknown"), pick("o_custkey", "chat", "rag", "code", "dialogue", "auto")
     return table(spark, sf_dir, "orders").select("o_orderkey", claims.suppressed(label, F.col("o_totalprice") / 300000, profile).alias("suppressed"))
+
+
+RUNS = ("python -m pytest -q", "npm run test", "cargo build --release", "npx tsc -p .", "npx tsc --noEmit -p .", "make test", "make all", "golangci-lint run", "npx eslint src", "black --check .", "ls -la", "[proxy:lint/style]", "[proxy:chat]", "mypy src", "g++x main.c", "cargo fmt")
+OUTPUTS = ("", "3 passed in 0.1s", "1 failed, 2 passed", "Error: no such file", "Build succeeded", "All tests passed\nOK ")
+
+
+def _pattern_sql(pattern: str) -> str:
+    """SQL's patterns can't look ahead."""
+    if "(?!" not in pattern:
+        return f"regexp_matches(c, '{pattern}')"
+    word, after = pattern.rstrip(")").split("(?!")
+    return f"regexp_matches(regexp_replace(c, '{word}{after}', '', 'g'), '{word}')"
+
+
+_LISTS_SQL = ["[" + ", ".join(f"'{v}'" for v in values) + "]" for values in (RUNS, OUTPUTS)]
+
+
+@register(f"""
+WITH o AS (SELECT o_orderkey, {_LISTS_SQL[0]}[o_orderkey % {len(RUNS)} + 1] AS c, o_custkey % 7 AS x, {_LISTS_SQL[1]}[o_orderkey // 16 % {len(OUTPUTS)} + 1] AS t FROM orders),
+k AS (SELECT *, starts_with(c, '[proxy:') AS p, regexp_replace(substr(c, 8), '\\]$', '') AS a, CASE {' '.join(f"WHEN {_pattern_sql(p)} THEN '{kind}:{tool}'" for p, kind, tool in outcomes.COMMANDS)} END AS f,
+  regexp_matches(t, '{outcomes.FAILED}') AS bad, regexp_matches(t, '{outcomes.PASSED}') AS good FROM o),
+v AS (SELECT *, CASE WHEN p THEN CASE WHEN string_split(a, '/')[1] IN ('test', 'build', 'lint', 'typecheck', 'format') THEN string_split(a, '/')[1] ELSE 'other' END ELSE string_split(f, ':')[1] END AS category, CASE WHEN p THEN a ELSE string_split(f, ':')[2] END AS tool FROM k),
+w AS (SELECT *, CASE WHEN category IS NULL THEN NULL WHEN x = 0 THEN 'pass' WHEN x IN (4, 5) AND category = 'test' AND NOT p THEN 'unknown' ELSE 'fail' END AS verdict FROM v)
+SELECT o_orderkey, category, tool, verdict, CASE WHEN category IS NULL THEN NULL WHEN p THEN 0.4 WHEN bad AND NOT good THEN CASE WHEN verdict = 'pass' THEN 0.4 ELSE 0.95 END WHEN good AND NOT bad THEN CASE WHEN verdict = 'fail' THEN 0.4 ELSE 0.95 END ELSE 0.85 END::DOUBLE AS confidence FROM w
+""")
+def f34_command_outcomes(spark, sf_dir):
+    key = F.col("o_orderkey")
+    command = F.element_at(F.array(*map(F.lit, RUNS)), (key % len(RUNS) + 1).cast("int"))
+    output = F.element_at(F.array(*map(F.lit, OUTPUTS)), (F.floor(key / 16) % len(OUTPUTS) + 1).cast("int"))
+    judged = table(spark, sf_dir, "orders").select("o_orderkey", command.alias("c"), (F.col("o_custkey") % 7).alias("x"), output.alias("t"))
+    return judged.select("o_orderkey", outcomes.outcome(F.col("c"), F.col("x"), F.col("t")).alias("o")).select("o_orderkey", "o.category", "o.tool", "o.verdict", "o.confidence")
+
+
+@register("""
+WITH m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT p_partkey, greatest(1, p_size // 10) AS depth FROM part WHERE p_size % 4 = 0),
+c AS (SELECT l_orderkey, count(*) AS n, sum(1.0::DOUBLE / depth) AS overlap FROM m LEFT JOIN s ON p_partkey = l_partkey GROUP BY 1)
+SELECT o_orderkey AS entry, o_totalprice * CASE WHEN overlap > 0 THEN pow(2, -overlap / n) * CASE WHEN o_custkey % 5 + 1 > 3 THEN 0.5 ELSE 1 END ELSE 1 END::DOUBLE AS quality, (o_custkey % 5 + CASE WHEN overlap > 0 THEN 1 ELSE 0 END)::BIGINT AS cascades, coalesce(overlap > 0, false) AS affected
+FROM orders LEFT JOIN c ON l_orderkey = o_orderkey
+""")
+def i7_invalidated(spark, sf_dir):
+    """I7 with orders as entries and their parts as fragments."""
+    entries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry"), F.col("o_totalprice").alias("quality"), (F.col("o_custkey") % 5).alias("cascades"))
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry"), F.col("l_partkey").alias("fragment"))
+    stale = table(spark, sf_dir, "part").filter("p_size % 4 = 0").select(F.col("p_partkey").alias("fragment"), F.floor(F.col("p_size") / 10).alias("depth"))
+    return graph.invalidated(entries, members, stale)
+
+
+@register("""
+WITH a AS (SELECT unnest(['FRANCE', 'JAPAN', 'ATLANTIS']) AS n UNION ALL SELECT n_name FROM nation WHERE n_nationkey % 7 = 0), f AS (SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+g AS (SELECT s_suppkey FROM f WHERE n_name IN (SELECT n FROM a))
+SELECT 'fragments' AS part, count(*) AS n FROM f WHERE s_suppkey NOT IN (SELECT s_suppkey FROM g) UNION ALL SELECT 'lines', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM g) UNION ALL SELECT 'missing', count(DISTINCT n) FROM a WHERE n NOT IN (SELECT n_name FROM f)
+""")
+def u9_without_sources(spark, sf_dir):
+    """U9 with suppliers as fragments of their nation and lines as derived rows."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    fragments = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name")
+    requested = spark.createDataFrame([("FRANCE",), ("JAPAN",), ("ATLANTIS",)], "n_name string").unionByName(nations.filter("n_nationkey % 7 = 0").select("n_name"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"))
+    kept, derived, missing = graph.without_sources(fragments, requested, "n_name", "s_suppkey", {"lines": lines})
+    count = lambda rows, part: rows.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"))
+    return count(kept, "fragments").unionByName(count(derived["lines"], "lines")).unionByName(count(missing, "missing"))

@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import claims, rewriting
-from siltstone.operators import behaviour, ranking
+from siltstone.functions import claims, outcomes, rewriting
+from siltstone.operators import behaviour, graph, ranking
 
 CALL = "conv string, at long, id long, sig string, err string, model string, n long"
 
@@ -99,3 +99,35 @@ def test_payloads_escapes_and_claims(spark):
     cases = [("grounded", 1.0, "rag", False), ("contradicted", 0.0, "chat", True), ("unsupported", 0.0, "chat", False), ("unsupported", 0.0, "auto", True), ("unknown", 0.7, "auto", False), ("unknown", 0.75, "auto", True), ("unknown", None, "qa", True), (None, 1.0, "qa", False), ("unknown", None, None, False)]
     rows = spark.createDataFrame(cases, "l string, r double, p string, held boolean").select(claims.suppressed(F.col("l"), F.col("r"), F.col("p")).alias("got"), "held").collect()
     assert all(r.got == r.held for r in rows)
+
+
+def test_command_outcomes(spark):
+    cases = [
+        ("pytest -q", 0, None, ("test", "pytest", "pass", 0.85)),
+        ("pytest -q", 5, "", ("test", "pytest", "unknown", 0.85)),
+        ("pytest -q", 1, "1 failed", ("test", "pytest", "fail", 0.95)),
+        ("pytest -q", 0, "1 failed", ("test", "pytest", "pass", 0.4)),
+        ("pytest -q", 1, "3 passed", ("test", "pytest", "fail", 0.4)),
+        ("tsc --noEmit", 4, "1 failed, 2 passed", ("typecheck", "tsc_check", "fail", 0.85)),
+        ("tsc -p .", None, "", ("build", "tsc_build", "fail", 0.85)),
+        ("make test", 0, "", None),
+        ("make", 0, "all OK\n", ("build", "make", "pass", 0.95)),
+        ("ls", 0, "", None),
+        (None, 0, "", None),
+        ("[proxy:lint/x]", 0, "1 failed", ("lint", "lint/x", "pass", 0.4)),
+        ("[proxy:chat]", 4, "", ("other", "chat", "fail", 0.4)),
+    ]
+    rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, c string, x int, t string").orderBy("i")
+    got = rows.select(outcomes.outcome(F.col("c"), F.col("x"), F.col("t")).alias("o")).collect()
+    assert [r.o and tuple(r.o) for r in got] == [c[3] for c in cases]
+
+
+def test_invalidated_and_removed(spark):
+    entries = spark.createDataFrame([(1, 1.0, 0), (2, 1.0, 3), (3, 1.0, 5), (4, 1.0, 0)], "entry int, quality double, cascades int")
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (3, "c"), (9, "a"), (2, None)], "entry int, fragment string")
+    stale = spark.createDataFrame([("a", 2), ("a", 4), ("b", None), (None, 1)], "fragment string, depth int")
+    got = {r.entry: (round(r.quality, 9), r.cascades, r.affected) for r in graph.invalidated(entries, members, stale).collect()}
+    assert got == {1: (round(2 ** -0.75, 9), 1, True), 2: (round(2**-0.25 / 2, 9), 4, True), 3: (1.0, 5, False), 4: (1.0, 0, False)}
+    fragments = spark.createDataFrame([("f", "s"), ("g", "t"), ("h", None)], "k string, src string")
+    kept, derived, missing = graph.without_sources(fragments, spark.createDataFrame([("s",), ("s",), ("u",), (None,)], "src string"), "src", "k", {"d": spark.createDataFrame([("f", 1), ("g", 2), (None, 3)], "k string, n int")})
+    assert sorted(r.k for r in kept.collect()) == ["g", "h"] and sorted(r.n for r in derived["d"].collect()) == [2, 3] and [r.src for r in missing.collect()] == ["u"]
