@@ -81,8 +81,8 @@ def greedy_fill(items: DataFrame, group: str, key: str, value: str, weight: str,
 KNAPSACK_UNITS = 1000
 
 
-def knapsack(items: DataFrame, group: str, key: str, value: str, weight: str, budget: int) -> DataFrame:
-    """(group, key) of the items of the most value that fit the budget, exactly for budgets up to 2 * KNAPSACK_UNITS - 1.
+def knapsack(items: DataFrame, group: str, key: str, value: str, weight: str, budget: int | str) -> DataFrame:
+    """(group, key) of the items of the most value that fit the budget (or the column of that name, one value in a group), exactly for budgets up to 2 * KNAPSACK_UNITS - 1.
 
     Larger budgets are cut into units of budget // KNAPSACK_UNITS; items under one unit are
     taken at once, and what is over the budget then is taken back from the last item on.
@@ -92,15 +92,17 @@ def knapsack(items: DataFrame, group: str, key: str, value: str, weight: str, bu
     import numpy as np
     import pandas as pd
 
-    unit = max(1, budget // KNAPSACK_UNITS)
+    column = [budget] if isinstance(budget, str) else []
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        most = int(rows[budget].iloc[0]) if column else budget
+        unit = max(1, most // KNAPSACK_UNITS)
         rows = rows.sort_values(key, kind="stable")
         weights, values = rows[weight].to_numpy(np.int64), (rows[value].to_numpy(np.float64) * 10_000).astype(np.int64)
         cost = weights // unit
         free = np.flatnonzero(cost == 0)
-        paid = np.flatnonzero((cost > 0) & (cost <= budget // unit))
-        room = max(0, budget - int(weights[free].sum())) // unit
+        paid = np.flatnonzero((cost > 0) & (cost <= most // unit))
+        room = max(0, most - int(weights[free].sum())) // unit
         picked = []
         if room and len(paid):
             best, kept = np.zeros(room + 1, np.int64), np.zeros((len(paid), room + 1), bool)
@@ -116,14 +118,14 @@ def knapsack(items: DataFrame, group: str, key: str, value: str, weight: str, bu
                     picked.append(int(paid[i]))
                     w -= int(cost[paid[i]])
         chosen = [*free.tolist(), *picked]
-        while len(chosen) > len(free) and weights[chosen].sum() > budget:
+        while len(chosen) > len(free) and weights[chosen].sum() > most:
             chosen.pop()
         return rows.iloc[sorted(chosen)][[group, key]]
 
     from pyspark.sql import types as T
 
     schema = T.StructType([items.schema[group], items.schema[key]])
-    return items.select(group, key, value, weight).groupBy(group).applyInPandas(choose, schema)
+    return items.select(group, key, value, weight, *column).groupBy(group).applyInPandas(choose, schema)
 
 
 def module_diversity(candidates: DataFrame, selected: DataFrame, group: str, module: str, relevance: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import code, symbols
+from siltstone.operators import budgets, segments
 from siltstone.operators import symbols as links
 from siltstone.plans.registry import register, table
 
@@ -90,3 +91,86 @@ FROM defs JOIN code ON code.id = target WHERE lower(symbol) NOT IN ({', '.join(m
 """)
 def a12_dead_symbols(spark, sf_dir):
     return links.dead_symbols(_code(spark, sf_dir), "id", "source", "text")
+
+
+def _lines_to_fill(spark, sf_dir):
+    """Lines of orders as candidates of their suppliers: a budget for each supplier."""
+    f = F.col
+    lines = table(spark, sf_dir, "lineitem").select(f("l_suppkey").alias("group"), (f("l_orderkey") * 10 + f("l_linenumber")).alias("key"), (f("l_discount") + f("l_tax") + f("l_quantity") % 7 / 10).alias("score"), f("l_quantity").cast("int").alias("tokens"), (f("l_orderkey") % 97 == 0).alias("pinned"))
+    limits = table(spark, sf_dir, "supplier").select(f("s_suppkey").alias("group"), (300 + f("s_suppkey") % 5 * 100).cast("long").alias("budget"))
+    return lines, limits
+
+
+@register()
+def k7_soft_selection(spark, sf_dir):
+    """Price, gap and what is taken for each supplier; tested against plain code."""
+    lines, limits = _lines_to_fill(spark, sf_dir)
+    taken, found = budgets.soft_selection(lines.drop("pinned"), limits, 0.1)
+    sums = taken.groupBy("group").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens"))
+    return found.join(sums, "group", "left").select(F.col("group").alias("l_suppkey"), F.round("price", 9).alias("price"), F.round("dual_gap", 6).alias("dual_gap"), F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
+@register()
+def k10_selection(spark, sf_dir):
+    """K10 at a low temperature: pinned lines first, then exactly or by score per token; tested against plain code."""
+    lines, limits = _lines_to_fill(spark, sf_dir)
+    return budgets.select(lines, limits, 0.01)
+
+
+_CHUNK_SQL = """chunk AS (SELECT p_partkey AS id, concat('docs/', p_type, '/clause-', p_partkey % 31, '.md') AS path, CASE WHEN p_partkey % 5 = 4 THEN concat('Section ', p_partkey % 30) END AS heading, replace(replace(replace([
+  '"@ #" means a small part; "W" refers to it.', 'As defined in Section ^, the @ # applies. See  section  ^ and SEE Section ^.', 'Supplier Corp # (the "Vendor #") is subject to Clause ^ and "@" shall mean more.',
+  'Pursuant to Exhibit ^ and see Schedule A-^ the vendor-# ships @s.', 'Section ^ holds terms of article IV.', 'Nothing here, but Clause ^.'][(p_partkey % 6 + 1)::INT], '@', p_name), '#', (p_partkey % 40)::VARCHAR), '^', (p_partkey % 37)::VARCHAR) AS text FROM part)"""
+
+
+def _chunk_texts(spark, sf_dir):
+    k = F.col("p_partkey")
+    texts = (
+        '"@ #" means a small part; "W" refers to it.', "As defined in Section ^, the @ # applies. See  section  ^ and SEE Section ^.", 'Supplier Corp # (the "Vendor #") is subject to Clause ^ and "@" shall mean more.',
+        "Pursuant to Exhibit ^ and see Schedule A-^ the vendor-# ships @s.", "Section ^ holds terms of article IV.", "Nothing here, but Clause ^.",
+    )
+    text = F.element_at(F.array(*map(F.lit, texts)), (k % 6 + 1).cast("int"))
+    for mark, value in (("@", F.col("p_name")), ("#", (k % 40).cast("string")), ("^", (k % 37).cast("string"))):
+        text = F.replace(text, F.lit(mark), value)
+    path = F.concat(F.lit("docs/"), "p_type", F.lit("/clause-"), (k % 31).cast("string"), F.lit(".md"))
+    heading = F.when(k % 5 == 4, F.concat(F.lit("Section "), (k % 30).cast("string")))
+    return table(spark, sf_dir, "part").select(k.alias("id"), path.alias("path"), heading.alias("heading"), text.alias("text"))
+
+
+def _norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@register(f"""
+WITH {_CHUNK_SQL}, t AS (SELECT DISTINCT id, {_norm_sql('t')} AS term FROM (SELECT id, unnest(list_concat(regexp_extract_all(text, '{segments.MEANS}', 1), regexp_extract_all(text, '{segments.ALIAS}', 1))) AS t FROM chunk)),
+f AS (SELECT term, min(id) AS target FROM t WHERE length(term) >= 2 GROUP BY 1)
+SELECT id AS source, target, 'defined_term' AS relation, term AS evidence FROM chunk JOIN f ON contains({_norm_sql('text')}, term) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.id = chunk.id AND t.term = f.term)
+""")
+def j13_term_links(spark, sf_dir):
+    return segments.term_links(_chunk_texts(spark, sf_dir))
+
+
+_REF_SQL = " UNION ALL ".join(f"SELECT id, heading, '{r}' AS relation, unnest(regexp_extract_all(text, '{p}', 1)) AS e, unnest(range(1000)) AS pos FROM chunk" for r, p in segments.REFERENCES)
+
+
+@register(rf"""
+WITH {_CHUNK_SQL}, r AS (SELECT id, heading, relation, pos, CASE WHEN relation = 'structural_reference' THEN regexp_replace(e, '^(\S+)\s+', '\1 ') ELSE e END AS e FROM ({_REF_SQL}) WHERE e IS NOT NULL),
+o AS (SELECT id, relation, arg_min(e, pos) AS e FROM r WHERE NOT (relation = 'structural_reference' AND contains({_norm_sql('heading')}, {_norm_sql('e')})) GROUP BY id, relation, lower(e)),
+h AS (SELECT id, {_norm_sql('heading')} AS a, {_norm_sql('path')} AS b, {_norm_sql('left(text, 300)')} AS c FROM chunk)
+SELECT o.id AS source, (SELECT min(h.id) FROM h WHERE h.id <> o.id AND (contains(a, {_norm_sql('o.e')}) OR contains(b, {_norm_sql('o.e')}) OR contains(c, {_norm_sql('o.e')}))) AS target, relation, e AS evidence FROM o
+""")
+def j14_reference_links(spark, sf_dir):
+    return segments.reference_links(_chunk_texts(spark, sf_dir))
+
+
+@register()
+def s8_paragraphs(spark, sf_dir):
+    """Paragraphs of all documents, of which two in three have headings; tested against the texts and plain code."""
+    path = F.when(F.col("doc_id") % 3 == 0, "a.py").otherwise("a.md")
+    return segments.paragraph_blocks(table(spark, sf_dir, "documents"), "doc_id", path, "text")
+
+
+@register()
+def s9_document_chunks(spark, sf_dir):
+    """Chunks of all documents of 120 tokens at most; tested against the texts and plain code."""
+    path = F.when(F.col("doc_id") % 3 == 0, "a.py").otherwise("a.md")
+    return segments.document_chunks(table(spark, sf_dir, "documents"), "doc_id", path, "text", 120, 15)
