@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.lineage import cut
+from siltstone.operators.lineage import cut, new_folder
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
@@ -30,17 +30,46 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int = 2, both_ways: bool = True) -> DataFrame:
-    """(node, depth): nodes within depth steps of the seeds (node), forward and, if both_ways, backward."""
+    """(node, depth): nodes within depth steps of the seeds (node), forward and, if both_ways, backward.
+
+    Each round writes the nodes it reaches first to one folder that all rounds read, so a round's
+    plan is one join and one anti join at any depth. Ends early where nothing new is reached.
+    """
+    spark = edges.sparkSession
     links = edges.select("src", "dst")
     if both_ways:
         links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    links = cut(links)
+    start = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    folder = new_folder(spark, "reached")
+    read = lambda path: spark.read.schema(start.schema).option("recursiveFileLookup", "true").parquet(path)
+    start.write.parquet(f"{folder}/0")
     for d in range(1, depth + 1):
-        step = front.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
+        step = read(f"{folder}/{d - 1}").join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        front = step.join(read(folder).select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
+        front.write.parquet(f"{folder}/{d}")
+        if read(f"{folder}/{d}").isEmpty():
+            break
+    return read(folder)
+
+
+def impact(imports: DataFrame, changed: DataFrame, calls: DataFrame, symbols: DataFrame, depth: int = 4) -> DataFrame:
+    """(path, reason, of): files that a change of files (node) may touch, with every reason once.
+
+    imports: (src, dst), src imports dst; calls: (src, dst) between symbols; symbols: (symbol,
+    path). Reasons are "changed" (of is null), "imports" a file reached in fewer than depth steps,
+    and "calls" a symbol reached so from those of the changed files.
+    """
+    known = changed.select("node").distinct()
+    back = lambda edges: edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    files = reachable(back(imports), known, depth, both_ways=False).filter(F.col("depth") < depth)
+    by_file = imports.join(files.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("path"), F.lit("imports").alias("reason"), F.col("dst").cast("string").alias("of"))
+    own = symbols.join(known, F.col("path") == F.col("node"), "left_semi").select(F.col("symbol").alias("node"))
+    reached = reachable(back(calls), own, depth, both_ways=False).filter(F.col("depth") < depth)
+    callers = calls.join(reached.select(F.col("node").alias("dst")), "dst", "left_semi").join(symbols, F.col("src") == F.col("symbol"))
+    by_call = callers.select("path", F.lit("calls").alias("reason"), F.col("dst").cast("string").alias("of"))
+    first = known.select(F.col("node").alias("path"), F.lit("changed").alias("reason"), F.lit(None).cast("string").alias("of"))
+    return first.unionByName(by_file).unionByName(by_call).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

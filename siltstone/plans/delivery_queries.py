@@ -299,12 +299,13 @@ def a58_status_counts(spark, sf_dir):
     return reports.status_counts(rows, ["o_orderstatus", "o_orderpriority"], "c").withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
-_LINKS_SQL = "e AS (SELECT c_custkey AS src, c_custkey * 7 % 101 AS dst, 1.0::DOUBLE / (1 + c_custkey % 4) AS strength FROM customer WHERE c_custkey < 100 AND c_custkey % 3 > 0)"
+_LINKS_SQL = "e AS (SELECT c_custkey AS src, c_custkey // 20 * 20 + c_custkey * 7 % 23 AS dst, 1.0::DOUBLE / (1 + c_custkey % 4) AS strength FROM customer WHERE c_custkey % 3 > 0)"
 
 
 def _links(spark, sf_dir):
+    """Customers in rows of twenty that lead a little over into the next."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").filter("c_custkey < 100 AND c_custkey % 3 > 0").select(k.alias("src"), (k * 7 % 101).alias("dst"), (1.0 / (1 + k % 4)).alias("strength"))
+    return table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").select(k.alias("src"), (F.floor(k / 20) * 20 + k * 7 % 23).alias("dst"), (1.0 / (1 + k % 4)).alias("strength"))
 
 
 @register(f"""
@@ -316,11 +317,27 @@ def i3_components(spark, sf_dir):
 
 
 @register(f"""
-WITH RECURSIVE {_LINKS_SQL}, r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 4) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1 HAVING min(depth) > 0
+WITH RECURSIVE {_LINKS_SQL}, r AS (SELECT c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 50 = 1 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 8) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1 HAVING min(depth) > 0
 """)
 def i4_transitive_dependencies(spark, sf_dir):
-    links = _links(spark, sf_dir)
-    return graph.reachable(links, spark.range(1, 2).select(F.col("id").alias("node")), 4, both_ways=False).filter("depth > 0")
+    seeds = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 1").select(F.col("c_custkey").alias("node"))
+    return graph.reachable(_links(spark, sf_dir), seeds, 8, both_ways=False).filter("depth > 0")
+
+
+@register(f"""
+WITH RECURSIVE {_LINKS_SQL}, c AS (SELECT src + 1000000 AS src, src // 10 * 10 + src * 3 % 11 + 1000000 AS dst FROM e), s AS (SELECT c_custkey + 1000000 AS symbol, c_custkey * 11 % 1009 AS path FROM customer),
+r AS (SELECT c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 50 = 7 UNION SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 3),
+q AS (SELECT symbol AS node, 0 AS depth FROM s WHERE path IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 7) UNION SELECT c.src, depth + 1 FROM q JOIN c ON c.dst = q.node WHERE depth < 3)
+SELECT c_custkey AS path, 'changed' AS reason, NULL::VARCHAR AS of FROM customer WHERE c_custkey % 50 = 7 UNION SELECT src, 'imports', dst::VARCHAR FROM e WHERE dst IN (SELECT node FROM r)
+UNION SELECT path, 'calls', dst::VARCHAR FROM c JOIN s ON s.symbol = c.src WHERE dst IN (SELECT node FROM q)
+""")
+def i10_change_impact(spark, sf_dir):
+    """Customers as files, and as symbols of other files; a fiftieth of the files change."""
+    edges, k = _links(spark, sf_dir).select("src", "dst"), F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    calls = edges.select((F.col("src") + 1000000).alias("src"), (F.floor(F.col("src") / 10) * 10 + F.col("src") * 3 % 11 + 1000000).alias("dst"))
+    names = customers.select((k + 1000000).alias("symbol"), (k * 11 % 1009).alias("path"))
+    return graph.impact(edges, customers.filter("c_custkey % 50 = 7").select(k.alias("node")), calls, names, 4)
 
 
 @register(f"""
