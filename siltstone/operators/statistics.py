@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.lineage import cut
+
 MAD_CONSISTENCY = 0.6745
 
 
@@ -14,33 +16,31 @@ def robust_anomalies(rows: DataFrame, group: str, value: str, least_group: int =
     Groups of fewer than least_group rows or with a deviation under 1e-9 have none. Groups are
     aggregated and joined back, so a hot group isn't one task's work.
     """
-    med = rows.groupBy(group).agg(F.median(value).alias("med"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_group)
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_group)
+    med = quantiles(rows, group, value, {"med": 0.5}).join(sizes, group)
     with_med = rows.join(med, group)
-    mad = with_med.groupBy(group).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad")).filter("mad >= 1e-9")
+    away = with_med.select(group, F.abs(F.col(value) - F.col("med")).alias("_away"))
+    mad = quantiles(away, group, "_away", {"mad": 0.5}).filter("mad >= 1e-9")
     scored = with_med.join(mad, group).withColumn("z", MAD_CONSISTENCY * (F.col(value) - F.col("med")) / F.col("mad"))
     return scored.filter(F.abs("z") >= z).drop("_n")
 
 
-#: Buckets of values that are ordered each by itself.
-BUCKETS = 64
-
-
 def count_below(ties: DataFrame, value: str, n: str, group: str | None = None) -> DataFrame:
     """ties (one row for each group and numeric value, n rows each) with _below: how many rows of the group have a lower value.
 
-    Values are dealt out over BUCKETS by their approximate quantiles, so neither a group nor
-    the whole table is ordered in one task.
+    Values are dealt out by ranges, as many as the session has shuffle partitions, and summed
+    within them and then over the ranges of each group; so neither a group nor the whole table
+    is ordered in one task, and tasks stay as small as the session makes them.
     """
     keys = [group] if group else []
-    bounds = sorted(set(ties.approxQuantile(value, [i / BUCKETS for i in range(1, BUCKETS)], 0.005)))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
-    dealt = ties.withColumn("_bucket", bucket)
-    totals = dealt.groupBy(*keys, "_bucket").agg(F.sum(n).alias("_t"))
-    # at most BUCKETS rows for each group
-    lower = F.sum("_t").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    # the range of a row must be the same for both sums: it is written with it
+    dealt = cut(ties.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy(*keys, "_range").agg(F.sum(n).alias("_t"))
+    # at most a row for each range of a group
+    lower = F.sum("_t").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.withColumn("_lower", F.coalesce(lower, F.lit(0))).drop("_t")
-    inner = F.coalesce(F.sum(n).over(Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("_inner", inner).join(totals, [*keys, "_bucket"]).withColumn("_below", F.col("_inner") + F.col("_lower")).drop("_inner", "_lower", "_bucket")
+    inner = F.coalesce(F.sum(n).over(Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_inner", inner).join(totals, [*keys, "_range"]).withColumn("_below", F.col("_inner") + F.col("_lower")).drop("_inner", "_lower", "_range")
 
 
 def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:
@@ -83,10 +83,27 @@ def geometric_mean(rows: DataFrame, group: str, value: str) -> DataFrame:
     return rows.groupBy(group).agg(F.when(F.min(value) <= 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.log(F.when(F.col(value) > 0, F.col(value)))))).alias("geometric_mean"))
 
 
+def quantiles(rows: DataFrame, group: str, value: str, levels: dict[str, float]) -> DataFrame:
+    """(group, a column for each of levels): linearly interpolated quantiles of each group's values that aren't null.
+
+    Equal values are one row before anything is ordered, and a group's values stay dealt out.
+    """
+    known = _counted(rows, group, value)
+    found = []
+    for name, q in levels.items():
+        at = (F.col("_n") - 1) * F.lit(q)
+        share = at - F.floor(at)
+        holds = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col(value)))
+        low, high = holds(F.floor(at)), holds(F.ceil(at))
+        found.append((low + (high - low) * F.max(share)).alias(name))
+    return known.groupBy(group).agg(*found)
+
+
 def median_and_mad(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Median and median absolute deviation of each group."""
-    med = rows.groupBy(group).agg(F.median(value).alias("median"))
-    return rows.join(med, group).groupBy(group).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    med = cut(quantiles(rows, group, value, {"median": 0.5}))
+    away = rows.join(med, group).select(group, F.abs(F.col(value) - F.col("median")).alias("_away"))
+    return med.join(quantiles(away, group, "_away", {"mad": 0.5}), group, "left").select(group, "median", "mad")
 
 
 def conformal_p(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -117,13 +134,13 @@ def e_product(rows: DataFrame, group: str, e_value: Column) -> DataFrame:
     return rows.groupBy(group).agg(F.sum(F.log(F.greatest(e_value, F.lit(1e-9)))).alias("log_product"), F.avg(e_value).alias("mean"))
 
 
-def unit_quantile(value: str, q: float) -> Column:
-    """Linearly interpolated quantile of a group's values, as an aggregate; 0 for q of 0 or less or no values, 1 for q of 1 or more."""
-    if q <= 0:
-        return F.lit(0.0) * F.count(F.lit(1))
-    if q >= 1:
-        return F.lit(0.0) * F.count(F.lit(1)) + F.when(F.count(value) > 0, 1.0).otherwise(0.0)
-    return F.coalesce(F.percentile(value, F.lit(q)), F.lit(0.0))
+def unit_quantiles(rows: DataFrame, group: str, value: str, levels: dict[str, float]) -> DataFrame:
+    """(group, a column for each of levels): linearly interpolated quantiles of each group; 0 for levels of 0 or less or no values, 1 for those of 1 or more."""
+    within = {name: q for name, q in levels.items() if 0 < q < 1}
+    groups = rows.groupBy(group).agg(F.count(value).alias("_some"))
+    joined = groups.join(quantiles(rows, group, value, within), group, "left") if within else groups
+    at = lambda name, q: F.coalesce(F.col(name), F.lit(0.0)) if name in within else F.when((F.col("_some") > 0) & F.lit(q >= 1), 1.0).otherwise(0.0)
+    return joined.select(group, *(at(name, q).alias(name) for name, q in levels.items()))
 
 
 def nearest_percentile(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:

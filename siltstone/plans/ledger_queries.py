@@ -224,7 +224,8 @@ SELECT event_type, round(quantile_cont(value / 100, 0.9), 6) AS q90, 0.0::DOUBLE
 def a28_quantiles(spark, sf_dir):
     """0 for levels of 0 or less, 1 for those of 1 or more."""
     scaled = table(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("v"))
-    return scaled.groupBy("event_type").agg(*(F.round(statistics.unit_quantile("v", q), 6).alias(name) for name, q in (("q90", 0.9), ("q0", 0.0), ("q1", 1.0))))
+    found = statistics.unit_quantiles(scaled, "event_type", "v", {"q90": 0.9, "q0": 0.0, "q1": 1.0})
+    return found.select("event_type", *(F.round(name, 6).alias(name) for name in ("q90", "q0", "q1")))
 
 
 @register("""
