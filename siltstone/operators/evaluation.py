@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +117,34 @@ def gram_counts(texts: DataFrame, text: str, order: int = 3) -> DataFrame:
     return at.select(sizes.alias("g")).groupBy("g.size", "g.context", "g.char").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: What each step back to a shorter context multiplies a character's chance by, and the logarithm of an unknown one's.
+BACK_OFF, UNKNOWN = 0.4, -10.0
+
+
+def surprisal(texts: DataFrame, key: str, text: str, counts: DataFrame, order: int = 3) -> DataFrame:
+    """(key, surprisal): how unlikely a text's characters are on average after the order - 1 before them, in natural units.
+
+    counts are those of gram_counts. A character unknown after the longest context is looked up
+    after a shorter one, each step back at BACK_OFF of its chance. Texts' grams are counted
+    first, so each different gram is looked up once, and common contexts are one row. Empty and
+    null texts have 0. Rows that share a key are one text after another.
+    """
+    padded = F.concat(F.lit("\x02" * (order - 1)), F.col(text))
+    grams = F.transform(F.sequence(F.lit(order), F.char_length("_p")), lambda i: F.substring("_p", i - order + 1, F.lit(order)))
+    some = texts.filter(F.col(text) != "").select(key, padded.alias("_p")).select(key, F.explode(grams).alias("_g"))
+    counted = some.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_c"))
+    left = counted.select("_g").distinct()
+    totals = counts.groupBy("size", "context").agg(F.sum("n").alias("_all"))
+    chances = counts.join(totals, ["size", "context"]).select("size", F.concat("context", "char").alias("_seen"), F.log(F.col("n") / F.col("_all")).alias("_log"))
+    known = left
+    for size in range(order, 0, -1):
+        own = chances.filter(F.col("size") == size).select(F.col("_seen").alias("_tail"), (F.col("_log") + (order - size) * math.log(BACK_OFF)).alias(f"_l{size}"))
+        known = known.withColumn("_tail", F.expr(f"right(_g, {size})")).join(own, "_tail", "left").drop("_tail")
+    scored = counted.join(known.select("_g", F.coalesce(*(F.col(f"_l{size}") for size in range(order, 0, -1)), F.lit(UNKNOWN)).alias("_log")), "_g")
+    means = scored.groupBy(key).agg((-F.sum(F.col("_log") * F.col("_c")) / F.sum("_c")).alias("_s"))
+    return texts.select(key).distinct().join(means, key, "left").select(key, F.coalesce("_s", F.lit(0.0)).alias("surprisal"))
+
+
 def co_access(accesses: DataFrame, key: str, turn: str, item: str, window: int) -> DataFrame:
     """(a, b, n), a < b: how often two items of a key were used within window turns of each other. Turns are cut into blocks of window, so a row meets its own block and the one before."""
     rows = accesses.select(key, F.col(turn).alias("_t"), F.col(item).alias("_i"), F.floor(F.col(turn) / max(window, 1)).alias("_b"))

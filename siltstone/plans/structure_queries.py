@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import code, symbols
-from siltstone.operators import budgets, segments
+from siltstone.operators import budgets, evaluation, resampling, segments
 from siltstone.operators import symbols as links
 from siltstone.plans.registry import register, table
 
@@ -174,3 +174,41 @@ def s9_document_chunks(spark, sf_dir):
     """Chunks of all documents of 120 tokens at most; tested against the texts and plain code."""
     path = F.when(F.col("doc_id") % 3 == 0, "a.py").otherwise("a.md")
     return segments.document_chunks(table(spark, sf_dir, "documents"), "doc_id", path, "text", 120, 15)
+
+
+@register(r"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, role, replace(coalesce(text, ''), chr(10), ' ') AS t FROM conversations),
+p AS (SELECT concat(chr(2), chr(2), t, chr(3)) AS p FROM t WHERE role = 'assistant' AND t <> ''), g AS (SELECT p, unnest(range(3, length(p) + 1)) AS i FROM p),
+c AS (SELECT k, substr(p, i - k + 1, k - 1) AS ctx, substr(p, i, 1) AS ch, count(*) AS n FROM g, (SELECT unnest([1, 2, 3]) AS k) GROUP BY ALL), l AS (SELECT k, ctx || ch AS s, ln(n / sum(n) OVER (PARTITION BY k, ctx)) + (3 - k) * ln(0.4::DOUBLE) AS lp FROM c),
+q AS (SELECT id, concat(chr(2), chr(2), t) AS p FROM t WHERE role = 'user' AND t <> ''), w AS (SELECT id, substr(p, i - 2, 3) AS s FROM (SELECT id, p, unnest(range(3, length(p) + 1)) AS i FROM q)),
+r AS (SELECT w.id, coalesce(a.lp, b.lp, d.lp, -10.0::DOUBLE) AS lp FROM w LEFT JOIN l a ON a.k = 3 AND a.s = w.s LEFT JOIN l b ON b.k = 2 AND b.s = right(w.s, 2) LEFT JOIN l d ON d.k = 1 AND d.s = right(w.s, 1))
+SELECT t.id, round(coalesce(s, 0), 6) AS surprisal FROM t LEFT JOIN (SELECT id, -avg(lp) AS s FROM r GROUP BY 1) USING (id) WHERE role = 'user'
+""")
+def x43_surprisal(spark, sf_dir):
+    """users' turns by the grams of the assistants'."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("t"))
+    counts = evaluation.gram_counts(turns.filter("role = 'assistant'"), "t", 3)
+    return evaluation.surprisal(turns.filter("role = 'user'"), "id", "t", counts, 3).withColumn("surprisal", F.round("surprisal", 6))
+
+
+@register()
+def v5_paired_bootstrap(spark, sf_dir):
+    """V5 by event type: values less 50 as differences; V9 is the same with interpolated ends. Tested against a plain bootstrap."""
+    deltas = table(spark, sf_dir, "events").select("event_type", "event_id", (F.col("value") - 50).alias("delta"))
+    found = resampling.mean_interval(deltas, "event_type", "event_id", "delta", interpolate=False)
+    return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
+@register()
+def v9_mean_interval(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), "l_extendedprice")
+    found = resampling.mean_interval(lines, "l_returnflag", "key", "l_extendedprice")
+    return found.select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")))
+
+
+@register()
+def v8_speedup_interval(spark, sf_dir):
+    """V8: ship years as scenarios, open and filled lines as systems, prices as times. Tested against a plain bootstrap."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.year("l_shipdate").alias("year"), (F.col("l_linenumber") % 2).cast("string").alias("system"), "l_extendedprice")
+    found = resampling.median_ratio_interval(lines, "l_returnflag", "year", "system", "l_extendedprice", ("0", "1"))
+    return found.select("l_returnflag", *(F.round(c, 6).alias(c) for c in ("ratio", "low", "high")))
