@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm._cluster import bounded
@@ -145,16 +145,24 @@ def train_ftrl(samples: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int,
 
 
 def fit(learn: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
-    """Fit to learn (text, lang and a number h that deals rows out at random); rows with a null in them are left out. None without rows."""
+    """Fit to learn (text, lang and an id h); rows without a text or lang are left out. None without rows.
+
+    Each language gets an equal part of max_train: the rows with the least hashes of id and text,
+    so neither one id nor none for all rows keeps a language out.
+    """
     rows = learn.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     frequency, total = document_frequencies(rows.select("text"))
     if not total:
         return None
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    labels = sorted(counts)
+    rows = rows.withColumn("_deal", F.xxhash64("h", "text"))
+    sizes = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_deal").alias("least")).collect()}
+    labels = sorted(sizes)
     each = max(1, max_train // len(labels))
-    share = F.create_map(*(F.lit(x) for lang in labels for x in (lang, min(1.0, each / counts[lang]))))
-    picked = rows.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    # twice the share is enough rows but for copies; the first row of a language is in at any rate
+    share = F.create_map(*(F.lit(x) for lang in labels for x in (lang, min(1.0, 2 * each / sizes[lang]["n"]))))
+    least = F.create_map(*(F.lit(x) for lang in labels for x in (lang, sizes[lang]["least"])))
+    some = rows.filter((F.pmod(F.xxhash64("_deal"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)) | (F.col("_deal") == least[F.col("lang")]))
+    picked = some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_deal", "h", "text"))).filter(F.col("_r") <= each)
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +174,8 @@ def fit(learn: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
                 pairs = list(zip(bounds[:-1], bounds[1:]))
                 yield pa.RecordBatch.from_arrays([pa.array(langs[first : first + len(held)], pa.string()), pa.array([buckets[a:b].astype("<u4").tobytes() for a, b in pairs], pa.binary()), pa.array([n[a:b].astype("<f4").tobytes() for a, b in pairs], pa.binary())], names=["lang", "buckets", "counts"])
 
-    # the share makes about max_train rows; the limit is the documented bound
-    found = picked.orderBy(F.xxhash64("h"), "h", "lang", "text").limit(max_train).select("text", "lang").mapInArrow(run, "lang string, buckets binary, counts binary").collect()
+    # max_train rows at most, the documented bound
+    found = picked.orderBy(F.xxhash64("_deal", "lang"), "_deal", "lang", "h").select("text", "lang").mapInArrow(run, "lang string, buckets binary, counts binary").collect()
     samples = []
     for r in found:
         buckets, n = np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["counts"], "<f4").astype(float)
@@ -217,7 +225,7 @@ def identify(docs: DataFrame, held_out: F.Column, max_train: int = MAX_TRAIN) ->
     """doc_id, held_out, lang_pred and score of each row of docs; only rows that aren't held out are learned from.
 
     Null texts and texts without a letter are `und` with score 0. With one language learned, all
-    others are that one; with none, `und`. Null ids, repeated rows and ties are rows like all:
+    others are that one; with none, `und`. Null ids, shared ids, repeated rows and ties are rows like all:
     equal texts have equal results. An empty table gives an empty result. Weights take memory
     for each language of the labels.
     """

@@ -100,12 +100,12 @@ def _span_hashes(words: Words, first_word: np.ndarray, first: np.ndarray, end: n
 
 
 def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first, n, h_a, h_b): the spans of each text, in its sentences, and two 64-bit hashes of their words."""
-    schema = "doc_id long, first int, n int, h_a long, h_b long"
+    """(doc_id, t, first, n, h_a, h_b): the spans of each text, in its sentences, and two 64-bit hashes of their words; t is the text's own hash."""
+    schema = "doc_id long, t long, first int, n int, h_a long, h_b long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, hashed = batch.column(0), batch.column(2)
             for a, b, data, offsets in blocks(batch.column(1)):
                 words = Words(data, offsets, NON_SPACE)
                 first_word = sentence_words(words)
@@ -115,17 +115,17 @@ def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 base = np.searchsorted(text, np.arange(b - a + 1))
                 first, end = spans(first_word, base[text + 1])
                 hashes = _span_hashes(words, first_word, first, end)
-                own = ids.slice(a, b - a)
+                own, own_t = ids.slice(a, b - a), hashed.slice(a, b - a)
                 for x in range(0, len(first), _SPAN_ROWS):
                     part = slice(x, x + _SPAN_ROWS)
                     row = text[first[part]]
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(row)), pa.array((first[part] - base[row]).astype(np.int32)), pa.array((end[part] - first[part]).astype(np.int32)), *(pa.array(h[part].view(np.int64)) for h in hashes)], names=["doc_id", "first", "n", "h_a", "h_b"])
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(row)), own_t.take(pa.array(row)), pa.array((first[part] - base[row]).astype(np.int32)), pa.array((end[part] - first[part]).astype(np.int32)), *(pa.array(h[part].view(np.int64)) for h in hashes)], names=["doc_id", "t", "first", "n", "h_a", "h_b"])
 
-    return bounded(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
+    return bounded(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first, n, first_doc): each span that isn't the first of its kind, and the document of the first; a written table."""
+    """(doc_id, t, first, n, first_doc): each span that isn't the first of its kind, and the document of the first; a written table."""
     found = stash(span_table(docs, id_col, text_col), "spans")
     twice = found.groupBy("h_a").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     twice = stash(twice, "twice")
@@ -135,12 +135,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         same = join_counted(found, twice, ["h_a"], "_n", total, "inner").drop("_n")
     same = stash(same, "same")
-    kinds = same.groupBy("h_a", "h_b").agg(F.min(F.struct("doc_id", "first")).alias("lead"), F.count(F.lit(1)).alias("_n"))
-    kinds = stash(kinds.filter(F.col("_n") > 1).select("h_a", "h_b", "_n", F.col("lead.doc_id").alias("first_doc"), F.col("lead.first").alias("first_at")), "kinds")
+    kinds = same.groupBy("h_a", "h_b").agg(F.min(F.struct("doc_id", "t", "first")).alias("lead"), F.count(F.lit(1)).alias("_n"))
+    kinds = stash(kinds.filter(F.col("_n") > 1).select("h_a", "h_b", "_n", F.col("lead.doc_id").alias("first_doc"), F.col("lead.t").alias("first_t"), F.col("lead.first").alias("first_at")), "kinds")
     discard(found, twice)
     joined = join_counted(same, kinds, ["h_a", "h_b"], "_n", total, "inner")
-    lead = (F.col("doc_id") == F.col("first_doc")) & (F.col("first") == F.col("first_at"))
-    out = stash(joined.filter(~lead).select("doc_id", "first", "n", "first_doc"), "repeats")
+    lead = (F.col("doc_id") == F.col("first_doc")) & (F.col("t") == F.col("first_t")) & (F.col("first") == F.col("first_at"))
+    out = stash(joined.filter(~lead).select("doc_id", "t", "first", "n", "first_doc"), "repeats")
     discard(same, kinds)
     return out
 
@@ -197,15 +197,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first_docs are the documents that hold the first of the spans. Null texts stay null, empty
     ones empty. Rows that share id and text are one document: they are treated alike and
     aren't repeats of each other. Rows with a null id neither lose sentences nor make others
-    lose them. Columns of docs with the names of the four give way to them. An empty table
+    lose them. Different texts under one id are documents of their own, in the order of their
+    hashes. Columns of docs with the names of the four give way to them. An empty table
     gives an empty result.
     """
     repeats = repeated_spans(docs, id_col, text_col)
-    by_doc = repeats.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("_spans"), F.array_sort(F.collect_set("first_doc")).alias("_docs"))
+    by_doc = repeats.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("_spans"), F.array_sort(F.collect_set("first_doc")).alias("_docs"))
     names = docs.columns
     plain = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)))
     key, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
-    joined = plain.join(by_doc, F.col(key) == F.col("doc_id"), "left").select(*plain.columns, "_spans", "_docs")
+    joined = plain.join(by_doc, (F.col(key) == F.col("doc_id")) & (F.xxhash64(text) == F.col("t")), "left").select(*plain.columns, "_spans", "_docs")
     cut = joined.withColumn("_x", _without(text, F.col("_spans.first"), F.col("_spans.n")))
     extra = [F.col("_x.n_sentences"), F.col("_x.n_removed"), F.col("_x.removed_spans"), F.coalesce("_docs", F.array().cast("array<long>")).alias("first_docs")]
     kept = [c for c in names if c not in ("n_sentences", "n_removed", "removed_spans", "first_docs")]
