@@ -61,7 +61,7 @@ def test_decontamination_in_one_and_in_several_passes(spark, set_bytes):
     for r in got:
         for s in r.hit_spans:
             assert (r.text.encode()[s.byte_start : s.byte_end]).decode().split()
-    left = {0: words(4, 9) + " , " + words(5, 9), 1: "x  y", 2: None, 3: "", 4: "", 5: words(6, 30), 6: words(6, 30), 7: " " + texts[7].split()[-1], 8: ", "}
+    left = {0: words(4, 9) + " , " + words(5, 9), 1: "x  y", 2: None, 3: "", 4: "", 5: words(6, 30), 6: words(6, 30), 7: " " + texts[7].split()[-1], 8: ""}  # neighbouring hits are one span
     cut = [(r.doc_id, r.text) for r in decontamination.remove_spans(docs, bench).collect()]
     assert sorted(cut, key=repr) == sorted([(i // 2, left[i]) for i in left], key=repr)
     cut = [t for _, t in cut]
