@@ -76,15 +76,15 @@ def dual_prices(items: DataFrame, budgets: DataFrame, temperature: float) -> Dat
     return state.select("group", F.when(F.col("found"), (F.col("lo") + F.col("hi")) * 0.5).otherwise(0.0).alias("price"), "all_fit", (~F.col("all_fit") & ~F.col("found")).alias("failed"))
 
 
-def fill(items: DataFrame, budgets: DataFrame, order: Column) -> DataFrame:
-    """(group, key, tokens): items by falling order, each taken if it fits what is left of its group's budget. Ties go by key.
+def fill(items: DataFrame, budgets: DataFrame, order: Column, then: Column | None = None) -> DataFrame:
+    """(group, key, tokens): items by falling order, each taken if it fits what is left of its group's budget. Ties go by falling then, if given, and by key.
 
     A round takes the longest start of the order that fits and goes on with the items that fit
     the rest. Sums run first over ranges of the order and then within a range, so a large group
     is not one task's work. items: (group, key, score, tokens) with tokens above 0.
     """
     step = F.least(F.greatest(F.floor(order * 20), F.lit(-800)), F.lit(800)).cast("int")
-    left = cut(items.select("group", "key", "tokens", order.alias("_o"), step.alias("_step")))
+    left = cut(items.select("group", "key", "tokens", order.alias("_o"), (F.lit(0.0) if then is None else then).alias("_then"), step.alias("_step")))
     rest = budgets.select("group", F.col("budget").cast("long").alias("_rest"))
     taken = None
     while True:
@@ -93,7 +93,7 @@ def fill(items: DataFrame, budgets: DataFrame, order: Column) -> DataFrame:
         before = F.coalesce(F.sum("_t").over(Window.partitionBy("group").orderBy(F.col("_step").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         # steps that begin beyond the budget have nothing to take now
         near = totals.withColumn("_before", before).select("group", "_step", "_before")
-        inner = F.sum("tokens").over(Window.partitionBy("group", "_step").orderBy(F.col("_o").desc(), "key"))
+        inner = F.sum("tokens").over(Window.partitionBy("group", "_step").orderBy(F.col("_o").desc(), F.col("_then").desc(), "key"))
         now = fitting.join(near, ["group", "_step"]).filter(F.col("_before") < F.col("_rest")).withColumn("_sum", inner + F.col("_before"))
         now = cut(now.filter(F.col("_sum") <= F.col("_rest")).select("group", "key", "tokens"))
         if now.isEmpty():

@@ -28,8 +28,8 @@ def adjustments_once(stored: DataFrame, incoming: DataFrame, events: DataFrame,
 
 
 def event_id(schema: str, channel: Column, destination: Column, key: Column) -> Column:
-    """The outbox's id of an event: the same for the same channel, destination and key."""
-    return F.sha2(F.concat_ws("\0", F.lit(schema), channel, destination, key), 256)
+    """The outbox's id of an event: the same for the same channel, destination and key; null if one of them is."""
+    return F.sha2(F.concat(F.lit(schema), *(x for part in (channel, destination, key) for x in (F.lit("\0"), part))), 256)
 
 
 def claim(events: DataFrame, channel: str, destination: str, now: float, limit: int = 32, lease: float = 30.0) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import task_type
 from siltstone.operators.statistics import count_below
 
 
@@ -117,6 +118,20 @@ def gram_counts(texts: DataFrame, text: str, order: int = 3) -> DataFrame:
     return at.select(sizes.alias("g")).groupBy("g.size", "g.context", "g.char").agg(F.count(F.lit(1)).alias("n"))
 
 
+def budget_features(turns: DataFrame, group: str, order: str, text: str, entropy: Column, vagueness: Column | None = None) -> DataFrame:
+    """What a budget is predicted from, for each group: its last turn is the query, all turns are fragments and together the context.
+
+    Tokens are characters by four, 1 at least, of the query and of the whole context. An entropy
+    of 0 or null counts as 0.5, as does a vagueness that isn't given. The task is the query's task type.
+    """
+    size = F.coalesce(F.char_length(text), F.lit(0))
+    tokens = lambda n: F.greatest(F.lit(1), F.floor(n / 4)).cast("long")
+    known = F.when(entropy == 0, F.lit(0.5)).otherwise(F.coalesce(entropy, F.lit(0.5)))
+    rows = turns.select(group, order, F.coalesce(F.col(text), F.lit("")).alias("_t"), size.alias("_n"), known.alias("_h"), (vagueness if vagueness is not None else F.lit(0.5)).alias("_v"))
+    found = rows.groupBy(group).agg(F.max_by(F.struct("_t", "_n", "_v"), order).alias("_q"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("fragments"), F.avg("_h").alias("mean_entropy"), F.max("_h").alias("max_entropy"))
+    return found.select(group, tokens(F.col("_q._n")).alias("query_tokens"), F.coalesce("_q._v", F.lit(0.5)).alias("vagueness"), tokens(F.col("_all")).alias("context_tokens"), "fragments", "mean_entropy", "max_entropy", task_type(F.col("_q._t")).alias("task_type"))
+
+
 #: What each step back to a shorter context multiplies a character's chance by, and the logarithm of an unknown one's.
 BACK_OFF, UNKNOWN = 0.4, -10.0
 

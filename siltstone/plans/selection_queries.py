@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import claims, fingerprints, rewriting
 from siltstone.functions import text as tx
 from siltstone.functions.signals import hashed, ngrams
-from siltstone.operators import ledger, lineage, selection, statistics
+from siltstone.operators import evaluation, ledger, lineage, recall, selection, statistics
 from siltstone.plans.registry import register, table
 from siltstone.streaming import rollups
 
@@ -31,16 +31,29 @@ def k9_greedy_fill(spark, sf_dir):
     return selection.greedy_fill(parts, "p_brand", "p_partkey", "v", "p_size", 120).select("p_partkey", "p_brand", "selected")
 
 
-_RECALL_SQL = "exp(-ln(2) / 20 * (p_partkey % 60)) * (1 + least(2, ln(1 + p_partkey % 9))) * 1.1 * (0.5 + p_size / 50)"
+_RECALL_QUERY = "Red bolt or small ECONOMY ring"
+_RECALL_SQL = f"""
+WITH RECURSIVE m AS (SELECT p_partkey AS id, CASE WHEN p_size % 10 = 0 THEN 'shared' ELSE p_brand END AS agent, ['working', 'episodic', 'semantic'][(p_partkey % 3 + 1)::INT] AS tier, p_size / 50 AS importance, p_partkey % 60 AS created, p_size % 30 + 20 AS salience, p_partkey % 9 AS times, greatest(p_size, 1) AS w,
+  list_distinct(list_transform(regexp_extract_all(concat(p_name, ' mem ', p_type, ' ', p_brand), '[A-Za-z_][A-Za-z0-9_]+'), lambda x: lower(x))) AS words FROM part),
+q AS (SELECT DISTINCT p_brand AS request, CASE WHEN p_brand LIKE '%1' THEN '' ELSE '{_RECALL_QUERY}' END AS q FROM part),
+k AS (SELECT request, id, w, tier, CASE WHEN tier = 'semantic' THEN 1 ELSE exp(-(60 - created) / salience) END AS keep, importance, times, list_distinct(list_transform(regexp_extract_all(q, '[A-Za-z_][A-Za-z0-9_]+'), lambda x: lower(x))) AS qs, words FROM m JOIN q ON agent IN (request, 'shared')),
+v AS (SELECT request, id, w, CASE WHEN tier <> 'semantic' AND keep < 0.2 THEN 0 ELSE keep * (1 + least(2, ln(1 + times))) * CASE WHEN len(qs) > 0 THEN 0.2 + 0.8 * len(list_intersect(qs, words)) / len(qs) ELSE 1 END * CASE tier WHEN 'working' THEN 1 WHEN 'episodic' THEN 1.1 ELSE 1.25 END * (0.5 + importance) END AS v FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY v / w DESC, v DESC, id) AS n FROM v WHERE v > 0),
+g AS (SELECT request, 0::BIGINT AS n, 100::BIGINT AS room, -1::BIGINT AS k FROM q UNION ALL SELECT g.request, r.n, CASE WHEN r.w <= room THEN room - r.w ELSE room END, CASE WHEN r.w <= room THEN r.id ELSE -1 END FROM g JOIN r ON r.request = g.request AND r.n = g.n + 1)
+SELECT request AS agent, count(*) FILTER (v = 0) AS faded, (SELECT string_agg(k, ',' ORDER BY k) FROM g WHERE g.request = v.request AND k >= 0) AS selected FROM v GROUP BY request
+"""
 
 
-@register(_greedy_sql(f"({_RECALL_SQL})", "p_size", 100, "exp(-ln(2) / 20 * (p_partkey % 60)) >= 0.2"))
+@register(_RECALL_SQL)
 def k29_recall_under_budget(spark, sf_dir):
-    """Episodic memories by retention, frequency and importance; those under the retention threshold stay out."""
-    kept = tx.retention(F.col("p_partkey") % 60, 20.0)
-    score = kept * (1 + F.least(F.lit(2.0), F.log1p(F.col("p_partkey") % 9))) * 1.1 * (0.5 + F.col("p_size") / 50)
-    parts = table(spark, sf_dir, "part").withColumn("v", F.when(kept >= 0.2, score).otherwise(0.0))
-    return selection.greedy_fill(parts, "p_brand", "p_partkey", "v", "p_size", 100, skip_worthless=True).select("p_partkey", "p_brand", "selected")
+    """Parts as memories of their brands, some shared; a request for each brand, some without a query."""
+    f, k = F.col, F.col("p_partkey")
+    parts = table(spark, sf_dir, "part")
+    tier = F.element_at(F.array(*map(F.lit, ("working", "episodic", "semantic"))), (k % 3 + 1).cast("int"))
+    memories = parts.select(k.alias("id"), F.when(f("p_size") % 10 == 0, recall.SHARED).otherwise(f("p_brand")).alias("agent"), f("p_name").alias("content"), F.concat(F.lit("mem/"), "p_type").alias("source"), F.array(F.regexp_replace("p_brand", "#.*", "")).alias("tags"), tier.alias("tier"), (f("p_size") / 50).alias("importance"), (k % 60).alias("created"), (f("p_size") % 30 + 20).alias("salience"), (k % 9).alias("recall_count"), f("p_size").alias("tokens"))
+    requests = parts.select(f("p_brand").alias("request")).distinct().select("request", f("request").alias("agent"), F.when(f("request").endswith("1"), "").otherwise(_RECALL_QUERY).alias("query"), F.lit(100).cast("long").alias("budget"), F.lit(None).cast("string").alias("tier"))
+    found = recall.recall(requests, memories, 60.0).groupBy("request").agg(F.count_if(f("score") == 0).alias("faded"), F.array_join(F.array_sort(F.collect_list(F.when(f("selected"), f("id")))).cast("array<string>"), ",").alias("selected"))
+    return found.select(f("request").alias("agent"), "faded", "selected")
 
 
 @register()
@@ -162,11 +175,11 @@ def w12_chains(spark, sf_dir):
 
 
 @register("""
-SELECT user_id, any_value(n)::BIGINT AS versions, string_agg(event_id, ',' ORDER BY event_id) AS timeline FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE user_id % 7 = 3 AND event_id NOT IN (1, 2, 3) GROUP BY 1
+SELECT user_id, any_value(n)::BIGINT AS versions, string_agg(event_id, ',' ORDER BY event_id) AS timeline FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE event_id NOT IN (1, 2, 3) GROUP BY 1
 """)
 def w14_timelines(spark, sf_dir):
-    """Rows of some entities in the order of their sequence, without deleted ones."""
-    e = table(spark, sf_dir, "events").filter("user_id % 7 = 3").select("user_id", "event_id", F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("n"))
+    """Rows of each entity in the order of their sequence, without deleted ones."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("n"))
     left = e.filter(~F.col("event_id").isin(1, 2, 3))
     return left.groupBy("user_id").agg(F.first("n").alias("versions"), F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), ",").alias("timeline"))
 
@@ -184,15 +197,17 @@ def j22_best_matches(spark, sf_dir):
     return t.select("conv_id", "turn", F.round(claims.best_matches(F.col("a"), F.col("e")), 6).alias("support"))
 
 
-@register("""
-WITH e AS (SELECT conv_id, turn, greatest(1, length(text) // 4) AS q, length(text) % 10 / 10 AS h FROM conversations)
-SELECT conv_id, max_by(q, turn) AS query_tokens, CAST(sum(q) AS BIGINT) AS context_tokens, count(*) AS fragments, round(avg(h), 6) AS mean_entropy, round(max(h), 6) AS max_entropy FROM e GROUP BY 1
+_TASKS_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(q, '{k}')" for k in words) + f" THEN '{name}'" for name, words, _ in tx.TASK_TYPES) + " ELSE 'Unknown' END"
+
+
+@register(f"""
+WITH e AS (SELECT conv_id, turn, coalesce(text, '') AS t, CASE WHEN length(text) % 10 = 0 THEN 0.5 ELSE length(text) % 10 / 10 END AS h FROM conversations),
+g AS (SELECT conv_id, max_by(t, turn) AS last, sum(length(t)) AS n, count(*) AS fragments, avg(h) AS mean, max(h) AS top FROM e GROUP BY 1)
+SELECT conv_id, greatest(1, length(last) // 4) AS query_tokens, 0.5::DOUBLE AS vagueness, greatest(1, n // 4)::BIGINT AS context_tokens, fragments, round(mean, 6) AS mean_entropy, round(top, 6) AS max_entropy, (SELECT {_TASKS_SQL} FROM (SELECT lower(last) AS q)) AS task_type FROM g
 """)
 def v36_budget_features(spark, sf_dir):
-    q = F.greatest(F.lit(1), F.floor(F.char_length("text") / 4))
-    h = F.char_length("text") % 10 / 10
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id")
-    return g.agg(F.max_by(q, "turn").alias("query_tokens"), F.sum(q).alias("context_tokens"), F.count(F.lit(1)).alias("fragments"), F.round(F.avg(h), 6).alias("mean_entropy"), F.round(F.max(h), 6).alias("max_entropy"))
+    found = evaluation.budget_features(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", F.char_length("text") % 10 / 10)
+    return found.select("conv_id", "query_tokens", "vagueness", "context_tokens", "fragments", F.round("mean_entropy", 6).alias("mean_entropy"), F.round("max_entropy", 6).alias("max_entropy"), "task_type")
 
 
 @register("""
