@@ -8,6 +8,7 @@ from siltstone.functions import code, symbols
 from siltstone.operators import budgets, evaluation, resampling, segments
 from siltstone.operators import symbols as links
 from siltstone.plans.registry import register, table
+from siltstone.streaming import detectors
 
 #: Texts of code: @ is a part's own symbol, ~ that of another, # its number.
 TEMPLATES = (
@@ -212,3 +213,20 @@ def v8_speedup_interval(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.year("l_shipdate").alias("year"), (F.col("l_linenumber") % 2).cast("string").alias("system"), "l_extendedprice")
     found = resampling.median_ratio_interval(lines, "l_returnflag", "year", "system", "l_extendedprice", ("0", "1"))
     return found.select("l_returnflag", *(F.round(c, 6).alias(c) for c in ("ratio", "low", "high")))
+
+
+@register()
+def w9_rate_surprise(spark, sf_dir):
+    """Events of each user, their values as counts, each a fortieth of a second after the last number; tested against a plain loop and a stream."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") / 40).alias("at"), F.floor(F.col("value") / 10).alias("n"))
+    found = detectors.detect(rows, "user_id", "event_id", "at", "n", detectors.RATES)
+    return found.select("user_id", "event_id", *(F.round(c, 6).alias(c) for c in ("expected", "observed", "surprise")))
+
+
+@register()
+def w10_shifts(spark, sf_dir):
+    """Lines of orders as requests of their suppliers, hits until late years; tested against a plain loop and a stream."""
+    hit = (F.year("l_shipdate") < 1996) | (F.col("l_linenumber") == 1)
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.unix_timestamp("l_shipdate") * 100000 + F.col("l_orderkey")).alias("at"), hit.cast("int").alias("hit"))
+    found = detectors.detect(rows, "l_suppkey", "at", "at", "hit", detectors.SHIFTS)
+    return found.filter("shift IS NOT NULL").select("l_suppkey", "at", F.round("hit_rate", 6).alias("hit_rate"), "shift")
