@@ -33,10 +33,10 @@ def test_against_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     cursor = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in cursor.description]
-    want = sorted(tuple(dict(zip(names, r))[c] for c in sorted(names)) for r in cursor.fetchall())
+    want = sorted((tuple(dict(zip(names, r))[c] for c in sorted(names)) for r in cursor.fetchall()), key=repr)
     got = queries.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
-    assert sorted(tuple(r) for r in got.select(*sorted(names)).collect()) == want
+    assert sorted((tuple(r) for r in got.select(*sorted(names)).collect()), key=repr) == want
 
 
 def test_secrets(spark, documents):
@@ -137,3 +137,27 @@ def test_archive_bytes_parse_as_warc(spark, tmp_path):
         at, n = at + 4, n + 1
     assert n == len(pages)
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_windows(spark, documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {d["doc_id"]: t.encode(d["text"], add_special_tokens=False).ids + [0] for d in documents}
+    rows, places = {}, {}
+    for r in rows_of(queries.op12_window_packing(spark, SF)):
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own)
+        assert r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in own[r["start"] : r["start"] + r["length"]]))
+        rows.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts, most in [(x, None) for x in rows.values()] + [(x, 1024) for x in places.values()]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert most is None or at <= most
+    assert {k: sum(n for _, n in x) for k, x in rows.items()} == {k: len(x) for k, x in ids.items()}
+    sizes = [sum(n for _, n in x) for x in places.values()]
+    assert sum(1024 - n for n in sizes if n & (n - 1)) <= 0.002 * sum(sizes)
