@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 KEEP_WORDS = 600_000
 
 _ASCII_LOWER = str.maketrans({i: i + 32 for i in range(65, 91)})
-_LOADED: dict[tuple[str, bool], WordEncoder] = {}
+_LOADED: dict[tuple[str, bool, int], WordEncoder] = {}
 
 
 def default_vocabulary() -> str:
@@ -32,13 +32,13 @@ def _byte_letters() -> dict[int, int]:
 class _Known(dict):
     """Ids of parts, learned when first asked for."""
 
-    def __init__(self, encoder: WordEncoder):
+    def __init__(self, encoder: WordEncoder, keep: int = KEEP_WORDS):
         super().__init__({"": b""})
-        self.encoder = encoder
+        self.encoder, self.keep = encoder, keep
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= KEEP_WORDS:
+        if len(self) >= self.keep:
             self.old = dict(self)
             self.clear()
             self[""] = b""
@@ -62,18 +62,18 @@ class WordEncoder:
     whose case matters, and are encoded whole, as all texts are without by_word.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool, keep: int = KEEP_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
-        self.known = _Known(self)
+        self.known = _Known(self, keep)
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
 
     @classmethod
-    def load(cls, path: str, by_word: bool = True) -> WordEncoder:
-        if (path, by_word) not in _LOADED:
-            _LOADED[path, by_word] = cls(path, by_word)
-        return _LOADED[path, by_word]
+    def load(cls, path: str, by_word: bool = True, keep: int = KEEP_WORDS) -> WordEncoder:
+        if (path, by_word, keep) not in _LOADED:
+            _LOADED[path, by_word, keep] = cls(path, by_word, keep)
+        return _LOADED[path, by_word, keep]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)

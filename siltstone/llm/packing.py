@@ -14,15 +14,18 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siltstone.llm._cluster import bounded, sized, stash
-from siltstone.llm._tokens import WordEncoder, default_vocabulary
+from siltstone.llm._tokens import KEEP_WORDS, WordEncoder, default_vocabulary
 
 CAPACITY = 2048
 
 #: Ranks within one length are counted in shares of about so many pieces, so a length that a third of all pieces have isn't one task's work.
 SHARE_PIECES = 4096
 
+#: Words whose ids a worker keeps while ids are carried along: fewer, since pieces and their shuffle need the memory.
+PACK_WORDS = 150_000
 
-def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text", keep_words: int = KEEP_WORDS) -> DataFrame:
     """Token ids of each document with end_id after them, cut only where there are more than capacity.
 
     Returns id_col, piece (from 0), start (ids of the document before the piece), length, ids
@@ -35,7 +38,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder.load(path, by_word), int(end_id).to_bytes(4, "little")
+        encoder, end = WordEncoder.load(path, by_word, keep_words), int(end_id).to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -201,7 +204,7 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packed pieces of docs with their ids: cut_pieces, then assign_sequences."""
-    return assign_sequences(stash(cut_pieces(docs, capacity, vocabulary, id_col=id_col, text_col=text_col), "pieces"), capacity, (id_col, "piece"))
+    return assign_sequences(stash(cut_pieces(docs, capacity, vocabulary, id_col=id_col, text_col=text_col, keep_words=PACK_WORDS), "pieces"), capacity, (id_col, "piece"))
 
 
 def pack_digests(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
