@@ -528,4 +528,4 @@ def s14_prune_lines(spark, sf_dir):
     return jsonl.prune(lines, "k", 50.0).select("event_id")
 
 
-from siltstone.plans import behaviour_queries, delivery_queries, ledger_queries, nearest_queries, selection_queries, structure_queries, text_queries  # noqa: E402, F401  (they register their queries)
+from siltstone.plans import behaviour_queries, delivery_queries, ledger_queries, nearest_queries, retrieval_queries, selection_queries, structure_queries, text_queries  # noqa: E402, F401  (they register their queries)
