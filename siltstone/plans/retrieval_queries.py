@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import retrieval
 from siltstone.operators import files
 from siltstone.plans.registry import register, table
+from siltstone.streaming import deliveries
 
 QUESTION = "How are incoming request records converted and stored by the repository?"
 
@@ -116,3 +117,19 @@ def k4_ranked_files(spark, sf_dir):
     """Documents as files, each with a line of code, for one question."""
     found = files.rank_files(_files(spark, sf_dir), QUESTION, "doc_id", "path", "text")
     return found.select("doc_id", "path", *(F.round(c, 6).alias(c) for c in ("relevance", "marks", "score")))
+
+
+@register(f"""WITH RECURSIVE t AS (SELECT concat(user_id, '-', month(ts)) AS delivery, event_id, epoch(ts) AS sec, CASE WHEN event_id % 11 = 0 THEN -1.0 WHEN event_id % 3 = 0 THEN -2.0 WHEN event_id % 5 = 0 THEN greatest(0, coalesce(value, 0)) ELSE 0 END AS v FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY delivery ORDER BY event_id) AS n FROM t),
+r AS (SELECT DISTINCT delivery, 0::BIGINT AS event_id, 0::BIGINT AS n, 'pending' AS state, 0 AS attempts, false AS changed, 0::DOUBLE AS sec, 0::DOUBLE AS v FROM o
+  UNION ALL SELECT o.delivery, o.event_id, o.n, CASE WHEN state = 'pending' AND o.v = -1 THEN 'delivered' WHEN state = 'pending' AND o.v >= 0 AND attempts >= 3 THEN 'dead' WHEN state = 'dead' AND o.v = -2 THEN 'pending' ELSE state END,
+  CASE WHEN state = 'pending' AND o.v >= -1 THEN attempts + 1 WHEN state = 'dead' AND o.v = -2 THEN 0 ELSE attempts END, (state = 'pending' AND o.v >= -1) OR (state = 'dead' AND o.v = -2), o.sec, o.v FROM r JOIN o ON o.delivery = r.delivery AND o.n = r.n + 1)
+SELECT delivery, event_id, state, attempts, changed, CASE WHEN changed AND state = 'pending' THEN round(sec + CASE WHEN attempts > 0 THEN greatest(least(60, 5 * 2 ** (attempts - 1)) * ({deliveries.LEAST_SHARE} + {deliveries.CHANCE} * ('0x' || left(sha256(concat(delivery, ':', attempts)), 8))::BIGINT / 4294967295), least(60, v)) ELSE 0 END, 3) END AS next_attempt_at FROM r WHERE n > 0""")
+def t9_deliveries(spark, sf_dir):
+    """Events of each user and month as tries of one delivery, four at most."""
+    k = F.col("event_id")
+    kind = F.when(k % 11 == 0, "sent").when(k % 3 == 0, "revived").otherwise("failed")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    tries = table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("-"), F.month("ts").cast("string")).alias("delivery"), "event_id", at.alias("at"), kind.alias("kind"), F.when(k % 5 == 0, F.col("value")).alias("retry_after"))
+    found = deliveries.outcomes(tries, "delivery", "event_id", max_attempts=4, base_delay=5.0, max_delay=60.0)
+    return found.withColumn("next_attempt_at", F.round("next_attempt_at", 3))
