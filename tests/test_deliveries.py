@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -70,3 +71,29 @@ def test_nulls_other_kinds_and_empty(spark):
     got = deliveries.outcomes(spark.createDataFrame(rows, SCHEMA), "k", "i", 2).collect()
     assert sorted((r["i"], r["state"], r["attempts"]) for r in got) == [(5, "dead", 2), (5, "pending", 1)]
     assert deliveries.outcomes(spark.createDataFrame([], SCHEMA), "k", "i").count() == 0
+
+
+def test_stream_forgets_idle_keys(spark, tmp_path):
+    """A delivered key starts anew once it was idle."""
+    source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    put = lambda i: spark.createDataFrame([("a", i, 1.0, "sent", None)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    put(1)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    found = deliveries.outcomes(spark.readStream.schema(schema).parquet(source), "k", "i", idle="1")
+    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(processingTime="1 second").start()
+
+    def until(condition):
+        end = time.time() + 40
+        while not condition():
+            assert time.time() < end and query.exception() is None
+            time.sleep(0.5)
+
+    keys = lambda: query.lastProgress["stateOperators"][0]["numRowsTotal"] if query.lastProgress and query.lastProgress["stateOperators"] else -1
+    try:
+        until(lambda: any(p["numInputRows"] for p in query.recentProgress) and keys() == 0)
+        put(2)
+        until(lambda: sum(p["numInputRows"] for p in query.recentProgress) >= 2 and keys() == 0)
+    finally:
+        query.stop()
+    got = spark.read.parquet(out).select("i", "state", "attempts", "changed").collect()
+    assert sorted(map(tuple, got)) == [(1, "delivered", 1, True), (2, "delivered", 1, True)]
