@@ -176,7 +176,7 @@ e AS (SELECT *, CASE WHEN m > 0 THEN (a + 1.0) * (b + 1.0) / (m + 1.0) - 1 ELSE
 SELECT user_id, round(least(1, s / t), 6) AS coverage, round(greatest(0, t - s), 6)::DOUBLE AS gap, round(c, 6)::DOUBLE AS confidence, CASE WHEN least(1, s / t) * c >= 0.75 THEN 'low' WHEN least(1, s / t) * c >= 0.45 THEN 'medium' ELSE 'high' END AS risk FROM e
 """)
 def v42_capture_estimate(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("s"), (F.countDistinct("event_type") * 5).alias("a"), F.countDistinct(F.round(F.col("value") / 10).cast("long")).alias("b"), F.count_if(F.col("value") > 60).alias("m"))
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("s"), (F.countDistinct("event_type") * 5).alias("a"), F.countDistinct(F.rint(F.col("value") / 10).cast("long")).alias("b"), F.count_if(F.col("value") > 60).alias("m"))
     coverage, gap, confidence, risk = signals.capture_estimate(F.col("s"), F.col("a"), F.col("b"), F.least("m", "a", "b"))
     return g.select("user_id", F.round(coverage, 6).alias("coverage"), F.round(gap, 6).alias("gap"), F.round(confidence, 6).alias("confidence"), risk.alias("risk"))
 

@@ -171,3 +171,14 @@ def test_simhash_and_code_terms_of_known_texts(spark):
     assert one(claims.sentences(F.lit("A sentence of some length. Short one. x = 1;\nanother line that is long"))) == ["A sentence of some length.", "another line that is long"]
     assert one(signals.retry_delay(F.lit("e"), F.lit(3), 1.0, 60.0)) == pytest.approx(4 * (0.85 + 0.3 * int(hashlib.sha256(b"e:3").hexdigest()[:8], 16) / 0xFFFFFFFF))
     assert one(signals.micro_cost(F.lit(5), F.lit("0.5").cast("decimal(4,1)"))) == 3
+
+
+def test_capture_estimate_rounds_halves_as_its_sql(spark, tmp_path):
+    values = [(1, 0, 0, "view", 25.0), (2, 0, 0, "view", 20.0), (3, 0, 0, "click", 5.0), (4, 1, 1, "view", 25.0), (5, 1, 1, "click", 30.0)]
+    rows = spark.createDataFrame(values, "event_id long, ts long, user_id long, event_type string, value double")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = db.execute(f"SELECT user_id, coverage, gap, confidence, risk FROM ({queries.ORACLE_SQL['v42_capture_estimate']}) ORDER BY 1").fetchall()
+    got = queries.QUERIES["v42_capture_estimate"](spark, str(tmp_path)).orderBy("user_id").collect()
+    assert [tuple(r) for r in got] == want
