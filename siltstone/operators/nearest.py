@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +37,11 @@ TABLES = (
 #: A bucket of more rows is dealt out over several.
 BUCKET_ROWS = 4096
 
-#: So many queries at most are sent to all tasks at once.
-BLOCK_QUERIES = 4096
+#: So many queries meet so many rows of the index at once, each pair of such parts in a task of its own.
+BLOCK_QUERIES, PART_ROWS = 4096, 32768
+
+#: Tasks in which they meet, at most.
+MOST_TASKS = 4096
 
 #: Distances up to which two texts are near-identical, renamed and structural clones.
 CLONES = (("near_identical", 2), ("renamed", 8), ("structural", 16))
@@ -137,16 +144,180 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 7, most: int = 24, ta
     return _best(candidates(index, queries, tables, flips), k, most)
 
 
+def _dealt(rows: DataFrame, names: list[str], size: int, part: str) -> tuple[DataFrame, int]:
+    """(part, limbs, and an array for each name, in their order), parts of about size rows, and how many parts there are."""
+    known = rows.filter(F.col("words").isNotNull()).withColumn("_limbs", F.size("words"))
+    parts = max(1, -(-known.count() // size))
+    dealt = known.withColumn(part, F.pmod(F.xxhash64(names[0], "words"), F.lit(parts)).cast("int"))
+    arrays = dealt.groupBy(part, "_limbs").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_rows"))
+    column = lambda c: F.flatten("_rows.words") if c == "words" else F.col(f"_rows.{c}")
+    return cut(arrays.select(part, "_limbs", *(column(c).alias(f"{part}_{c}") for c in names))), parts
+
+
+def _met(index: DataFrame, own: list[str], queries: DataFrame, asked: list[str], visit: Callable, schema: str) -> DataFrame:
+    """What visit(part, block) gives, as rows of schema, for each part of the index and each block of queries of the same width.
+
+    Both are given as a dict of Arrow arrays by the names in own and asked, words as a NumPy
+    array (row, limb); visit gives a dict of Arrow arrays or lists. Parts and blocks are bounded
+    and meet in tasks of their own. A part is copied once for each block, so what is shuffled is
+    a few thousandths of the pairs that are looked at, and no pair is kept but what visit gives.
+    """
+    parts, n_parts = _dealt(index, own, PART_ROWS, "_part")
+    blocks, n_blocks = _dealt(queries, asked, BLOCK_QUERIES, "_block")
+    on, tasks = ["_part", "_block", "_limbs"], min(n_parts * n_blocks, MOST_TASKS)
+    many = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = parts.withColumn("_block", many(n_blocks)).repartition(tasks, *on)
+    right = blocks.withColumn("_part", many(n_parts)).repartition(tasks, *on)
+
+    def arrays(batch: pa.RecordBatch, row: int, side: str, names: list[str]) -> dict:
+        found = {c: batch.column(f"{side}_{c}")[row].values for c in names}
+        found["words"] = found["words"].to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, batch.column("_limbs")[row].as_py())
+        return found
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield pa.RecordBatch.from_pydict(visit(arrays(batch, row, "_part", own), arrays(batch, row, "_block", asked)))
+
+    kept = [f"_part_{c}" for c in own] + [f"_block_{c}" for c in asked]
+    return left.join(right, on).select("_limbs", *kept).mapInArrow(met, schema)
+
+
+def _distances(words: np.ndarray, query: np.ndarray) -> np.ndarray:
+    if words.shape[1] == 1:
+        return np.bitwise_count(words[:, 0] ^ query[0])
+    return np.bitwise_count(words ^ query).sum(axis=1, dtype=np.uint16)
+
+
+def _first(distance: np.ndarray, k: int, most: int) -> np.ndarray:
+    """Places of the k least distances of most at most, by distance and place."""
+    low, high = 0, most
+    while low < high:  # to the least bound that k distances keep
+        middle = (low + high) // 2
+        low, high = (low, middle) if np.count_nonzero(distance <= middle) >= k else (middle + 1, high)
+    places = np.flatnonzero(distance <= low)
+    return places[np.argsort(distance[places], kind="stable")[:k]]
+
+
+def _kind(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
+
+
+def _pairs(part: dict, block: dict, firsts: list[tuple[np.ndarray, np.ndarray]]) -> dict:
+    """(query, id, distance) of each query's places in the part and their distances."""
+    queries = np.repeat(np.arange(len(firsts)), [len(places) for places, _ in firsts])
+    places, distances = (np.concatenate([f[i] for f in firsts]) for i in (0, 1))
+    return {"query": block["query"].take(pa.array(queries)), "id": part["id"].take(pa.array(places)), "distance": pa.array(distances.astype(np.int32))}
+
+
 def nearest_exact(index: DataFrame, queries: DataFrame, k: int = 7, most: int = 24) -> DataFrame:
-    """As nearest, over all rows: a stated set of queries goes to every task, BLOCK_QUERIES at a time, and each task keeps its own k best first."""
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    found = None
-    for block in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block) if blocks > 1 else queries
-        pairs = index.select("id", "words").join(F.broadcast(own.select("query", F.col("words").alias("_q"))), hamming(F.col("words"), F.col("_q")) <= most)
-        part = _best(pairs.select("query", "id", hamming(F.col("words"), F.col("_q")).alias("distance")), k, most)
-        found = part if found is None else found.unionByName(part)
-    return found
+    """As nearest, over all rows: each part of the index gives each query its k best, of which the best are kept."""
+
+    def visit(part: dict, block: dict) -> dict:
+        firsts = []
+        for query in block["words"]:
+            distance = _distances(part["words"], query)
+            places = _first(distance, k, most)
+            firsts.append((places, distance[places]))
+        return _pairs(part, block, firsts)
+
+    pairs = _met(index, ["id", "words"], queries, ["query", "words"], visit, f"query {_kind(queries, 'query')}, id {_kind(index, 'id')}, distance int")
+    return _best(pairs, k, most)
+
+
+#: Sets of rows (a bit each) that a task keeps for keys that may come again.
+KEPT_SETS = 8192
+
+
+def _probes(words: np.ndarray, tables: tuple[tuple[int, ...], ...], flips: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives the packed set of the rows of words that share a bucket with a query, as in candidates."""
+    one = np.uint64(1)
+
+    def keys(rows: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+        found = np.zeros(len(rows), np.uint64)
+        for i, p in enumerate(places):
+            found |= (rows[:, p >> 6] >> np.uint64(p & 63) & one) << np.uint64(i)
+        return found
+
+    sorted_keys = []
+    for places in tables:
+        own = keys(words, places)
+        order = np.argsort(own, kind="stable")
+        sorted_keys.append((order, own[order]))
+    kept: dict[tuple[int, int], np.ndarray] = {}
+
+    def bucket(t: int, key: int) -> np.ndarray:
+        if (t, key) not in kept:
+            if len(kept) >= KEPT_SETS:
+                kept.clear()
+            order, own = sorted_keys[t]
+            rows = np.zeros(len(words), bool)
+            for turned in (key, *(key ^ 1 << i for i in range(flips))):
+                low, high = np.searchsorted(own, np.array([turned, turned + 1], np.uint64))
+                rows[order[low:high]] = True
+            kept[t, key] = np.packbits(rows)
+        return kept[t, key]
+
+    return lambda query: np.bitwise_or.reduce([bucket(t, int(keys(query[None], places)[0])) for t, places in enumerate(tables)])
+
+
+def probed(index: DataFrame, queries: DataFrame, k: int = 7, most: int = 24, tables: tuple[tuple[int, ...], ...] = TABLES, flips: int = 3) -> DataFrame:
+    """(query, n_candidates, best): how many candidates each query has, and the k nearest of them within most bits as (distance, id), ties by id.
+
+    The same as candidates and nearest give, but candidates are counted where they are found.
+    Queries without a candidate are left out.
+    """
+
+    def visit(part: dict, block: dict) -> dict:
+        share = _probes(part["words"], tables, flips)
+        counts, firsts = [], []
+        for query in block["words"]:
+            found = share(query)
+            counts.append(int(np.bitwise_count(found).sum()))
+            distance = np.where(np.unpackbits(found, count=len(part["words"])).view(bool), _distances(part["words"], query), most + 1)
+            places = _first(distance, k, most)
+            firsts.append((places, distance[places]))
+        pairs = _pairs(part, block, firsts)
+        best = pa.StructArray.from_arrays([pairs["distance"], pairs["id"]], ["distance", "id"])
+        ends = np.cumsum([0, *(len(places) for places, _ in firsts)], dtype=np.int32)
+        return {"query": block["query"], "n": pa.array(counts, pa.int64()), "best": pa.ListArray.from_arrays(pa.array(ends), best)}
+
+    schema = f"query {_kind(queries, 'query')}, n bigint, best array<struct<distance: int, id: {_kind(index, 'id')}>>"
+    found = _met(index, ["id", "words"], queries, ["query", "words"], visit, schema)
+    merged = found.groupBy("query").agg(F.sum("n").alias("n_candidates"), F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    return merged.filter("n_candidates > 0")
+
+
+def clone_links(fragments: DataFrame) -> DataFrame:
+    """(id, class_id, and for each kind of CLONES how many): for each fragment the least id of equal fingerprints and its clones of each kind among fragments of other sources.
+
+    fragments: (id, source, tokens, words); those of under 4 tokens are left out, null sources
+    are one. Every two fragments are compared, so no link is lost; the pairs are only counted.
+    """
+    usable = fragments.filter((F.col("tokens") >= 4) & F.col("words").isNotNull()).select("id", "source", "words")
+    bounds = [most for _, most in CLONES]
+
+    def visit(part: dict, block: dict) -> dict:
+        sources = pd.factorize(np.concatenate([side["source"].to_numpy(zero_copy_only=False).astype(object) for side in (part, block)]))[0]
+        own, asked = sources[: len(part["words"])], sources[len(part["words"]) :]
+        equal, counts = [], []
+        for query, source in zip(block["words"], asked, strict=True):
+            distance = _distances(part["words"], query)
+            near = np.flatnonzero(distance <= bounds[-1])
+            far = distance[near]
+            same = near[far == 0]
+            equal.append(same[0] if len(same) else None)
+            apart = far[own[near] != source]
+            within = [np.count_nonzero(apart <= most) for most in bounds]
+            counts.append(np.diff([0, *within]))
+        numbers = np.array(counts, np.int64).reshape(-1, len(CLONES))
+        return {"id": block["id"], "class_id": part["id"].take(pa.array(equal, pa.int64()))} | {name: pa.array(numbers[:, i]) for i, (name, _) in enumerate(CLONES)}
+
+    names = [name for name, _ in CLONES]
+    columns = ["id", "source", "words"]
+    schema = ", ".join([f"id {_kind(usable, 'id')}", f"class_id {_kind(usable, 'id')}", *(f"{name} bigint" for name in names)])
+    found = _met(usable, columns, usable, columns, visit, schema)
+    return found.groupBy("id").agg(F.min("class_id").alias("class_id"), *(F.sum(name).alias(name) for name in names))
 
 
 def routed(neighbours: DataFrame, history: DataFrame, current: Column, queries: DataFrame, least: int = 3) -> DataFrame:

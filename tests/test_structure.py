@@ -86,6 +86,43 @@ def test_a_hot_bucket_is_dealt_out(spark, monkeypatch):
     assert {r["id"] for r in nearest.candidates(index, queries, ((0, 1, 2, 3),), 0).collect()} == set(range(60))
 
 
+@pytest.mark.parametrize("bits", [64, 256])
+def test_parts_and_blocks_give_the_same_neighbours(spark, monkeypatch, bits):
+    monkeypatch.setattr(nearest, "PART_ROWS", 50)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(nearest, "KEPT_SETS", 10)
+    docs = spark.createDataFrame([(str(i), t) for i, t, *_ in texts_with_copies(200)], "id string, text string")
+    index = nearest.wide_fingerprints(docs, "id", "text", bits).cache()
+    prints = {r["id"]: [w & (1 << 64) - 1 for w in r["words"]] for r in index.collect()}
+    queries = index.filter("id % 3 = 0").withColumnRenamed("id", "query")
+    asked = [q for q in prints if int(q) % 3 == 0]
+    tables = nearest.sampled_tables(6, 5, bits)
+    pairs = nearest.candidates(index, queries, tables, 2).collect()
+    got = {r["query"]: (r["n_candidates"], [tuple(x) for x in r["best"]]) for r in nearest.probed(index, queries, 4, 24, tables, 2).collect()}
+    for q in asked:
+        own = sorted((r["distance"], r["id"]) for r in pairs if r["query"] == q)
+        assert got[q] == (len(own), [x for x in own if x[0] <= 24][:4])
+    exact = {(r["query"], r["rank"]): (r["distance"], r["id"]) for r in nearest.nearest_exact(index, queries, 4, 24).collect()}
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True))
+    assert exact == {(q, k + 1): x for q in asked for k, x in enumerate(sorted((far(q, i), i) for i in prints if far(q, i) <= 24)[:4])}
+
+
+def test_every_clone_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PART_ROWS", 50)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 20)
+    rows = [(i, t, None if s == "s3" else s, n if i != 9 else 3) for i, t, s, n in texts_with_copies(200)]
+    prints = {i: plain_fingerprint(t, 64)[0] & (1 << 64) - 1 for i, t, *_ in rows}
+    docs = spark.createDataFrame(rows, "id int, text string, source string, tokens int")
+    index = nearest.wide_fingerprints(docs, "id", "text")
+    got = {r["id"]: tuple(r)[1:] for r in nearest.clone_links(docs.select("id", "source", "tokens").join(index, "id")).collect()}
+    used = [(i, s) for i, _, s, n in rows if n >= 4]
+    assert set(got) == {i for i, _ in used}
+    for i, s in used:
+        apart = [(prints[i] ^ prints[j]).bit_count() for j, other in used if other != s]
+        first = min(j for j, _ in used if prints[j] == prints[i])
+        assert got[i] == (first, sum(d <= 2 for d in apart), sum(2 < d <= 8 for d in apart), sum(8 < d <= 16 for d in apart))
+
+
 def test_routing_by_neighbours(spark):
     near = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4)], "query int, id int")
     history = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "b", True), (4, "a", False)], "id int, model string, success boolean")
