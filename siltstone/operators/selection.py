@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.lineage import cut
+
 
 def fractional_bound(items: DataFrame, group: str, key: str, value: str, weight: str, budget: float) -> DataFrame:
     """The most value of each group's items within a budget if one item may be cut: an upper bound for whole items.
@@ -48,17 +50,36 @@ def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.orderBy(F.desc(F.abs("strength")), "a", "b").limit(k)
 
 
-def ngram_redundancy(docs: DataFrame, key: str, grams: Column) -> DataFrame:
-    """(key, redundancy): the share of a text's different n-grams that other texts have too; 0 without n-grams.
+#: A task counts about so many n-grams, which it holds in memory.
+TASK_GRAMS = 2_000_000
+
+
+def ngram_redundancy(docs: DataFrame, key: str, words: Column, sizes: tuple[int, ...]) -> DataFrame:
+    """(key, n, r2, r3, ...): the number of words, and for each size the share of a text's different n-grams that other texts have too; 0 without n-grams.
 
-    An n-gram of one text is counted for that text straight from its group, so n-grams are
-    shuffled once, combined before, and never joined back. grams are 64-bit hashes; key is unique.
+    Texts are split once; n-grams are 64-bit hashes of their words' hashes. All sizes are
+    shuffled together, to as many tasks as there are n-grams for, and an n-gram of one text is
+    counted for that text straight from its group and never joined back. key is unique.
     """
-    each = docs.select(key, F.array_distinct(grams).alias("_grams"))
-    owners = each.select(key, F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias(key))
-    alone = owners.filter("_n = 1").groupBy(key).agg(F.count(F.lit(1)).alias("_alone"))
-    total = F.size("_grams")
-    return each.select(key, total.alias("_total")).join(alone, key, "left").select(key, F.when(F.col("_total") > 0, 1 - F.coalesce("_alone", F.lit(0)) / F.col("_total")).otherwise(F.lit(0.0)).alias("redundancy"))
+    known = cut(docs.select(key, F.transform(words, lambda w: F.xxhash64(w)).alias("_w")))
+    count = F.size("_w")
+    longer, grams = {1: F.col("_w")}, {}
+    for size in range(2, max(sizes) + 1):
+        left = F.greatest(count - (size - 1), F.lit(0))
+        longer[size] = F.zip_with(F.slice(longer[size - 1], 1, left), F.slice("_w", size, left), lambda a, b: F.xxhash64(a, b))
+    for size in sizes:
+        grams[size] = F.array_distinct(longer[size]).alias(f"_g{size}")
+    each = known.select(key, *grams.values())
+    many = known.agg(F.sum(F.greatest(count, F.lit(0)))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-many * len(sizes) // TASK_GRAMS))
+    sized = lambda n: F.transform(f"_g{n}", lambda g: F.struct(F.lit(n).cast("byte").alias("_size"), g.alias("_gram")))
+    hashes = F.concat(*map(sized, sizes))
+    rows = each.select(key, F.explode(hashes).alias("_x")).select(key, "_x._size", "_x._gram").repartition(tasks, "_size", "_gram")
+    owners = rows.groupBy("_size", "_gram").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias(key)).filter("_n = 1")
+    alone = owners.groupBy(key).agg(*(F.count_if(F.col("_size") == n).alias(f"_a{n}") for n in sizes))
+    totals = known.select(key, count.alias("n"), *(F.size(g).alias(f"_t{n}") for n, g in grams.items()))
+    share = lambda n: F.when(F.col(f"_t{n}") > 0, 1 - F.coalesce(f"_a{n}", F.lit(0)) / F.col(f"_t{n}")).otherwise(F.lit(0.0))
+    return totals.join(alone, key, "left").select(key, "n", *(share(n).alias(f"r{n}") for n in sizes))
 
 
 def greedy_fill(items: DataFrame, group: str, key: str, value: str, weight: str, budget: int, skip_worthless: bool = False) -> DataFrame:

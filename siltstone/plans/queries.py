@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import signals
+from siltstone.functions import claims, signals
 from siltstone.functions import text as tx
 from siltstone.operators import blocks, graph, ledger, ranking, selection, statistics
 from siltstone.plans.registry import ORACLE_SQL, QUERIES
@@ -400,7 +400,8 @@ o AS (SELECT g, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(g) AS g FROM d
 SELECT doc_id, round(CASE WHEN len(g) > 0 THEN 1 - coalesce(n, 0) / len(g) ELSE 0 END, 6) AS redundancy FROM d LEFT JOIN a USING (doc_id)
 """)
 def u5_ngram_redundancy(spark, sf_dir):
-    return selection.ngram_redundancy(_t(spark, sf_dir, "documents"), "doc_id", signals.hashed(signals.ngrams(F.col("text"), 2))).withColumn("redundancy", F.round("redundancy", 6))
+    found = selection.ngram_redundancy(_t(spark, sf_dir, "documents"), "doc_id", claims.tokens(F.col("text")), (2,))
+    return found.select("doc_id", F.round("r2", 6).alias("redundancy"))
 
 
 @_register(f"""

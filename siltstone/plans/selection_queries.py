@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import claims, fingerprints, rewriting
 from siltstone.functions import text as tx
-from siltstone.functions.signals import hashed, ngrams
 from siltstone.operators import evaluation, ledger, lineage, recall, selection, statistics
 from siltstone.plans.registry import register, table
 from siltstone.streaming import rollups
@@ -108,9 +107,7 @@ x9 AS (SELECT w.doc_id, CASE WHEN len(w) < 2 THEN 0 ELSE (CASE WHEN len(w) < 20
 
 def _redundancy(docs: DataFrame) -> DataFrame:
     """(doc_id, redundancy): shares of 2-, 3- and 4-grams that other texts have, weighted by the text's length."""
-    out = docs.select("doc_id", F.size(claims.tokens(F.col("text"))).alias("n"))
-    for n in (2, 3, 4):
-        out = out.join(selection.ngram_redundancy(docs, "doc_id", hashed(ngrams(F.col("text"), n))).withColumnRenamed("redundancy", f"r{n}"), "doc_id")
+    out = selection.ngram_redundancy(docs, "doc_id", claims.tokens(F.col("text")), (2, 3, 4))
     n = F.col("n")
     third = F.when(n >= 3, F.col("r3")).otherwise(F.col("r2"))
     fourth = F.when(n >= 4, F.col("r4")).otherwise(third)

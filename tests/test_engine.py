@@ -182,3 +182,17 @@ def test_capture_estimate_rounds_halves_as_its_sql(spark, tmp_path):
     want = db.execute(f"SELECT user_id, coverage, gap, confidence, risk FROM ({queries.ORACLE_SQL['v42_capture_estimate']}) ORDER BY 1").fetchall()
     got = queries.QUERIES["v42_capture_estimate"](spark, str(tmp_path)).orderBy("user_id").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_shares_of_ngrams_of_several_sizes(spark, monkeypatch):
+    monkeypatch.setattr(selection, "TASK_GRAMS", 50)
+    r = random.Random(5)
+    texts = [*(" ".join(r.choices("abcde", k=r.randint(0, 9))) for _ in range(60)), None, "x y z x y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {x["k"]: tuple(x)[1:] for x in selection.ngram_redundancy(docs, "k", claims.tokens(F.col("t")), (2, 3, 4)).collect()}
+    words = [(t or "").split() for t in texts]
+    grams = {n: [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in words] for n in (2, 3, 4)}
+    for k, w in enumerate(words):
+        own = [g[k] for g in grams.values()]
+        rest = [set().union(*(x for j, x in enumerate(g) if j != k)) for g in grams.values()]
+        assert got[k] == (len(w), *(pytest.approx(len(a & b) / len(a)) if a else 0.0 for a, b in zip(own, rest, strict=True)))
