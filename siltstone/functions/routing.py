@@ -137,9 +137,11 @@ def calibrated_tokens(text: Column, source: Column) -> Column:
 def character_shares(text: Column) -> Column:
     """Shares of upper, lower, digit, sep, prog and ws characters (they may overlap) and other, 0 at least; zeros for null or empty texts."""
     size = F.length(text)
-    share = lambda kept: F.when(size > 0, F.length(F.regexp_replace(text, kept, "")) / size).otherwise(0.0)
-    names = {"upper": r"\P{Lu}", "lower": r"\P{Ll}", "digit": r"\P{Nd}", "sep": f"[^{re.escape(SEPARATORS)}]", "prog": f"[^{re.escape(PROGRESS)}]", "ws": r"(?U)\S"}
-    found = {k: share(p) for k, p in names.items()}
+    # whole runs go at once; marks are looked for among what isn't a letter, digit or space, as their long classes are slow to match
+    marks = F.regexp_replace(text, r"[A-Za-z0-9\s\p{L}]+", "")
+    share = lambda kept, among=text: F.when(size > 0, F.length(F.regexp_replace(among, kept, "")) / size).otherwise(0.0)
+    found = {"upper": share(r"\P{Lu}+"), "lower": share(r"\P{Ll}+"), "digit": share(r"\P{Nd}+")}
+    found |= {"sep": share(f"[^{re.escape(SEPARATORS)}]+", marks), "prog": share(f"[^{re.escape(PROGRESS)}]+", marks), "ws": share(r"(?U)\S+")}
     total = F.lit(0.0)
     for value in found.values():
         total = total + value

@@ -4,13 +4,14 @@ import hashlib
 import math
 import os
 import random
+import unicodedata
 
 import duckdb
 import pytest
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import claims, code, fingerprints, signals
+from siltstone.functions import claims, code, fingerprints, routing, signals
 from siltstone.functions import text as tx
 from siltstone.operators import blocks, graph, ledger, selection, statistics
 from siltstone.plans import queries
@@ -196,3 +197,16 @@ def test_shares_of_ngrams_of_several_sizes(spark, monkeypatch):
         own = [g[k] for g in grams.values()]
         rest = [set().union(*(x for j, x in enumerate(g) if j != k)) for g in grams.values()]
         assert got[k] == (len(w), *(pytest.approx(len(a & b) / len(a)) if a else 0.0 for a, b in zip(own, rest, strict=True)))
+
+
+def test_character_shares_of_marks_among_letters(spark):
+    r = random.Random(8)
+    alphabet = "aZéǅ中9٣ \n\t  ·•" + routing.SEPARATORS + routing.PROGRESS + "_!\U0001f600"
+    texts = ["".join(r.choices(alphabet, k=r.randint(1, 80))) for _ in range(60)]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", routing.character_shares(F.col("t")).alias("s")).collect()
+    kinds = {"upper": lambda c: unicodedata.category(c) == "Lu", "lower": lambda c: unicodedata.category(c) == "Ll", "digit": lambda c: unicodedata.category(c) == "Nd"}
+    kinds |= {"sep": lambda c: c in routing.SEPARATORS, "prog": lambda c: c in routing.PROGRESS, "ws": str.isspace}
+    for x in got:
+        for name, has in kinds.items():
+            assert x.s[name] == pytest.approx(sum(map(has, texts[x.k])) / len(texts[x.k])), (name, texts[x.k])
+    assert spark.range(1).select(routing.character_shares(F.lit(None).cast("string"))["sep"]).first()[0] == 0.0
