@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import code, symbols
-from siltstone.operators import budgets, evaluation, excerpts, lineage, resampling, segments
+from siltstone.operators import budgets, evaluation, excerpts, resampling, segments
 from siltstone.operators import symbols as links
 from siltstone.plans.registry import register, table
 from siltstone.streaming import detectors
@@ -232,14 +232,18 @@ def w10_shifts(spark, sf_dir):
     return found.filter("shift IS NOT NULL").select("l_suppkey", "at", F.round("hit_rate", 6).alias("hit_rate"), "shift")
 
 
+def _words(text):
+    return F.transform(F.regexp_extract_all(text, F.lit(r"[\pL\pN_]+"), F.lit(0)), F.lower)
+
+
+def _split():
+    return F.split(F.coalesce("text", F.lit("")), r"\. ")
+
+
 def _sentences(spark, sf_dir):
-    """Sentences of all documents, and the first words of a benchmark item as query for each document."""
-    words = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"[\pL\pN_]+"), F.lit(0)), F.lower)
-    docs = table(spark, sf_dir, "documents")
-    split = docs.select(F.col("doc_id").alias("group"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\. ")).alias("index", "text"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.slice(words(F.col("text")), 1, 8).alias("terms"))
-    asked = docs.select(F.col("doc_id").alias("group"), (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id").select("group", "terms")
-    return split.withColumn("terms", words(F.col("text"))), asked
+    """Sentences of all documents."""
+    split = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("group"), F.posexplode(_split()).alias("index", "text"))
+    return split.withColumn("terms", _words(F.col("text")))
 
 
 _SENTENCES_SQL = r"""s AS (SELECT doc_id, i, list_transform(regexp_extract_all(t, '[\pL\pN_]+'), lambda w: lower(w)) AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), '. ')) AS t, unnest(range(len(string_split(coalesce(text, ''), '. ')))) AS i FROM documents))"""
@@ -248,16 +252,15 @@ _SENTENCES_SQL = r"""s AS (SELECT doc_id, i, list_transform(regexp_extract_all(t
 @register(f"WITH {_SENTENCES_SQL}, d AS (SELECT doc_id, term, count(*) AS df FROM (SELECT DISTINCT doc_id, i, unnest(w) AS term FROM s) GROUP BY ALL) SELECT doc_id, count(*) AS n, round(greatest(1, avg(len(w))), 6) AS average, (SELECT coalesce(max(df), 0)::BIGINT FROM d WHERE d.doc_id = s.doc_id) AS most, (SELECT count(*) FROM d WHERE d.doc_id = s.doc_id) AS terms FROM s GROUP BY 1")
 def a17_sentence_statistics(spark, sf_dir):
     """Sentences of each document, their length, how many terms there are and how many sentences the commonest is in."""
-    sizes, terms = excerpts.sentence_statistics(_sentences(spark, sf_dir)[0])
+    sizes, terms = excerpts.sentence_statistics(_sentences(spark, sf_dir))
     known = terms.groupBy("group").agg(F.max("df").alias("most"), F.count(F.lit(1)).alias("terms"))
     return sizes.join(known, "group", "left").select(F.col("group").alias("doc_id"), "n", F.round("average", 6).alias("average"), F.coalesce("most", F.lit(0)).alias("most"), F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
 @register()
 def k6_excerpts(spark, sf_dir):
-    """K6: sentences of each document for a query of its own under 60 tokens; tested against plain code."""
-    sentences, asked = _sentences(spark, sf_dir)
-    scored = lineage.cut(excerpts.sentence_relevance(sentences, asked))
-    limits = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("group"), F.lit(60).alias("budget")).distinct()
-    taken = excerpts.excerpts(scored, limits)
-    return taken.join(scored, ["group", "index"]).select(F.col("group").alias("doc_id"), "index", F.round("relevance", 6).alias("relevance"), "text")
+    """K6: sentences of each document for a query of its own, the first words of a benchmark item, under 60 tokens; tested against plain code."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.slice(_words(F.col("text")), 1, 8).alias("terms"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"), F.lit(60).alias("budget")).join(items, "item_id", "left")
+    taken = excerpts.document_excerpts(docs, "doc_id", _split(), _words, "terms", "budget")
+    return taken.select("doc_id", "index", F.round("relevance", 6).alias("relevance"), "text")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 
@@ -72,3 +73,23 @@ def test_relevance_and_selection(spark, texts):
     few = excerpts.excerpts(scored, limits, candidates=2).groupBy("group").count().collect()
     assert max(r["count"] for r in few) <= 2
     assert excerpts.excerpts(scored.limit(0), limits).count() == 0
+
+
+@pytest.mark.parametrize("candidates", [512, 3])
+def test_documents_are_cut_within_their_rows(spark, texts, candidates):
+    from pyspark.sql import functions as F
+
+    groups, queries, budgets = texts
+    rows = [(g, [t for t, _ in own], queries.get(g), budgets[g]) for g, own in groups.items()]
+    docs = spark.createDataFrame(rows, "k int, s array<string>, q array<string>, b int")
+    words = lambda s: F.regexp_extract_all(s, F.lit(r"\w+"), F.lit(0))
+    got = excerpts.document_excerpts(docs, "k", F.col("s"), words, "q", "b", candidates)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    seen = [(g, i, t, re.findall(r"\w+", t)) for g, own in groups.items() for i, (t, _) in enumerate(own)]
+    sentences = spark.createDataFrame(seen, "group int, index int, text string, terms array<string>")
+    asked = spark.createDataFrame([(g, queries.get(g, [])) for g in groups], "group int, terms array<string>")
+    scored = excerpts.sentence_relevance(sentences, asked)
+    limits = spark.createDataFrame(list(budgets.items()), "group int, budget int")
+    taken = excerpts.excerpts(scored, limits, candidates).join(scored, ["group", "index"]).select("group", "index", "relevance", "text")
+    rounded = lambda found: sorted((r[0], r[1], round(r[2], 9), r[3]) for r in found.collect())
+    assert rounded(got) == rounded(taken)
