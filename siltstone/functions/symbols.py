@@ -142,12 +142,22 @@ def is_type_reference(lower_text: Column, name: Column) -> Column:
     return F.contains(lower_text, F.concat(F.lit(": "), low)) | F.contains(lower_text, F.concat(F.lit("-> "), low)) | F.contains(lower_text, F.concat(F.lit("<"), low)) | F.contains(lower_text, F.concat(F.lit("isinstance(_, "), low))
 
 
+def reference_kind(lower_text: Column, imported: Column, name: Column) -> Column:
+    """import, type or call: how a text uses a name, by its lower-case form and what it imports."""
+    return F.when(F.array_contains(imported, name), "import").when(is_type_reference(lower_text, name), "type").otherwise("call")
+
+
+def strength(kind: Column) -> Column:
+    """How surely a use of that kind means the symbol."""
+    return F.when(kind == "import", 1.0).when(kind == "type", 0.9).otherwise(0.7)
+
+
 def references(text: Column) -> Column:
     """Structs (symbol, kind, strength) of the different identifiers of a text: imports, types and other uses."""
     low, imported = F.lower(F.coalesce(text, F.lit(""))), imports(text)
 
     def one(name: Column) -> Column:
-        kind = F.when(F.array_contains(imported, name), "import").when(is_type_reference(low, name), "type").otherwise("call")
-        return F.struct(name.alias("symbol"), kind.alias("kind"), F.when(kind == "import", 1.0).when(kind == "type", 0.9).otherwise(0.7).alias("strength"))
+        kind = reference_kind(low, imported, name)
+        return F.struct(name.alias("symbol"), kind.alias("kind"), strength(kind).alias("strength"))
 
     return F.transform(F.array_distinct(identifiers(text)), one)

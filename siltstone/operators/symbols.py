@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import symbols
+from siltstone.functions.code import identifiers
 
 
 def symbol_table(fragments: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,11 +20,14 @@ def symbol_links(fragments: DataFrame, key: str, text: str) -> DataFrame:
 
     Imported symbols bind with strength 1, types with 0.9 and other uses with 0.7. What kind a
     use is shows in its own text, so texts aren't shuffled, only their symbols; a symbol has one
-    row on the defining side, so a common one is a skewed join that Spark splits.
+    row on the defining side, so a common one is a skewed join that Spark splits. What a text
+    imports is found once for all its symbols.
     """
-    used = fragments.select(F.col(key).alias("src"), F.explode(symbols.references(F.col(text))).alias("u")).select("src", "u.*")
+    known = fragments.select(F.col(key).alias("src"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"), symbols.imports(F.col(text)).alias("_imports"), F.array_distinct(identifiers(F.col(text))).alias("_names"))
+    named = known.select("src", "_low", "_imports", F.explode("_names").alias("symbol"))
+    used = named.select("src", "symbol", symbols.reference_kind(F.col("_low"), F.col("_imports"), F.col("symbol")).alias("kind"))
     found = used.join(symbol_table(fragments, key, text), "symbol").filter(F.col("src") != F.col("target"))
-    return found.select("src", F.col("target").alias("dst"), "symbol", "kind", "strength")
+    return found.select("src", F.col("target").alias("dst"), "symbol", "kind", symbols.strength(F.col("kind")).alias("strength"))
 
 
 def dead_symbols(fragments: DataFrame, key: str, source: str, text: str, most: int = 50) -> DataFrame:

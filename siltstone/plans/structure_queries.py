@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import code, symbols
 from siltstone.operators import budgets, evaluation, excerpts, resampling, segments
 from siltstone.operators import symbols as links
-from siltstone.plans.registry import register, table
+from siltstone.plans.registry import register, spread, table
 from siltstone.streaming import detectors
 
 #: Texts of code: @ is a part's own symbol, ~ that of another, # its number.
@@ -29,7 +29,8 @@ def _code(spark, sf_dir):
     k = F.col("p_partkey")
     template = F.element_at(F.array(*map(F.lit, TEMPLATES)), (k % len(TEMPLATES) + 1).cast("int"))
     name = lambda n: F.concat(F.lit("sym"), (n % 701).cast("string"))
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("source"), F.replace(F.replace(template, F.lit("@"), name(k)), F.lit("~"), name(k * 7)).alias("text"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
+    return parts.select(k.alias("id"), F.col("p_brand").alias("source"), F.replace(F.replace(template, F.lit("@"), name(k)), F.lit("~"), name(k * 7)).alias("text"))
 
 
 def _quoted(text: str) -> str:

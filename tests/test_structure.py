@@ -275,3 +275,20 @@ def test_surprisal_backs_off(spark):
     want = {i: -sum(chance(("\x02\x02" + t)[a : a + 3]) for a in range(len(t))) / len(t) if t else 0.0 for i, t in texts}
     got = {r["k"]: r["surprisal"] for r in evaluation.surprisal(spark.createDataFrame(texts, "k int, t string"), "k", "t", counts, 3).collect()}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_imports_are_found_once_for_all_symbols_of_a_text(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import symbols
+
+    texts = spark.range(4).select("id", F.concat(F.lit("def f"), "id", F.lit("(x)\nimport f"), F.col("id") + 1, F.lit("\nf0()")).alias("t"))
+    found = symbols.symbol_links(texts, "id", "t")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("neon::prelude") == 1
+    assert {(r.src, r.dst, r.symbol, r.kind) for r in found.collect()} == {(i, i + 1, f"f{i + 1}", "import") for i in range(3)} | {(i, 0, "f0", "call") for i in range(1, 4)}
+
+
+def test_parts_are_dealt_over_all_cores(spark):
+    from siltstone.plans import structure_queries
+
+    assert structure_queries._code(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
