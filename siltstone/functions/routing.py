@@ -118,19 +118,21 @@ def content_type(text: Column) -> Column:
 
 def language(source: Column) -> Column:
     """Language of a source by its extension; null if unknown."""
-    extension = F.regexp_extract(F.lower(source), r"(\.[a-z]+)$", 1)
-    found = F.lit(None).cast("string")
-    for end, name in LANGUAGES.items():
-        found = F.when(extension == end, name).otherwise(found)
-    return found
+    return F.try_element_at(_constants(LANGUAGES), _extension(source))
+
+
+def _extension(source: Column) -> Column:
+    return F.regexp_extract(F.lower(source), r"(\.[a-z]+)$", 1)
+
+
+def _constants(values: dict) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
 def calibrated_tokens(text: Column, source: Column) -> Column:
-    """Token estimate by the language's characters a token: 1 at least, 0 for null or empty texts."""
-    named = language(source)
-    rate = F.lit(OTHER_CHARS_PER_TOKEN)
-    for name, chars in CHARS_PER_TOKEN.items():
-        rate = F.when(named == name, chars).otherwise(rate)
+    """Token estimate by the language's characters a token: 1 at least, 0 for null or empty texts. The extension is looked up once."""
+    rates = {end: CHARS_PER_TOKEN[name] for end, name in LANGUAGES.items() if name in CHARS_PER_TOKEN}
+    rate = F.coalesce(F.try_element_at(_constants(rates), _extension(source)), F.lit(OTHER_CHARS_PER_TOKEN))
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / rate))).cast("long")
 
 

@@ -204,3 +204,12 @@ def test_blast_radius(spark):
     rows = spark.createDataFrame([(1, "uses Auth", None), (2, None, "AUTH.py"), (3, "none", None)], "id int, a string, b string")
     assert sorted(tuple(r) for r in blocks.blast_radius(rows, "id", ["a", "b"], ["src/auth.py", "lib/auth.rs"]).collect()) == [(1, 2, "low"), (2, 2, "low")]
     assert blocks.blast_radius(rows, "id", ["a"], ["zzz.py"]).count() == 0
+
+
+def test_an_extension_is_looked_up_once(spark):
+    from siltstone.functions import routing
+
+    rows = spark.range(3).select(F.concat(F.lit("a."), F.element_at(F.array(F.lit("Py"), F.lit("h"), F.lit("odd")), (F.col("id") + 1).cast("int"))).alias("s"), F.lit("x" * 36).alias("t"))
+    got = rows.select(routing.calibrated_tokens(F.col("t"), F.col("s")).alias("n"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+    assert [r.n for r in got.collect()] == [12, 10, 10]
