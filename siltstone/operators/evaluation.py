@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import task_type
+from siltstone.operators.lineage import cut
 from siltstone.operators.statistics import count_below
 
 
@@ -109,13 +110,19 @@ def release_gate(report: DataFrame, samples: int = 50, evidence: float = 0.40, s
 def gram_counts(texts: DataFrame, text: str, order: int = 3) -> DataFrame:
     """(size, context, char, n): how often a character follows each context of 0 to order - 1 characters; texts start with order - 1 start marks and end with an end mark.
 
-    Counted within each text first, so a text's repeated grams are shuffled once.
+    Only grams of order characters are cut from texts, each text once from start to end; those of
+    fewer characters are the ends of these and are summed over their counts.
     """
-    padded = F.concat(F.lit("\x02" * (order - 1)), F.col(text), F.lit("\x03"))
-    some = texts.filter(F.col(text) != "").select(padded.alias("_p"))
-    at = some.select("_p", F.explode(F.sequence(F.lit(order), F.char_length("_p"))).alias("_i"))
-    sizes = F.explode(F.transform(F.sequence(F.lit(1), F.lit(order)), lambda k: F.struct(k.alias("size"), F.substring("_p", F.col("_i") - k + 1, k - 1).alias("context"), F.substring("_p", F.col("_i"), F.lit(1)).alias("char"))))
-    return at.select(sizes.alias("g")).groupBy("g.size", "g.context", "g.char").agg(F.count(F.lit(1)).alias("n"))
+    some = texts.filter(F.col(text) != "").select(F.explode(_grams(F.col(text), order)).alias("_g"))
+    counted = some.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(order)), lambda k: F.struct(k.alias("size"), F.substring("_g", order - k + 1, k - 1).alias("context"), F.substring("_g", F.lit(order), F.lit(1)).alias("char")))
+    return counted.select(F.explode(ends).alias("g"), "n").groupBy("g.size", "g.context", "g.char").agg(F.sum("n").alias("n"))
+
+
+def _grams(text: Column, order: int, end: str = "\x03") -> Column:
+    """All runs of order characters of a text with order - 1 start marks and an end mark, in one pass: a place in a UTF-8 string is found by counting from its start."""
+    padded = F.concat(F.lit("\x02" * (order - 1)), text, F.lit(end))
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order}}}))."), F.lit(1))
 
 
 def budget_features(turns: DataFrame, group: str, order: str, text: str, entropy: Column, vagueness: Column | None = None) -> DataFrame:
@@ -141,14 +148,13 @@ def surprisal(texts: DataFrame, key: str, text: str, counts: DataFrame, order: i
 
     counts are those of gram_counts. A character unknown after the longest context is looked up
     after a shorter one, each step back at BACK_OFF of its chance. Texts' grams are counted
-    first, so each different gram is looked up once, and common contexts are one row. Empty and
-    null texts have 0. Rows that share a key are one text after another.
+    first, so each different gram is looked up once, and common contexts are one row; texts
+    and counts are read once. Empty and null texts have 0. Rows that share a key are one text after another.
     """
-    padded = F.concat(F.lit("\x02" * (order - 1)), F.col(text))
-    grams = F.transform(F.sequence(F.lit(order), F.char_length("_p")), lambda i: F.substring("_p", i - order + 1, F.lit(order)))
-    some = texts.filter(F.col(text) != "").select(key, padded.alias("_p")).select(key, F.explode(grams).alias("_g"))
-    counted = some.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_c"))
+    some = texts.filter(F.col(text) != "").select(key, F.explode(_grams(F.col(text), order, "")).alias("_g"))
+    counted = cut(some.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_c")))
     left = counted.select("_g").distinct()
+    counts = cut(counts)
     totals = counts.groupBy("size", "context").agg(F.sum("n").alias("_all"))
     chances = counts.join(totals, ["size", "context"]).select("size", F.concat("context", "char").alias("_seen"), F.log(F.col("n") / F.col("_all")).alias("_log"))
     known = left

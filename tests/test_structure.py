@@ -292,3 +292,22 @@ def test_parts_are_dealt_over_all_cores(spark):
     from siltstone.plans import structure_queries
 
     assert structure_queries._code(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_grams_of_a_text_are_cut_in_one_pass(spark):
+    import time
+    from collections import Counter
+
+    from siltstone.operators import evaluation
+
+    texts = ["a😀b\né", "x", "", None, "aa\x03a"]
+    want = Counter()
+    for t in filter(None, texts):
+        p = "\x02\x02" + t + "\x03"
+        want.update((k, p[i - k + 1 : i], p[i]) for i in range(2, len(p)) for k in (1, 2, 3))
+    got = evaluation.gram_counts(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 3)
+    assert {(r["size"], r.context, r.char): r.n for r in got.collect()} == want
+    long = spark.range(1).selectExpr("repeat('ab c', 150000) AS t")
+    started = time.monotonic()
+    assert evaluation.gram_counts(long, "t", 3).agg({"n": "sum"}).first()[0] == 3 * 600001
+    assert time.monotonic() - started < 20
