@@ -294,6 +294,23 @@ def test_parts_are_dealt_over_all_cores(spark):
     assert structure_queries._code(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
 
 
+def test_draws_by_table_are_those_by_number():
+    import numpy as np
+
+    from siltstone.operators import resampling
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        return x ^ x >> 31
+
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64)
+    got = resampling._drawn(keys, np.arange(200))
+    numbers = [[(mixed((int(k) + (r + 1) * 0x9E3779B97F4A7C15) & (1 << 64) - 1) >> 11) / (1 << 53) for r in range(200)] for k in keys]
+    assert (got == np.searchsorted(resampling._DRAWN, numbers, side="right")).all()
+    assert (resampling._TIMES == resampling._OPEN).sum() <= len(resampling._DRAWN)
+
+
 def test_grams_of_a_text_are_cut_in_one_pass(spark):
     import time
     from collections import Counter
