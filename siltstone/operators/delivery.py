@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,26 +51,38 @@ def _whole(raw: Column, *names: str) -> Column:
     return F.greatest(F.lit(0), F.coalesce(found.try_cast("double").cast("long"), F.lit(0)))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def usage_tokens(provider: Column, payload: Column) -> Column:
     """CATEGORIES of a usage payload in JSON of three vendors' shapes; zeros for missing or odd counts, null for other providers."""
-    nested = lambda k: F.when(F.get_json_object(payload, f"$.{k}").startswith("{"), F.get_json_object(payload, f"$.{k}"))
-    raw = F.coalesce(nested("usage"), nested("usage_metadata"), nested("usageMetadata"), payload)
+    nested = F.filter(F.array(*(F.get_json_object(payload, f"$.{k}") for k in ("usage", "usage_metadata", "usageMetadata"))), lambda u: u.startswith("{"))
+    raw = F.coalesce(F.get(nested, F.lit(0)), payload)
     who = F.lower(F.trim(provider))
 
-    def cached(total: Column, read: Column, output: Column) -> Column:
-        return F.struct(F.greatest(F.lit(0), total - read).alias(CATEGORIES[0]), F.least(read, total).alias(CATEGORIES[1]), F.lit(0).cast("long").alias(CATEGORIES[2]), output.alias(CATEGORIES[3]))
+    def cached(raw: Column, total: tuple, read: tuple, output: tuple) -> Column:
+        counts = F.struct(_whole(raw, *total).alias("total"), _whole(raw, *read).alias("read"), _whole(raw, *output).alias("output"))
+        return _bound(counts, lambda n: F.struct(F.greatest(F.lit(0), n["total"] - n["read"]).alias(CATEGORIES[0]), F.least(n["read"], n["total"]).alias(CATEGORIES[1]), F.lit(0).cast("long").alias(CATEGORIES[2]), n["output"].alias(CATEGORIES[3])))
 
-    first = cached(_whole(raw, "input_tokens", "prompt_tokens"), _whole(raw, "input_tokens_details.cached_tokens", "prompt_tokens_details.cached_tokens"), _whole(raw, "output_tokens", "completion_tokens"))
     names = ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens")
-    second = F.struct(*(_whole(raw, n).alias(c) for n, c in zip(names, CATEGORIES)))
-    third = cached(_whole(raw, "promptTokenCount", "prompt_token_count"), _whole(raw, "cachedContentTokenCount", "cached_content_token_count"), _whole(raw, "candidatesTokenCount", "candidates_token_count"))
-    return F.when(who.isin(*_OPENAI), first).when(who.isin(*_ANTHROPIC), second).when(who.isin(*_GOOGLE), third)
+
+    def parsed(raw: Column) -> Column:
+        first = cached(raw, ("input_tokens", "prompt_tokens"), ("input_tokens_details.cached_tokens", "prompt_tokens_details.cached_tokens"), ("output_tokens", "completion_tokens"))
+        second = F.struct(*(_whole(raw, n).alias(c) for n, c in zip(names, CATEGORIES)))
+        third = cached(raw, ("promptTokenCount", "prompt_token_count"), ("cachedContentTokenCount", "cached_content_token_count"), ("candidatesTokenCount", "candidates_token_count"))
+        return F.when(who.isin(*_OPENAI), first).when(who.isin(*_ANTHROPIC), second).when(who.isin(*_GOOGLE), third)
+
+    return _bound(raw, parsed)
 
 
 def stream_usage(transcripts: DataFrame, key: str, provider: str, text: str) -> DataFrame:
     """(key, CATEGORIES): the largest count of each category over a transcript's data lines; transcripts without usage are left out."""
     lines = transcripts.select(key, F.col(provider).alias("_p"), F.explode(F.split(text, r"\R|[\x1c-\x1e]")).alias("_line"))
     frame = lines.withColumn("_e", F.regexp_extract("_line", r"(?U)^\s*data:\s*(\{.*)$", 1)).filter("_e <> ''")
+    # a broken line is parsed once and not at each place, as each time costs an exception
+    frame = frame.filter(F.get_json_object("_e", "$").isNotNull())
     places = ("usage", "usage_metadata", "usageMetadata", "message.usage", "response.usage")
     found = frame.select(key, "_p", F.explode(F.array(*(F.get_json_object("_e", f"$.{p}") for p in places))).alias("_u")).filter(F.col("_u").startswith("{"))
     parsed = found.select(key, usage_tokens(F.col("_p"), F.col("_u")).alias("_t"))

@@ -213,3 +213,10 @@ def test_an_extension_is_looked_up_once(spark):
     got = rows.select(routing.calibrated_tokens(F.col("t"), F.col("s")).alias("n"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
     assert [r.n for r in got.collect()] == [12, 10, 10]
+
+
+def test_a_usage_payload_is_parsed_once(spark):
+    rows = spark.range(2).select(F.lit("openai").alias("p"), F.concat(F.lit('{"usage":{"input_tokens":'), "id", F.lit("}}")).alias("j"))
+    got = rows.select(delivery.usage_tokens(F.col("p"), F.col("j")).alias("u"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") <= 20
+    assert sorted(r.u[0] for r in got.collect()) == [0, 1]
