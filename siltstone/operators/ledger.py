@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.lineage import cut, in_tasks
+
 
 def savings_by_tier(events: DataFrame, adjustments: DataFrame, key: str, tier: str, gross: str, cost: str, debit: str) -> DataFrame:
     """Events, gross, base (gross minus the events' own cost), adjusted and net (base minus adjustments) sums by tier.
@@ -113,14 +115,19 @@ def temporal_links(traces: DataFrame, order: str, item: str) -> DataFrame:
     """(source, target, n): how often an item of one trace is followed by another item in the next trace.
 
     Traces are numbered by their rank among the different orders, which are ordered in buckets.
+    Links are dealt to as many tasks as there are links for, so a task's table of them stays small.
     """
+    from siltstone.operators.selection import TASK_PAIRS
     from siltstone.operators.statistics import count_below
 
-    once = traces.select(order, item).distinct()
-    keys = count_below(once.select(order).distinct().withColumn("_one", F.lit(1)), order, "_one").select(order, F.col("_below").alias("_k"))
-    rows = once.join(keys, order)
+    once = cut(traces.select(order, item).distinct())
+    sizes = cut(count_below(once.groupBy(order).agg(F.count(F.lit(1)).alias("_size")).withColumn("_one", F.lit(1)), order, "_one").select(order, F.col("_below").alias("_k"), "_size"))
+    rows = once.join(sizes.drop("_size"), order)
+    next_sizes = sizes.select((F.col("_k") - 1).alias("_k"), F.col("_size").alias("_next"))
+    many = sizes.join(next_sizes, "_k").agg(F.sum(F.col("_size") * F.col("_next"))).first()[0]
     later = rows.select((F.col("_k") - 1).alias("_k"), F.col(item).alias("target"))
-    return rows.select("_k", F.col(item).alias("source")).join(later, "_k").filter("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    links = rows.select("_k", F.col(item).alias("source")).join(later, "_k").filter("source <> target")
+    return in_tasks(links, many, TASK_PAIRS, "source", "target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def contradictions(beliefs: DataFrame, entity: str, gap: float = 0.4) -> DataFrame:

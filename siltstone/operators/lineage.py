@@ -39,3 +39,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read from the session's checkpoint folder from now on."""
     _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def in_tasks(rows: DataFrame, many: int | None, each: int, *keys: str) -> DataFrame:
+    """rows, many of them (null is none), dealt out by their keys to tasks of about each rows, one for each core at least."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-(many or 0) // each)), *keys)

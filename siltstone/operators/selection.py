@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.lineage import cut
+from siltstone.operators.lineage import cut, in_tasks
 
 
 def fractional_bound(items: DataFrame, group: str, key: str, value: str, weight: str, budget: float) -> DataFrame:
@@ -37,12 +37,21 @@ def claim_due(rows: DataFrame, due: Column, created: str, key: str, limit: int =
     return rows.filter(due).orderBy(created, key).limit(limit)
 
 
+#: A task counts about so many pairs, which it holds in memory.
+TASK_PAIRS = 1_000_000
+
+
 def chosen_together(traces: DataFrame, trace: str, item: str, reward: str, eta: float = 0.1) -> DataFrame:
-    """(a, b, strength, n) for items chosen in the same trace: eta times the rewards' sum. A trace's items are few, as one request chose them."""
-    once = traces.groupBy(trace, item).agg(F.max(reward).alias("_reward"))
+    """(a, b, strength, n) for items chosen in the same trace: eta times the rewards' sum. A trace's items are few, as one request chose them.
+
+    Pairs are dealt to as many tasks as there are pairs for, so a task's table of them stays
+    small however many traces there are.
+    """
+    once = cut(traces.groupBy(trace, item).agg(F.max(reward).alias("_reward")))
+    many = once.groupBy(trace).count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
     x = once.select(trace, F.col(item).alias("a"), "_reward")
     y = once.select(trace, F.col(item).alias("b"))
-    pairs = x.join(y, trace).filter("a < b")
+    pairs = in_tasks(x.join(y, trace).filter("a < b"), many, TASK_PAIRS, "a", "b")
     return pairs.groupBy("a", "b").agg((eta * F.sum("_reward")).alias("strength"), F.count(F.lit(1)).alias("n"))
 
 

@@ -328,3 +328,17 @@ def test_grams_of_a_text_are_cut_in_one_pass(spark):
     started = time.monotonic()
     assert evaluation.gram_counts(long, "t", 3).agg({"n": "sum"}).first()[0] == 3 * 600001
     assert time.monotonic() - started < 20
+
+
+def test_pairs_and_links_are_dealt_by_their_number(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import ledger, selection
+
+    monkeypatch.setattr(selection, "TASK_PAIRS", 10)
+    rows = spark.range(200).select((F.col("id") % 20).alias("t"), F.floor(F.col("id") / 20).alias("i"), F.lit(1.0).alias("r"))
+    pairs, links = selection.chosen_together(rows, "t", "i", "r"), ledger.temporal_links(rows, "t", "i")
+    assert (pairs.rdd.getNumPartitions(), links.rdd.getNumPartitions()) == (90, 190)
+    assert {(r.a, r.b, r.n) for r in pairs.collect()} == {(a, b, 20) for a in range(10) for b in range(a + 1, 10)}
+    assert {(r.source, r.target, r.n) for r in links.collect()} == {(a, b, 19) for a in range(10) for b in range(10) if a != b}
+    assert selection.chosen_together(rows.limit(0), "t", "i", "r").count() == ledger.temporal_links(rows.limit(0), "t", "i").count() == 0
