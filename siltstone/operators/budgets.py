@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,9 @@ SOFT = 0.05
 #: Most items of a group for which hard selection is exact.
 EXACT_ITEMS = 2000
 
+#: Most items of a group whose price is found and that is filled in one go.
+GROUP_ITEMS = 100_000
+
 
 def _sigmoid(x: Column) -> Column:
     x = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), x))
@@ -104,16 +110,70 @@ def fill(items: DataFrame, budgets: DataFrame, order: Column, then: Column | Non
         left = cut(left.join(now.select("group", "key"), ["group", "key"], "left_anti"))
 
 
-def soft_selection(items: DataFrame, budgets: DataFrame, temperature: float) -> tuple[DataFrame, DataFrame]:
-    """The selected items (group, key, score, tokens) and (group, price, dual_gap) of each group with items.
-
-    Items are taken by falling reduced cost, score - price * tokens, as far as they fit; all where
-    all fit in expectation, and by falling score per token where no price was found. dual_gap
-    is the smooth bound on the score at that price less the score that was taken, 0 at least. Items
-    without a score or tokens above 0 aren't candidates.
-    """
+def _settled(scores: np.ndarray, tokens: np.ndarray, keys: pa.Array, budget: float | None, tau: float) -> tuple[float, float, np.ndarray]:
+    """(price, dual_gap, places of the items taken) of one group, as dual_prices and fill find them."""
+    if budget is None:
+        return 0.0, 0.0, np.zeros(0, np.int64)
+
+    def expected(price: float) -> float:
+        x = np.clip((scores - price * tokens) / tau, -500.0, 500.0)
+        e = np.exp(-np.abs(x))
+        return float((np.where(x >= 0, 1.0, e) / (1 + e) * tokens).sum())
+
+    if expected(0.0) <= budget:
+        return 0.0, 0.0, np.arange(len(scores))
+    lo, hi = 0.0, (float(scores.max()) + 5 * tau) / max(max(float(tokens.min()), 1.0) * tau, 1e-10)
+    tries = (DOUBLINGS // DOUBLINGS_A_PASS + 1) * DOUBLINGS_A_PASS
+    found = next((hi * 2.0**i for i in range(tries) if expected(hi * 2.0**i) < budget), None)
+    price, order = 0.0, scores / tokens
+    if found is not None:
+        hi = found
+        for _ in range(STEPS):
+            middle = (lo + hi) * 0.5
+            lo, hi = (middle, hi) if expected(middle) > budget else (lo, middle)
+        price = (lo + hi) * 0.5
+        order = (scores - price * tokens) / tau
+    falling = -np.where(np.isnan(order), np.inf, order)
+    places = pc.sort_indices(pa.table({"o": falling, "key": keys}), sort_keys=[("o", "ascending"), ("key", "ascending")], null_placement="at_start").to_numpy()
+    left, least, taken = int(budget), tokens.min(), []
+    for place, n in zip(places.tolist(), tokens[places].tolist()):
+        if n <= left:
+            taken.append(place)
+            left -= n
+            if left < least:
+                break
+    taken = np.array(taken, np.int64)
+    if found is None:
+        return 0.0, 0.0, taken
+    bound = float((tau * np.where(order > 20, order, np.log1p(np.exp(np.minimum(order, 20.0))))).sum())
+    return price, max(0.0, bound + price * budget - float(scores[taken].sum())), taken
+
+
+def _in_groups(items: DataFrame, budgets: DataFrame, temperature: float) -> tuple[DataFrame, DataFrame]:
+    """soft_selection for groups of up to GROUP_ITEMS items: items are shuffled once, and each group is settled where it lies."""
+    tau, fields = max(temperature, 1e-4), items.schema
+    kinds = {f.name: f.dataType.simpleString() for f in fields}
+    own = ("key", "score", "tokens")
+
+    def settle(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        number = lambda c: rows[c].cast(pa.float64()).to_numpy()
+        with np.errstate(all="ignore"):
+            price, gap, taken = _settled(number("score"), number("tokens"), rows["key"].combine_chunks(), rows["_budget"][0].as_py(), tau)
+        lists = {f"_{c}": pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), rows[c].combine_chunks().take(pa.array(taken))) for c in own}
+        return pa.table({"group": rows["group"].combine_chunks()[:1], "price": [price], "dual_gap": [gap], **lists})
+
+    dealt = items.join(budgets.select("group", F.col("budget").cast("double").alias("_budget")), "group")
+    schema = ", ".join(["group " + kinds["group"], "price double", "dual_gap double", *(f"_{c} array<{kinds[c]}>" for c in own)])
+    settled = cut(dealt.groupBy("group").applyInArrow(settle, schema))
+    taken = settled.select("group", F.explode(F.arrays_zip(*(F.col(f"_{c}") for c in own))).alias("_x")).select("group", *(F.col(f"_x._{c}").alias(c) for c in own))
+    return taken, settled.select("group", "price", "dual_gap")
+
+
+def _in_passes(items: DataFrame, budgets: DataFrame, temperature: float) -> tuple[DataFrame, DataFrame]:
+    """soft_selection for groups of any size: passes over all items by dual_prices and fill."""
     tau = max(temperature, 1e-4)
-    items = cut(items.filter("score > 0 AND tokens > 0").select("group", "key", "score", "tokens"))
+    # items of one key are told apart
+    items = cut(items.withColumn("key", F.struct("key", F.monotonically_increasing_id().alias("_copy"))))
     prices = cut(dual_prices(items, budgets, temperature).join(budgets.select("group", "budget"), "group"))
     priced = items.join(prices, "group")
     all_fit = priced.filter("all_fit")
@@ -126,7 +186,28 @@ def soft_selection(items: DataFrame, budgets: DataFrame, temperature: float) ->
     gained = taken.groupBy("group").agg(F.sum("score").alias("_gained"))
     gap = F.col("_bound") + F.col("price") * F.col("budget") - F.coalesce("_gained", F.lit(0.0))
     found = prices.join(bound, "group").join(gained, "group", "left")
-    return taken, found.select("group", "price", F.when(F.col("all_fit") | F.col("failed"), 0.0).otherwise(F.greatest(F.lit(0.0), gap)).alias("dual_gap"))
+    return taken.withColumn("key", F.col("key.key")), found.select("group", "price", F.when(F.col("all_fit") | F.col("failed"), 0.0).otherwise(F.greatest(F.lit(0.0), gap)).alias("dual_gap"))
+
+
+def soft_selection(items: DataFrame, budgets: DataFrame, temperature: float) -> tuple[DataFrame, DataFrame]:
+    """The selected items (group, key, score, tokens) and (group, price, dual_gap) of each group with items.
+
+    Items are taken by falling reduced cost, score - price * tokens, as far as they fit; all where
+    all fit in expectation, and by falling score per token where no price was found. dual_gap
+    is the smooth bound on the score at that price less the score that was taken, 0 at least. Items
+    without a score or tokens above 0 aren't candidates. Groups of up to GROUP_ITEMS items are
+    settled after one shuffle; larger ones, spread over tasks, take a pass for every few halvings.
+    """
+    columns = ["group", "key", "score", "tokens"]
+    items = items.filter("score > 0 AND tokens > 0").select(*columns)
+    large = cut(items.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GROUP_ITEMS).select("group"))
+    if large.isEmpty():
+        return _in_groups(items, budgets, temperature)
+    # each has over GROUP_ITEMS items, so they are few
+    few = F.broadcast(large)
+    taken, found = _in_groups(items.join(few, "group", "left_anti").select(*columns), budgets, temperature)
+    more, wide = _in_passes(items.join(few, "group", "left_semi").select(*columns), budgets, temperature)
+    return taken.unionByName(more), found.unionByName(wide)
 
 
 def select(items: DataFrame, budgets: DataFrame, temperature: float) -> DataFrame:

@@ -99,3 +99,47 @@ def test_empty(spark, groups):
     assert budgets.select(items.limit(0), limits, 0.5).count() == 0
     taken, found = budgets.soft_selection(items.limit(0), limits, 0.5)
     assert taken.count() == 0 and found.count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 40])
+def test_large_groups_are_settled_alike(spark, groups, monkeypatch, most):
+    """Groups beyond the bound go by passes over all items, with the same results."""
+    items, limits = tables(spark, groups)
+    found = {}
+    for bound in (budgets.GROUP_ITEMS, most):
+        monkeypatch.setattr(budgets, "GROUP_ITEMS", bound)
+        taken, prices = budgets.soft_selection(items, limits, 0.5)
+        found[bound] = sorted(map(tuple, taken.collect())), {r["group"]: (r["price"], r["dual_gap"]) for r in prices.collect()}
+    (all_taken, all_prices), (some_taken, some_prices) = found.values()
+    assert all_taken == some_taken and all_prices.keys() == some_prices.keys()
+    assert all(all_prices[g] == pytest.approx(some_prices[g], abs=1e-7) for g in all_prices)
+
+
+def test_small_groups_write_one_row_each(spark, groups, monkeypatch):
+    """No table of items is written on the way, and passes don't grow with the halvings."""
+    rows = []
+    monkeypatch.setattr(budgets, "cut", lambda df: rows.append(df.count()) or df)
+    items, limits = tables(spark, groups)
+    taken, prices = budgets.soft_selection(items, limits, 0.5)
+    assert prices.count() == len(groups) and taken.count() > 0
+    assert len(rows) <= 2 and max(rows) <= len(groups)
+
+
+def test_soft_selection_of_odd_items(spark):
+    """Nulls, infinite scores, no budget, a null one, text keys and ties."""
+    rows = [(1, "b", 1.0, 10), (1, "a", 1.0, 10), (1, "c", None, 5), (2, "a", float("inf"), 5), (2, "b", 1.0, 5), (3, "a", 2.0, 4), (4, "a", 2.0, 4), (5, "a", 2.0, 4), (None, "a", 2.0, 4)]
+    items = spark.createDataFrame(rows, "group int, key string, score double, tokens int")
+    limits = spark.createDataFrame([(1, 10), (2, 5), (3, 0), (4, None), (6, 9)], "group int, budget long")
+    taken, found = budgets.soft_selection(items, limits, 0.1)
+    assert sorted((r["group"], r["key"]) for r in taken.collect()) == [(1, "a"), (2, "a")]
+    assert sorted(r["group"] for r in found.collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_items_of_one_key(spark, monkeypatch, most):
+    """Repeated keys are items of their own, each taken or not, and the budget holds."""
+    monkeypatch.setattr(budgets, "GROUP_ITEMS", most)
+    rows = [(1, i // 2, 1.0 + i / 100, 10) for i in range(20)]
+    items = spark.createDataFrame(rows, "group int, key int, score double, tokens int")
+    taken, _ = budgets.soft_selection(items, spark.createDataFrame([(1, 55)], "group int, budget long"), 0.1)
+    assert sorted(r["key"] for r in taken.collect()) == [7, 8, 8, 9, 9]
