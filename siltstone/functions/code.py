@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +67,20 @@ LAYERS = (
     ("test", ("test", "spec", "mock", "stub", "fixture")),
 )
 
+_CODE_STOPS = frozenset(CODE_STOP_WORDS)
+_KEYWORDS = frozenset(KEYWORDS)
+
 _RUN = r"[\p{L}\p{N}_]+"
 
+#: What lies between runs.
+BETWEEN = r"[^\p{L}\p{N}_]+"
+
 #: Where an identifier parts: underscores, before a capital after something else, before a capitalised word after capitals.
 _PARTS = r"_+|(?<=[^\p{Lu}_])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 
+#: What an identifier without it has one part for, itself; most words are so.
+_PARTED = r"^$|_|[^\p{Lu}]\p{Lu}|\p{Lu}\p{Lu}\p{Ll}"
+
 
 def stem(word: Column) -> Column:
     """The stem that a lower-case word shares with its plural, past and continuous forms, or null if it has none. Lengths are in bytes."""
@@ -76,7 +88,7 @@ def stem(word: Column) -> Column:
     less = lambda k: F.substring(word, F.lit(1), F.char_length(word) - k)
     return (
         F.when((n >= 6) & word.endswith("ies"), F.concat(less(3), F.lit("y")))
-        .when((n >= 6) & word.rlike("(s|x|z|ch|sh)es$"), less(2))
+        .when((n >= 6) & word.endswith("es") & (word.endswith("ses") | word.endswith("xes") | word.endswith("zes") | word.endswith("ches") | word.endswith("shes")), less(2))
         .when((n >= 7) & word.endswith("ing"), less(3))
         .when((n >= 6) & word.endswith("ed"), less(2))
         .when((n >= 5) & word.endswith("s") & ~word.endswith("ss") & ~word.endswith("us"), less(1))
@@ -86,7 +98,8 @@ def stem(word: Column) -> Column:
 
 def split_identifier(name: Column) -> Column:
     """Lower-case parts of an identifier in camel or snake case; runs of capitals stay together."""
-    return F.transform(F.filter(F.split(name, _PARTS), lambda p: p != ""), F.lower)
+    parts = F.transform(F.filter(F.split(name, _PARTS), lambda p: p != ""), F.lower)
+    return F.when(~name.rlike(_PARTED), F.array(F.lower(name))).otherwise(parts)
 
 
 def with_stem(word: Column) -> Column:
@@ -106,6 +119,63 @@ def code_tokens(text: Column) -> Column:
     return F.flatten(F.transform(words, terms))
 
 
+def stem_of(word: str) -> str | None:
+    """stem() of a string."""
+    if not word.endswith(("s", "g", "d", "e")):
+        return None
+    n = len(word.encode())
+    if n >= 6 and word.endswith("ies"):
+        return word[:-3] + "y"
+    if n >= 6 and word.endswith(("ses", "xes", "zes", "ches", "shes")):
+        return word[:-2]
+    if n >= 7 and word.endswith("ing"):
+        return word[:-3]
+    if n >= 6 and word.endswith("ed"):
+        return word[:-2]
+    if n >= 5 and word.endswith("s") and not word.endswith(("ss", "us")):
+        return word[:-1]
+    return word[:-1] if n >= 6 and word.endswith("e") and not word.endswith("ee") else None
+
+
+def is_identifier(run: str) -> bool:
+    """Whether identifiers() have a run."""
+    return len(run.encode()) > 1 and run not in _KEYWORDS
+
+
+class _Kinds(dict):
+    """Kinds of characters by which identifiers part, found out once for each: U for capitals, l for small letters."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = kind = "_" if code == ord("_") else {"Lu": "U", "Ll": "l"}.get(unicodedata.category(chr(code)), "o")
+        return kind
+
+
+_KINDS = _Kinds()
+_CUTS = re.compile(r"_+|(?<=[^U_])(?=U)|(?<=U)(?=Ul)")
+
+
+def parts_of(name: str) -> list[str]:
+    """split_identifier() of a string."""
+    kinds, out, at = name.translate(_KINDS), [], 0
+    if "_" not in kinds and "U" not in kinds:
+        return [name.lower()] if name else []
+    for cut in _CUTS.finditer(kinds):
+        out.append(name[at : cut.start()].lower())
+        at = cut.end()
+    return [p for p in (*out, name[at:].lower()) if p]
+
+
+def tokens_of(word: str, parts: list[str]) -> list[str]:
+    """code_tokens() of one run, whose parts_of() are given."""
+    low = word.lower()
+    if len(word.encode()) < 2 or low in _CODE_STOPS:
+        return []
+    all_of = [low]
+    if len(parts) > 1:
+        all_of += [p for p in parts if len(p.encode()) >= 2 and p not in _CODE_STOPS]
+    return [t for w in all_of for t in (stem_of(w), w) if t is not None]
+
+
 def path_tokens(path: Column) -> Column:
     """Lower-case parts of a path with two bytes or more but common folders and endings."""
     parts = F.filter(F.split(F.coalesce(path, F.lit("")), r"[/\\.\-_]"), lambda p: F.octet_length(p) >= 2)

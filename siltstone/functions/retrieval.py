@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltstone.functions.code import stem
+from siltstone.functions.code import stem, stem_of
 
 # Words that no term is.
 STOP_WORDS = tuple(
@@ -48,6 +49,18 @@ PERSIST = r"\b(?:insert|upsert|save|persist|write|store|create|update|delete|fin
 SCHEMA_TYPE = r"\b[A-Z][A-Za-z0-9_]*(?:InsertType|UpdateType|RecordType|Record|Schema|Model|Entity|Dto|DTO|Table|Row|Document)\b"
 SQL_TEXT = r"(?is)\b(?:INSERT\s+INTO|UPDATE\s+\w+\s+SET|SELECT\b.{0,200}?\bFROM|CREATE\s+TABLE)\b"
 
+# What a text that one of these patterns fits has at any rate; FOLDED has no case, and each of UNFOLDED is a letter of it in some other case.
+NEEDED = {
+    MAPPER: ("To", "From", "Into"),
+    PERSIST: ("insert", "upsert", "save", "persist", "write", "store", "create", "update", "delete", "find", "fetch", "load", "select"),
+    SCHEMA_TYPE: ("InsertType", "UpdateType", "Record", "Schema", "Model", "Entity", "Dto", "DTO", "Table", "Row", "Document"),
+}
+FOLDED = {
+    TRANSFORM: ("serialize", "marshal", "encode", "decode", "parse", "format", "normalize", "adapt"),
+    SQL_TEXT: ("insert", "update", "select", "create"),
+}
+UNFOLDED = "\u017f\u212a\u0131\u0130"
+
 # Weights of the marks, of the terms' score and of terms that only the expansion has.
 WEIGHTS = {
     "bm25f": 1.0, "test_penalty": -0.45, "generated_penalty": -0.55, "source_dir": 0.08, "logic_dir_intent": 0.22, "ui_penalty_for_logic": -0.30,
@@ -60,6 +73,9 @@ _CAMEL = r"[0-9]+|[A-Z][a-z]+|[A-Z]+(?![a-z])|[a-z]+"
 #: Characters of scripts without spaces: Kana, Han, Hangul.
 UNSPACED = r"[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿ｦ-ﾝ]"
 
+#: Characters that no term has.
+BETWEEN = f"[^A-Za-z0-9_{UNSPACED[1:-1]}]+"
+
 
 def _lits(words) -> Column:
     return F.array(*map(F.lit, words)).cast("array<string>")
@@ -88,6 +104,24 @@ def tokens(text: Column) -> Column:
     return F.concat(F.filter(names, lambda p: ~p.isin(*STOP_WORDS)), unspaced)
 
 
+_NAMES, _PIECES, _PAIRED, _PLAIN = re.compile(_IDENTIFIER), re.compile(_CAMEL), re.compile(UNSPACED + "+"), re.compile("[A-Za-z][a-z]+")
+_STOPS = frozenset(STOP_WORDS)
+
+
+def tokens_of(run: str) -> list[str]:
+    """tokens() of a run of characters that lies between matches of BETWEEN."""
+    out = []
+    for name in _NAMES.findall(run):
+        pieces = [low := name.lower()]
+        # most names have one part
+        if not _PLAIN.fullmatch(name):
+            pieces = dict.fromkeys([low, *(p for p in low.split("_") if len(p) > 2), *(c.lower() for c in _PIECES.findall(name) if len(c) > 2)])
+        out += [t for t in dict.fromkeys([*pieces, *map(stem_of, pieces)]) if t is not None and t not in _STOPS]
+    if not run.isascii():
+        out += [u[i : i + 2] for u in _PAIRED.findall(run) for i in range(max(1, len(u) - 1))]
+    return out
+
+
 def _term(word: Column) -> Column:
     """Whether a word is long enough for a query's term."""
     return (F.char_length(word) > 2) | word.rlike(f"^{UNSPACED}+$")
@@ -138,7 +172,16 @@ def marks(path: Column, text: Column, known: list[str], base: list[str], terms:
     low = F.replace(F.lower(F.coalesce(path, F.lit(""))), F.lit("\\"), F.lit("/"))
     text = F.coalesce(text, F.lit(""))
     about = lambda *names: any(n in known for n in names)
-    has = lambda pattern: text.rlike(f"(?U){pattern}")
+    any_of = lambda c, words: reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
+
+    def has(pattern: str) -> Column:
+        """Whether a pattern fits somewhere; texts that lack what it needs aren't looked through for it."""
+        if pattern in NEEDED:
+            near = any_of(text, NEEDED[pattern])
+        else:
+            near = once(F.lower(text), lambda low: any_of(low, FOLDED[pattern])) | any_of(text, UNFOLDED)
+        return near & text.rlike(f"(?U){pattern}")
+
     found = [("source_dir", low.rlike(SOURCE_PATH))]
     if not set(base) & set(TEST_WORDS):
         found += [("test_penalty", low.rlike(TEST_PATH)), ("generated_penalty", low.rlike(GENERATED_PATH))]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import retrieval
+from siltstone.functions.vocabulary import counted
 from siltstone.operators.lineage import cut
 
 # How counts saturate, how lengths of texts and of paths count, weight of a path.
@@ -20,20 +21,26 @@ def rank_files(files: DataFrame, query: str, key: str, path: str, text: str, wei
     weights replace those of retrieval.WEIGHTS; other names are passed over. Null paths and texts are
     empty; rows with equal keys are rows like all. Without a term relevance is 0 throughout.
 
-    Texts are split once: what is kept of each is two lengths, two counts for each term of the
+    Texts are split once, and each different word is looked at once: what is kept of each is two lengths, two counts for each term of the
     query (its own and four subjects' words at most) and the marks. Two rows of totals are broadcast.
     """
     held = retrieval.WEIGHTS | {k: v for k, v in (weights or {}).items() if k in retrieval.WEIGHTS}
     spread = min(1.0, max(0.0, held["rank_expansion_weight"]))
     asked = files.sparkSession.range(1).select(F.lit(query).alias("q")).select(retrieval.query_tokens(F.col("q")).alias("base"), retrieval.expand_query(F.col("q")).alias("terms")).withColumn("known", retrieval.subjects(F.col("base"))).first()
     base, terms, known = asked["base"], asked["terms"], asked["known"]
-    wanted = F.array(*map(F.lit, terms)).cast("array<string>")
+    place = {t: i for i, t in enumerate(terms)}
+
+    def describe(run: str) -> tuple[int, tuple[int, ...]]:
+        """How many terms a run of a text has, and the places of the query's terms among them."""
+        own = retrieval.tokens_of(run)
+        return len(own), tuple(place[t] for t in own if t in place)
 
-    split = files.select(F.col(key).alias("key"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    split = split.select("key", "path", retrieval.marks(F.col("path"), F.col("text"), known, base, terms, held).alias("marks"), retrieval.tokens(F.col("text")).alias("w"), retrieval.tokens(F.replace("path", F.lit("\\"), F.lit("/"))).alias("p"))
     few = lambda c: F.filter(c, lambda x: x.isin(*terms)) if terms else F.slice(c, 1, 0)
     counts = lambda c: retrieval.once(few(c), lambda own: F.transform(wanted, lambda t: F.size(F.filter(own, lambda x: x == t))))
-    slim = cut(split.select("key", "path", "marks", F.size("w").alias("wl"), F.size("p").alias("pl"), counts("w").alias("wf"), counts("p").alias("pf")))
+    wanted = F.array(*map(F.lit, terms)).cast("array<string>")
+    split = files.select(F.col(key).alias("key"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    split = split.select("key", "path", retrieval.marks(F.col("path"), F.col("text"), known, base, terms, held).alias("marks"), counted(F.col("text"), retrieval.BETWEEN, describe, len(terms)).alias("w"), retrieval.tokens(F.replace("path", F.lit("\\"), F.lit("/"))).alias("p"))
+    slim = cut(split.select("key", "path", "marks", F.col("w.n").alias("wl"), F.size("p").alias("pl"), F.col("w.hits").alias("wf"), counts("p").alias("pf")))
 
     df = F.array(*(F.count_if((F.col("wf")[i] > 0) | (F.col("pf")[i] > 0)) for i in range(len(terms)))).cast("array<bigint>")
     average = lambda c: F.greatest(F.lit(1.0), F.coalesce(F.avg(c), F.lit(1.0)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import code
 from siltstone.functions.text import words
+from siltstone.functions.vocabulary import counted
 from siltstone.operators.lineage import cut
 
 K1, B = 1.2, 0.75
@@ -82,7 +83,8 @@ def code_bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str
 
     Terms are those of code_tokens(); base is BM25 of them, times 1 + 1.5 * coverage^3 in the
     score, where coverage is the share of terms found in text, path or identifiers. Texts are
-    split once: what is kept of each is its length and a few numbers for each term of the query.
+    split once, and each different word is looked at once: what is kept of a text is its length
+    and a few numbers for each term of the query.
     """
     spark = docs.sparkSession
     asked = spark.range(1).select(code.code_tokens(F.lit(query)).alias("t")).select("t", F.transform("t", code.split_identifier).alias("p")).first()
@@ -90,16 +92,29 @@ def code_bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str
         zero = (F.lit(0.0).alias(c) for c in ("coverage", "base", "path_boost", "identifier_boost", "score"))
         return docs.select(F.col(id_col).alias("id"), *zero)
     path = F.coalesce(F.lower(F.col(path_col)), F.lit(""))
-    split = docs.select(F.col(id_col).alias("id"), path.alias("path"), code.path_tokens(F.col(path_col)).alias("in_path"), code.file_stem(F.col(path_col)).alias("name"), code.code_tokens(F.col(text_col)).alias("w"), F.array_distinct(F.flatten(F.transform(F.array_distinct(code.identifiers(F.col(text_col))), code.split_identifier))).alias("parts"))
-    count = lambda t: F.size(F.filter("w", lambda x: x == t))
+    terms = asked["t"]
+    # a term's places: of itself, and after these of the terms that have it as a part
+    own_places = {t: tuple(i for i, x in enumerate(terms) if x == t) for t in terms}
+    part_places = {p: [len(terms) + i for i, ps in enumerate(asked["p"]) if p in ps] for ps in asked["p"] for p in ps}
+
+    def describe(run: str) -> tuple[int, tuple[int, ...]]:
+        """How many terms a run of a text has, and the places of the query's terms that it has or, as an identifier, has a part of."""
+        parts = code.parts_of(run)
+        own = code.tokens_of(run, parts)
+        hits = [i for t in own if t in own_places for i in own_places[t]]
+        if any(p in part_places for p in parts) and code.is_identifier(run):
+            hits += {i for p in parts for i in part_places.get(p, ())}
+        return len(own), tuple(hits)
+
+    found = docs.select(F.col(id_col).alias("id"), path.alias("path"), code.path_tokens(F.col(path_col)).alias("in_path"), code.file_stem(F.col(path_col)).alias("name"), counted(F.col(text_col), code.BETWEEN, describe, 2 * len(terms)).alias("c"))
     hits = [
         F.struct(
-            count(t).alias("tf"), (F.contains("path", F.lit(t)) | F.array_contains("in_path", t)).alias("path"), F.array_contains("in_path", t).alias("token"),
-            (F.col("name") == t).alias("name"), F.arrays_overlap("parts", F.array(*map(F.lit, p))).alias("part"),
+            F.col("c.hits")[i].alias("tf"), (F.contains("path", F.lit(t)) | F.array_contains("in_path", t)).alias("path"), F.array_contains("in_path", t).alias("token"),
+            (F.col("name") == t).alias("name"), (F.col("c.hits")[len(terms) + i] > 0).alias("part"),
         )
-        for t, p in zip(asked["t"], asked["p"])
+        for i, t in enumerate(terms)
     ]
-    slim = cut(split.select("id", F.size("w").alias("dl"), F.array(*hits).alias("hits")))
+    slim = cut(found.select("id", F.col("c.n").alias("dl"), F.array(*hits).alias("hits")))
     df = F.array(*(F.count_if((F.col("hits")[i]["tf"] > 0) | F.col("hits")[i]["token"]) for i in range(len(hits))))
     stats = slim.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(1.0)), F.lit(1.0)).alias("avgdl"), df.alias("df"))
     both = slim.crossJoin(F.broadcast(stats)).withColumn("x", F.zip_with("hits", "df", lambda h, d: F.struct(h.alias("h"), F.log((F.col("n") - d + 0.5) / (d + 0.5) + 1).alias("idf"))))

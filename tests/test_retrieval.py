@@ -136,3 +136,37 @@ def test_rank_edges(spark):
         assert got[1] == 1.0 and (got[2] > 0) == (more > 0) and got[3] == 0
     long = frame(spark, [(1, "a.py", "charged " * 200_000), (2, "b.py", "charged")])
     assert files.rank_files(long, "charged", "id", "path", "text").count() == 2
+
+
+def test_words_are_described_as_columns_do(spark):
+    """What is found out of a word by itself is what the columns find in texts; each different word is looked at once."""
+    from siltstone.functions import code, vocabulary
+
+    pick = random.Random(3)
+    pieces = ["HTML", "Parser", "get", "_", "__", "2", "ies", "boxes", "ing", "used", "glass", "tree", "Ärger", "ß", "É", "ciónes", "Σας", "東", "東京都", "ｶﾅ", "def", "the", "x", "9", "İ", " ", "-", "\n"]
+    rows = [(i, "".join(pick.choices(pieces, k=pick.randint(0, 12)))) for i in range(400)] + [(400, None), (401, ""), (402, "used " * 5000)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    found = df.select("id", "text", code.code_tokens(F.col("text")).alias("c"), retrieval.tokens(F.col("text")).alias("r")).collect()
+    by_code = lambda text: [t for run in re.split(r"[^\w]+", text or "") for t in code.tokens_of(run, code.parts_of(run))]
+    by_files = lambda text: [t for run in re.split(retrieval.BETWEEN, text or "") for t in retrieval.tokens_of(run)]
+    for row in found:
+        assert row["c"] == by_code(row["text"]), row
+        assert sorted(row["r"]) == sorted(by_files(row["text"])), row
+    hits = lambda w: (len(w), (0, 0) if w == "used" else (1,) if w == "get" else ())
+    for row in df.select("id", "text", vocabulary.counted(F.col("text"), " ", hits, 2).alias("c")).collect():
+        words = (row["text"] or "").split(" ")
+        assert row["c"]["n"] == sum(map(len, words)) and row["c"]["hits"] == [2 * words.count("used"), words.count("get")]
+    assert df.limit(0).select(vocabulary.counted(F.col("text"), " ", hits, 2)).count() == 0
+
+
+def test_ranking_looks_at_a_repeated_word_once(spark, monkeypatch):
+    """The plans of both rankings hold no array of a text's terms."""
+    from siltstone.operators import ranking
+
+    plans = []
+    for module in (ranking, files):
+        monkeypatch.setattr(module, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    docs = spark.createDataFrame([(1, "a.py", "charged orders")], "id int, path string, text string")
+    ranking.code_bm25(docs, "charged", "id", "text", "path")
+    files.rank_files(docs, "charged", "id", "path", "text")
+    assert len(plans) == 2 and not any("regexp_extract_all(text" in p or "regexp_extract_all(coalesce(text" in p for p in plans)
