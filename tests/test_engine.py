@@ -210,3 +210,18 @@ def test_character_shares_of_marks_among_letters(spark):
         for name, has in kinds.items():
             assert x.s[name] == pytest.approx(sum(map(has, texts[x.k])) / len(texts[x.k])), (name, texts[x.k])
     assert spark.range(1).select(routing.character_shares(F.lit(None).cast("string"))["sep"]).first()[0] == 0.0
+
+
+def test_entropies_hold_no_text_twice():
+    """Bytes are counted in the batch itself: a batch of 64 MB needs little beside it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["aé" * 10_000, None, ""] + ["ab" * 32_768] * 1000)
+    tracemalloc.start()
+    found = tx.byte_entropies.func(texts).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[1] == found[2] == {"shannon": 0.0, "renyi2": 0.0} and found[3] == {"shannon": 1.0, "renyi2": 1.0}
+    assert found[0]["shannon"] == pytest.approx(1.584963, abs=1e-6) and peak < 8 << 20
