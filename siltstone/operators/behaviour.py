@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.lineage import in_tasks
 from siltstone.operators.statistics import trimmed_mean
 
 
@@ -107,15 +108,29 @@ def merged_weights(contributions: DataFrame, archetype: str, keys: list[str]) ->
     return means.select("cell.archetype", "cell.key", F.round("trimmed_mean", 6).alias("weight"))
 
 
+#: A task takes about so many selected fragments, with what they refer to, in its tables.
+TASK_SELECTED = 250_000
+
+
 def sufficiency(selected: DataFrame, references: DataFrame, definitions: DataFrame, selection: str, fragment: str, symbol: str) -> DataFrame:
     """(selection, referenced, satisfied, sufficiency): the share of known symbols that a selection refers to and also defines; 1 without any.
 
     selected: (selection, fragment); references: (fragment, symbol); definitions: (symbol, fragment), one fragment for each symbol.
+    A symbol is counted beside its home, so what a selection has needn't be joined to what it
+    refers to. Rows are dealt to as many tasks as there are selected fragments for.
     """
-    chosen = selected.select(selection, fragment).distinct()
+    many = selected.count()
     known = definitions.select(symbol, F.col(fragment).alias("_home")).filter("_home IS NOT NULL")
-    wanted = references.select(fragment, symbol).distinct().join(known, symbol)
-    used = chosen.join(wanted, fragment).groupBy(selection, symbol).agg(F.first("_home").alias("_home"))
-    has = chosen.select(selection, F.col(fragment).alias("_home"), F.lit(1).alias("_has"))
-    counts = used.join(has, [selection, "_home"], "left").groupBy(selection).agg(F.count(F.lit(1)).alias("referenced"), F.count("_has").alias("satisfied"))
-    return chosen.select(selection).distinct().join(counts, selection, "left").select(selection, F.coalesce("referenced", F.lit(0)).cast("long").alias("referenced"), F.coalesce("satisfied", F.lit(0)).cast("long").alias("satisfied"), F.coalesce(F.col("satisfied") / F.col("referenced"), F.lit(1.0)).alias("sufficiency"))
+    wanted = references.select(fragment, symbol).join(known, symbol).groupBy(fragment).agg(F.collect_set(F.struct(F.col("_home").alias("_f"), F.col(symbol).alias("_s"))).alias("_wanted"))
+    chosen = in_tasks(selected.select(selection, fragment), many, TASK_SELECTED, fragment).join(wanted, fragment, "left")
+    own = F.array(F.struct(F.col(fragment).alias("_f"), F.lit(None).cast(known.schema[symbol].dataType).alias("_s")))
+    each = F.when(F.col("_wanted").isNull(), own).otherwise(F.concat(own, "_wanted"))
+    dealt = in_tasks(chosen, many, TASK_SELECTED, selection).select(selection, F.explode(each).alias("_x"))
+    # rows of one selection lie together, so none of these shuffles
+    once = dealt.select(selection, "_x._f", "_x._s").distinct()
+    homes = once.groupBy(selection, "_f").agg(F.count("_s").alias("_n"), F.max(F.col("_s").isNull()).alias("_has"))
+    counts = homes.groupBy(selection).agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col("_has"), F.col("_n")).otherwise(0)).alias("_m"))
+    # a null selection refers to nothing
+    number = lambda c: F.when(F.col(selection).isNull(), 0).otherwise(F.col(c)).cast("long")
+    found = counts.select(selection, number("_n").alias("referenced"), number("_m").alias("satisfied"))
+    return found.withColumn("sufficiency", F.when(F.col("referenced") > 0, F.col("satisfied") / F.col("referenced")).otherwise(F.lit(1.0)))

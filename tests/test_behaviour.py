@@ -131,3 +131,21 @@ def test_invalidated_and_removed(spark):
     fragments = spark.createDataFrame([("f", "s"), ("g", "t"), ("h", None)], "k string, src string")
     kept, derived, missing = graph.without_sources(fragments, spark.createDataFrame([("s",), ("s",), ("u",), (None,)], "src string"), "src", "k", {"d": spark.createDataFrame([("f", 1), ("g", 2), (None, 3)], "k string, n int")})
     assert sorted(r.k for r in kept.collect()) == ["g", "h"] and sorted(r.n for r in derived["d"].collect()) == [2, 3] and [r.src for r in missing.collect()] == ["u"]
+
+
+def test_sufficiency_is_dealt_by_its_rows(spark, monkeypatch):
+    """Tasks grow in number with the selected fragments; nulls and repeated rows are as before."""
+    rows = [(s, f) for s in range(40) for f in range(s % 7)] * 2 + [(None, 1), (50, None), (51, 99)]
+    refs = [(f, f"w{(f * 3 + k) % 9}") for f in range(7) for k in range(3)] + [(1, None), (99, "unknown"), (2, "w0"), (2, "w0")]
+    homes = {f"w{k}": k for k in range(9) if k != 4}
+    frames = spark.createDataFrame(rows, "s int, f int"), spark.createDataFrame(refs, "f int, sym string"), spark.createDataFrame([*homes.items(), ("w4", None)], "sym string, f int")
+    monkeypatch.setattr(behaviour, "TASK_SELECTED", 10, raising=False)
+    out = behaviour.sufficiency(*frames, "s", "f", "sym")
+    want = []
+    for s in {s for s, _ in rows}:
+        own = {f for x, f in rows if x == s}
+        used = {w for f, w in refs if f in own and w in homes} if s is not None else set()
+        n, m = len(used), sum(homes[w] in own for w in used)
+        want.append((s, n, m, m / n if n else 1.0))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert "hashpartitioning(s#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and f", {-(-len(rows) // 10)})" in plan
