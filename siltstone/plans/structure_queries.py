@@ -241,21 +241,14 @@ def _split():
     return F.split(F.coalesce("text", F.lit("")), r"\. ")
 
 
-def _sentences(spark, sf_dir):
-    """Sentences of all documents."""
-    split = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("group"), F.posexplode(_split()).alias("index", "text"))
-    return split.withColumn("terms", _words(F.col("text")))
-
-
 _SENTENCES_SQL = r"""s AS (SELECT doc_id, i, list_transform(regexp_extract_all(t, '[\pL\pN_]+'), lambda w: lower(w)) AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), '. ')) AS t, unnest(range(len(string_split(coalesce(text, ''), '. ')))) AS i FROM documents))"""
 
 
 @register(f"WITH {_SENTENCES_SQL}, d AS (SELECT doc_id, term, count(*) AS df FROM (SELECT DISTINCT doc_id, i, unnest(w) AS term FROM s) GROUP BY ALL) SELECT doc_id, count(*) AS n, round(greatest(1, avg(len(w))), 6) AS average, (SELECT coalesce(max(df), 0)::BIGINT FROM d WHERE d.doc_id = s.doc_id) AS most, (SELECT count(*) FROM d WHERE d.doc_id = s.doc_id) AS terms FROM s GROUP BY 1")
 def a17_sentence_statistics(spark, sf_dir):
     """Sentences of each document, their length, how many terms there are and how many sentences the commonest is in."""
-    sizes, terms = excerpts.sentence_statistics(_sentences(spark, sf_dir))
-    known = terms.groupBy("group").agg(F.max("df").alias("most"), F.count(F.lit(1)).alias("terms"))
-    return sizes.join(known, "group", "left").select(F.col("group").alias("doc_id"), "n", F.round("average", 6).alias("average"), F.coalesce("most", F.lit(0)).alias("most"), F.coalesce("terms", F.lit(0)).alias("terms"))
+    found = excerpts.document_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", F.octet_length("text"), _split(), _words)
+    return found.select("doc_id", "n", F.round("average", 6).alias("average"), "most", "terms")
 
 
 @register()

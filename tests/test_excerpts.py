@@ -93,3 +93,30 @@ def test_documents_are_cut_within_their_rows(spark, texts, candidates):
     taken = excerpts.excerpts(scored, limits, candidates).join(scored, ["group", "index"]).select("group", "index", "relevance", "text")
     rounded = lambda found: sorted((r[0], r[1], round(r[2], 9), r[3]) for r in found.collect())
     assert rounded(got) == rounded(taken)
+
+
+def test_sentences_are_counted_within_a_row_and_shared_ids_together(spark, tmp_path):
+    """No word leaves its row unless ids are shared or null or texts long; then all is still as in SQL."""
+    import duckdb
+
+    from siltstone.plans import queries
+
+    r = random.Random(7)
+    words = ["Ä", "the", "The", "x_1", "9", "-", "naïve", "", "a.b"]
+    texts = [None, "", ". ", "...  . . a", *(". ".join(" ".join(r.choices(words, k=r.randint(0, 9))) for _ in range(r.choice([1, 3, 40]))) for _ in range(60))]
+    docs = [(i, t) for i, t in enumerate(texts)]
+
+    def found(rows, name):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(folder / "documents.parquet"))
+        got = queries.QUERIES["a17_sentence_statistics"](spark, str(folder))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+        want = con.execute(queries.ORACLE_SQL["a17_sentence_statistics"]).fetchall()
+        in_order = lambda rows: sorted(map(tuple, rows), key=str)
+        assert in_order(got.collect()) == in_order(want)
+        return got
+
+    assert "Exchange" not in found(docs, "own")._jdf.queryExecution().executedPlan().toString()
+    found([*docs, (5, "the x. the y"), (5, "the x. z. the"), (6, None), (None, "a b"), (None, "c. a")], "shared")
+    found([*docs, (1000, ". ".join(["so long a text"] * 400_000))], "long")
