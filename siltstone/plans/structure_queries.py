@@ -247,7 +247,7 @@ _SENTENCES_SQL = r"""s AS (SELECT doc_id, i, list_transform(regexp_extract_all(t
 @register(f"WITH {_SENTENCES_SQL}, d AS (SELECT doc_id, term, count(*) AS df FROM (SELECT DISTINCT doc_id, i, unnest(w) AS term FROM s) GROUP BY ALL) SELECT doc_id, count(*) AS n, round(greatest(1, avg(len(w))), 6) AS average, (SELECT coalesce(max(df), 0)::BIGINT FROM d WHERE d.doc_id = s.doc_id) AS most, (SELECT count(*) FROM d WHERE d.doc_id = s.doc_id) AS terms FROM s GROUP BY 1")
 def a17_sentence_statistics(spark, sf_dir):
     """Sentences of each document, their length, how many terms there are and how many sentences the commonest is in."""
-    found = excerpts.document_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", F.octet_length("text"), _split(), _words)
+    found = excerpts.document_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", ". ", r"[^\pL\pN_]+")
     return found.select("doc_id", "n", F.round("average", 6).alias("average"), "most", "terms")
 
 

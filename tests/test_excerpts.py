@@ -120,3 +120,16 @@ def test_sentences_are_counted_within_a_row_and_shared_ids_together(spark, tmp_p
     assert "Exchange" not in found(docs, "own")._jdf.queryExecution().executedPlan().toString()
     found([*docs, (5, "the x. the y"), (5, "the x. z. the"), (6, None), (None, "a b"), (None, "c. a")], "shared")
     found([*docs, (1000, ". ".join(["so long a text"] * 400_000))], "long")
+
+
+def test_slices_of_texts_are_counted_alike(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.functions import sentences
+
+    texts = [(0, "The end. the END. x"), (1, None), (2, "İI Σσς. ß ß"), (3, "é" * 5), (4, " ")]
+    docs = spark.createDataFrame(texts, "k int, t string").coalesce(1)
+    each = [{r["k"]: tuple(r["x"]) for r in docs.select("k", sentences.counted(F.col("t"), ". ", r"[^\pL\pN_]+", n).alias("x")).collect()} for n in (1, 20, 1 << 20)]
+    assert each[0] == each[1] == each[2]
+    assert each[0][0] == (3, 5, 2, 3) and each[0][1] == (1, 0, 0, 0) and each[0][3] == (1, 1, 1, 1) and each[0][4] == (1, 0, 0, 0)
+    assert docs.filter("k > 9").select(sentences.counted(F.col("t"), ". ", "x")).count() == 0
