@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import fingerprints
 from siltstone.operators.lineage import cut
 
 WIDTHS = (64, 256, 1024)
@@ -57,20 +59,16 @@ def wide_fingerprints(docs: DataFrame, key: str, text: str, bits: int = 64, doma
     Each word of the text (ASCII white space between, A-Z in lower case) gives 64 bits of each
     limb: the first 8 bytes, little-endian, of the MD5 of the domain, the word and the limb's
     number in 8 bytes. A bit is set if over half of the text's words, with repeats, have it. Null
-    and blank texts have no bit. Two counts of 32 bits share one sum, so a limb takes 32 sums.
+    and blank texts have no bit. Two counts of 32 bits share one sum, so a limb takes 32 sums; a
+    text's own are found in its row, and rows of one key are put together.
     """
     if bits not in WIDTHS:
         raise ValueError(f"bits must be one of {WIDTHS}")
-    low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(low, "[ \t\n\f\r]+"), lambda w: w != "")
-    limbs = F.explode(F.sequence(F.lit(0), F.lit(bits // 64 - 1)))
-    rows = docs.select(key, F.explode_outer(words).alias("_w")).select(key, "_w", limbs.alias("_limb"))
-    number = F.concat(F.lpad(F.hex("_limb"), 2, "0"), F.lit("00" * 7))
-    digest = F.md5(F.concat(F.encode(F.lit(domain), "UTF-8"), F.encode(F.col("_w"), "UTF-8"), F.unhex(number)))
-    value = F.conv(F.substring(digest, 1, 16), 16, -10).cast("long")
-    both = (1 << 32) | 1
-    sums = [F.coalesce(F.sum(F.shiftrightunsigned("_v", i).bitwiseAND(F.lit(both))), F.lit(0)).alias(f"_s{i}") for i in range(32)]
-    counted = rows.withColumn("_v", value).groupBy(key, "_limb").agg(F.count("_w").alias("_n"), *sums)
+    limbs = bits // 64
+    held = docs.select(key, fingerprints.word_sums(F.col(text), domain, limbs).alias("_x"))
+    each = held.select(key, "_x.n", F.posexplode("_x.sums").alias("_limb", "_sums"))
+    sums = [F.sum(F.get("_sums", F.lit(i))).alias(f"_s{i}") for i in range(32)]
+    counted = each.groupBy(key, "_limb").agg(F.sum("n").alias("_n"), *sums)
     word = F.lit(0).cast("long")
     for place in range(64):  # of the digest read from its first byte on
         n = F.col(f"_s{place}").bitwiseAND(F.lit(0xFFFFFFFF)) if place < 32 else F.shiftrightunsigned(f"_s{place - 32}", 32)
@@ -288,36 +286,96 @@ def probed(index: DataFrame, queries: DataFrame, k: int = 7, most: int = 24, tab
     return merged.filter("n_candidates > 0")
 
 
+#: Different fragments of a part of which every two meet, tiles of parts for each core at least, and how many rows of both sides of a tile are compared at once.
+TILE_ROWS, CORE_TILES, ROWS_AT_ONCE, COLUMNS_AT_ONCE = 131_072, 4, 16, 16_384
+
+
+def _clones(x: dict, y: dict, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each bound and row of x how many fragments of y within it have another source, and the same for y among x.
+
+    Both are as arrays by name, rows of a source side by side; n is how many fragments a row stands for.
+    """
+    source = pa.concat_arrays([x["source"], y["source"]]).dictionary_encode(null_encoding="encode")
+    codes = source.indices.to_numpy()
+    own, other = codes[: len(x["n"])], codes[len(x["n"]) :]
+    begin, end = (np.zeros(len(source.dictionary), np.int64) for _ in range(2))
+    found, first, many = np.unique(other, return_index=True, return_counts=True)
+    begin[found], end[found] = first, first + many
+    limbs = x["words"].shape[1]
+    rows, columns = (np.zeros((len(bounds), len(side["n"])), np.int64) for side in (x, y))
+    shape, kind = (ROWS_AT_ONCE, COLUMNS_AT_ONCE), np.uint8 if limbs == 1 else np.uint16
+    differ, far, near, one = np.empty(shape, np.uint64), np.empty(shape, kind), np.empty(shape, bool), np.empty(shape, np.uint8)
+    for low in range(0, len(y["n"]), COLUMNS_AT_ONCE):
+        some = slice(low, min(low + COLUMNS_AT_ONCE, len(y["n"])))
+        width = some.stop - low
+        copies = np.flatnonzero(y["n"][some] > 1)
+        more = (y["n"][some][copies] - 1).astype(float)
+        planes = [np.ascontiguousarray(y["words"][some, limb]) for limb in range(limbs)]
+        for top in range(0, len(x["n"]), ROWS_AT_ONCE):
+            these = slice(top, min(top + ROWS_AT_ONCE, len(x["n"])))
+            height = these.stop - top
+            z, d, m = differ[:height, :width], far[:height, :width], near[:height, :width]
+            for limb, plane in enumerate(planes):
+                np.bitwise_xor(x["words"][these, limb, None], plane, out=z)
+                if limb == 0:
+                    np.bitwise_count(z, out=d, casting="unsafe")
+                else:
+                    d += np.bitwise_count(z, out=one[:height, :width])
+            for i, code in enumerate(own[these]):
+                if begin[code] < some.stop and end[code] > low:
+                    d[i, max(begin[code] - low, 0) : end[code] - low] = np.iinfo(kind).max
+            repeated = np.flatnonzero(x["n"][these] > 1)
+            for k, most in enumerate(bounds):
+                np.less_equal(d, most, out=m)
+                rows[k, these] += [np.count_nonzero(r) for r in m]
+                columns[k, some] += np.add.reduce(m.view(np.uint8), axis=0, dtype=np.uint8)
+                if len(copies):
+                    rows[k, these] += (m[:, copies].astype(float) @ more).astype(np.int64)
+                if len(repeated):
+                    columns[k, some] += ((x["n"][these][repeated] - 1).astype(float) @ m[repeated].astype(float)).astype(np.int64)
+    return rows, columns
+
+
 def clone_links(fragments: DataFrame) -> DataFrame:
     """(id, class_id, and for each kind of CLONES how many): for each fragment the least id of equal fingerprints and its clones of each kind among fragments of other sources.
 
     fragments: (id, source, tokens, words); those of under 4 tokens are left out, null sources
     are one. Every two fragments are compared, so no link is lost; the pairs are only counted.
+    Fragments of one source and fingerprint are one row. Rows are dealt to parts, and every two
+    parts are a tile, which a task looks at once for both. So a part is copied once for each part,
+    and a task holds two of them at any size.
     """
     usable = fragments.filter((F.col("tokens") >= 4) & F.col("words").isNotNull()).select("id", "source", "words")
-    bounds = [most for _, most in CLONES]
+    once = cut(usable.groupBy("words", "source").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("_least"))).withColumn("_row", F.monotonically_increasing_id())
+    least = math.isqrt(2 * CORE_TILES * fragments.sparkSession.sparkContext.defaultParallelism)
+    parts, many = _dealt(once, ["source", "_row", "n", "words"], max(1, min(TILE_ROWS, once.count() // least)), "_part")
+    upper, lower = F.greatest("_part", "_other"), F.least("_part", "_other")
+    tiles = parts.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).withColumn("_tile", (upper * (upper + 1) / 2).cast("int") + lower)
+    names, bounds = [name for name, _ in CLONES], [most for _, most in CLONES]
 
-    def visit(part: dict, block: dict) -> dict:
-        sources = pd.factorize(np.concatenate([side["source"].to_numpy(zero_copy_only=False).astype(object) for side in (part, block)]))[0]
-        own, asked = sources[: len(part["words"])], sources[len(part["words"]) :]
-        equal, counts = [], []
-        for query, source in zip(block["words"], asked, strict=True):
-            distance = _distances(part["words"], query)
-            near = np.flatnonzero(distance <= bounds[-1])
-            far = distance[near]
-            same = near[far == 0]
-            equal.append(same[0] if len(same) else None)
-            apart = far[own[near] != source]
-            within = [np.count_nonzero(apart <= most) for most in bounds]
-            counts.append(np.diff([0, *within]))
-        numbers = np.array(counts, np.int64).reshape(-1, len(CLONES))
-        return {"id": block["id"], "class_id": part["id"].take(pa.array(equal, pa.int64()))} | {name: pa.array(numbers[:, i]) for i, (name, _) in enumerate(CLONES)}
-
-    names = [name for name, _ in CLONES]
-    columns = ["id", "source", "words"]
-    schema = ", ".join([f"id {_kind(usable, 'id')}", f"class_id {_kind(usable, 'id')}", *(f"{name} bigint" for name in names)])
-    found = _met(usable, columns, usable, columns, visit, schema)
-    return found.groupBy("id").agg(F.min("class_id").alias("class_id"), *(F.sum(name).alias(name) for name in names))
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple[int, int], dict] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                side = {c: batch.column(f"_part_{c}")[row].values for c in ("source", "_row", "n", "words")}
+                tile, limbs, part, other = (batch.column(c)[row].as_py() for c in ("_tile", "_limbs", "_part", "_other"))
+                side["n"], side["words"] = side["n"].to_numpy(), side["words"].to_numpy().view(np.uint64).reshape(-1, limbs)
+                if part != other and (tile, limbs) not in waiting:
+                    waiting[tile, limbs] = side
+                    continue
+                # a part's own tile gives each pair in both orders among its rows
+                first = side if part == other else waiting.pop((tile, limbs))
+                for rows, counts in zip((first, side)[: 1 + (part != other)], _clones(first, side, bounds), strict=False):
+                    within = np.diff(counts, axis=0, prepend=0)
+                    yield pa.RecordBatch.from_pydict({"_row": rows["_row"]} | {name: pa.array(n) for name, n in zip(names, within, strict=True)})
+
+    schema = ", ".join(["_row bigint", *(f"{name} bigint" for name in names)])
+    found = tiles.repartitionById(many * (many + 1) // 2, F.col("_tile")).mapInArrow(met, schema)
+    counts = found.groupBy("_row").agg(*(F.sum(name).alias(name) for name in names))
+    classes = once.groupBy("words").agg(F.min("_least").alias("class_id"))
+    known = once.join(counts, "_row").join(classes, "words").select(F.col("words").alias("_words"), F.col("source").alias("_source"), "class_id", *names)
+    each = usable.join(known, (F.col("words") == F.col("_words")) & F.col("source").eqNullSafe(F.col("_source")))
+    return each.groupBy("id").agg(F.min("class_id").alias("class_id"), *(F.sum(name).alias(name) for name in names))
 
 
 def routed(neighbours: DataFrame, history: DataFrame, current: Column, queries: DataFrame, least: int = 3) -> DataFrame:

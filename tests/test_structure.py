@@ -7,9 +7,12 @@ import random
 import re
 import statistics as st
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions import fingerprints
 from siltstone.functions import symbols as sy
 from siltstone.operators import evaluation, graph, nearest, resampling, segments, symbols
 from siltstone.operators import statistics as stats
@@ -123,6 +126,55 @@ def test_every_clone_is_counted(spark, monkeypatch):
         assert got[i] == (first, sum(d <= 2 for d in apart), sum(2 < d <= 8 for d in apart), sum(8 < d <= 16 for d in apart))
 
 
+def test_word_sums_of_long_and_odd_texts(spark, monkeypatch):
+    """A text's words are summed a few at a time and rows of one key together; white space is as in the regular expression."""
+    r = random.Random(4)
+    long = " ".join(r.choices(["a", "B", "Ä", "ß", "x_1"], k=1500))
+    rows = [(1, "a\tb"), (1, "c\r\n\fD  a"), (1, None), (2, long), (3, "\x0ba \x0b\u00a0 b\u2028c"), (4, "\n"), (None, "x y"), (None, "z")]
+    texts = {}
+    for k, t in rows:
+        texts[k] = f"{texts.get(k, '')} {t or ''}"
+    monkeypatch.setattr(fingerprints, "SUMMED_WORDS", 700)
+    for bits in (64, 256):
+        got = {x["k"]: x["words"] for x in nearest.wide_fingerprints(spark.createDataFrame(rows, "k int, t string"), "k", "t", bits).collect()}
+        assert got == {k: plain_fingerprint(t, bits) for k, t in texts.items()}
+    digests = fingerprints._digests(pa.array(["a", "b"]), "x", 1)
+    codes = np.array([0, 1, 1] * 400)
+    for summed in (100, 65_536):
+        monkeypatch.setattr(fingerprints, "SUMMED_WORDS", summed)
+        got = fingerprints._summed(digests, codes, np.array([0] * 600 + [2] * 600), 3)
+        both = np.unpackbits(digests, axis=1).astype(int).T @ [200, 400]
+        assert (got == [both, np.zeros(64), both]).all()
+
+
+def test_clones_are_counted_tile_by_tile(spark, monkeypatch):
+    """Copies of a source, null sources, repeated ids and two widths give the counts of plain code, over many small tiles."""
+    r = random.Random(9)
+    monkeypatch.setattr(nearest, "TILE_ROWS", 20)
+    monkeypatch.setattr(nearest, "COLUMNS_AT_ONCE", 7)
+    monkeypatch.setattr(nearest, "ROWS_AT_ONCE", 4)
+    for wide in (1, 2):
+        base = [tuple(r.getrandbits(63) for _ in range(wide)) for _ in range(6)]
+        rows = []
+        for i in range(150):
+            words = list(r.choice(base))
+            for _ in range(r.choice([0, 0, 1, 3, 9])):
+                words[r.randrange(wide)] ^= 1 << r.randrange(63)
+            rows.append((i if i != 7 else 8, r.choice([None, "s", "t", f"u{i}"]), r.choice([3, 4]) if i % 20 == 0 else 9, words))
+        got = {x["id"]: tuple(x)[1:] for x in nearest.clone_links(spark.createDataFrame(rows, "id int, source string, tokens int, words array<long>")).collect()}
+        used = [row for row in rows if row[2] >= 4]
+        want = {}
+        for i, s, _, words in used:
+            far = [(sum((a ^ b).bit_count() for a, b in zip(words, other, strict=True)), s != o) for _, o, _, other in used]
+            own = min(j for j, _, _, other in used if other == words), *(sum(apart and low < d <= most for d, apart in far) for low, most in ((-1, 2), (2, 8), (8, 16)))
+            before = want.get(i)
+            want[i] = (min(before[0], own[0]), *(a + b for a, b in zip(before[1:], own[1:], strict=True))) if before else own
+        assert got == want
+    side = {"source": pa.array(["s"] * 30), "n": np.ones(30, np.int64), "words": np.zeros((30, 1), np.uint64)}
+    assert not any(x.any() for x in nearest._clones(side, side, [16]))
+    assert nearest.clone_links(spark.createDataFrame([], "id int, source string, tokens int, words array<long>")).count() == 0
+
+
 def test_routing_by_neighbours(spark):
     near = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4)], "query int, id int")
     history = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "b", True), (4, "a", False)], "id int, model string, success boolean")
