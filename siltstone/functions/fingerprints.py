@@ -50,7 +50,7 @@ def character_entropy(texts: pa.Array) -> pa.Array:
 TEXTS, SUMMED_WORDS, BYTE = 2048, 65_536, 255
 
 
-def _digests(words: pa.Array, domain: str, limbs: int) -> np.ndarray:
+def digests(words: pa.Array, domain: str, limbs: int) -> np.ndarray:
     """8 bytes for each limb of each word: the first of the MD5 of the domain, the word and the limb's number in 8 bytes."""
     _, offsets, data = words.cast(pa.string()).buffers()
     ends, raw = np.frombuffer(offsets, np.int32, len(words) + 1).tolist(), data.to_pybytes() if data else b""
@@ -95,7 +95,7 @@ def word_sums(text: Column, domain: str, limbs: int) -> Column:
             if empty >= 0:
                 kept = codes != empty
                 codes, text_of = codes[kept], text_of[kept]
-            sums = _summed(_digests(coded.dictionary, domain, limbs), codes, text_of, len(texts)).reshape(len(texts), limbs, 64)[:, :, ::-1]
+            sums = _summed(digests(coded.dictionary, domain, limbs), codes, text_of, len(texts)).reshape(len(texts), limbs, 64)[:, :, ::-1]
             return np.bincount(text_of, minlength=len(texts)).astype(np.int64), sums[:, :, :32] | sums[:, :, 32:] << 32
 
         for texts in batches:

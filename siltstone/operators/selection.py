@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.lineage import cut, in_tasks
+from siltstone.functions import grams
+from siltstone.operators.lineage import cut, in_tasks, new_folder
 
 
 def fractional_bound(items: DataFrame, group: str, key: str, value: str, weight: str, budget: float) -> DataFrame:
@@ -59,36 +67,90 @@ def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.orderBy(F.desc(F.abs("strength")), "a", "b").limit(k)
 
 
-#: A task counts about so many n-grams, which it holds in memory.
-TASK_GRAMS = 2_000_000
+#: A task counts about so many n-grams, which it holds in memory. Of more than PASS_GRAMS, a share is shuffled at a time, up to PASSES.
+TASK_GRAMS, PASS_GRAMS, PASSES = 4_000_000, 20_000_000, 4
+
+#: Spark's setting that removes what a query has shuffled once it is done.
+_REMOVE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ngram_redundancy(docs: DataFrame, key: str, words: Column, sizes: tuple[int, ...]) -> DataFrame:
     """(key, n, r2, r3, ...): the number of words, and for each size the share of a text's different n-grams that other texts have too; 0 without n-grams.
 
-    Texts are split once; n-grams are 64-bit hashes of their words' hashes. All sizes are
-    shuffled together, to as many tasks as there are n-grams for, and an n-gram of one text is
-    counted for that text straight from its group and never joined back. key is unique.
+    N-grams are 64-bit hashes of their words' hashes. A run of texts sends each of its n-grams once,
+    with the text's place if just one of them has it, to the task of its range of hashes, which
+    gives back how many each text has alone. Larger tables are read once for each of a few shares of
+    the hashes, and what a share has shuffled is removed when it is counted, so disk holds a share
+    at a time. key is unique.
     """
-    known = cut(docs.select(key, F.transform(words, lambda w: F.xxhash64(w)).alias("_w")))
-    count = F.size("_w")
-    longer, grams = {1: F.col("_w")}, {}
-    for size in range(2, max(sizes) + 1):
-        left = F.greatest(count - (size - 1), F.lit(0))
-        longer[size] = F.zip_with(F.slice(longer[size - 1], 1, left), F.slice("_w", size, left), lambda a, b: F.xxhash64(a, b))
-    for size in sizes:
-        grams[size] = F.array_distinct(longer[size]).alias(f"_g{size}")
-    each = known.select(key, *grams.values())
-    many = known.agg(F.sum(F.greatest(count, F.lit(0)))).first()[0] or 0
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-many * len(sizes) // TASK_GRAMS))
-    sized = lambda n: F.transform(f"_g{n}", lambda g: F.struct(F.lit(n).cast("byte").alias("_size"), g.alias("_gram")))
-    hashes = F.concat(*map(sized, sizes))
-    rows = each.select(key, F.explode(hashes).alias("_x")).select(key, "_x._size", "_x._gram").repartition(tasks, "_size", "_gram")
-    owners = rows.groupBy("_size", "_gram").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias(key)).filter("_n = 1")
-    alone = owners.groupBy(key).agg(*(F.count_if(F.col("_size") == n).alias(f"_a{n}") for n in sizes))
-    totals = known.select(key, count.alias("n"), *(F.size(g).alias(f"_t{n}") for n, g in grams.items()))
-    share = lambda n: F.when(F.col(f"_t{n}") > 0, 1 - F.coalesce(f"_a{n}", F.lit(0)) / F.col(f"_t{n}")).otherwise(F.lit(0.0))
-    return totals.join(alone, key, "left").select(key, "n", *(share(n).alias(f"r{n}") for n in sizes))
+    spark = docs.sparkSession
+    known = docs.select(F.col(key).alias("_key"), F.transform(words, lambda w: F.xxhash64(w)).alias("_w"))
+    many = (known.agg(F.sum(F.greatest(F.size("_w"), F.lit(0)))).first()[0] or 0) * len(sizes)
+    passes = max(1, min(PASSES, -(-many // PASS_GRAMS)))
+    shares = max(1, -(-max(many // TASK_GRAMS, spark.sparkContext.defaultParallelism) // (passes * len(sizes))))
+    tasks, kind = shares * len(sizes), known.schema["_key"].dataType.simpleString()
+
+    def sent(number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Rows for the tasks of the ranges of one pass: a run's hashes and texts; and a row of the run's keys, words and different n-grams."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counter = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                low = 0
+                for some in grams.slices(batch.column("_w")):
+                    totals, found = grams.hashed(some, sizes)
+                    totals, rows = [totals.astype(np.int64)], []
+                    for i, (hashes, text_of) in enumerate(found):
+                        kept = grams.share(hashes, shares * passes) % passes == number
+                        counts, hashes, text_of = grams.different(hashes[kept], text_of[kept], len(some))
+                        totals.append(counts.astype(np.int64))
+                        ends = np.searchsorted(grams.share(hashes, shares * passes) // passes, np.arange(shares + 1))
+                        rows += [(i * shares + s, i, hashes[a:b].tobytes(), text_of[a:b].tobytes()) for s, (a, b) in enumerate(pairwise(ends.tolist())) if b > a]
+                    task, size, data, texts = ([row[c] for row in rows] for c in range(4))
+                    task, size = [*task, counter % tasks], [*size, -1]
+                    data, texts = [*data, b"".join(x.tobytes() for x in totals)], [*texts, b""]
+                    keys = pa.array([None] * len(rows) + [batch.column("_key")[low : low + len(some)].to_pylist()], pa.list_(batch.schema.field("_key").type))
+                    yield pa.RecordBatch.from_pydict({"_task": pa.array(task, pa.int32()), "_run": pa.array([counter] * len(task), pa.int64()), "_size": pa.array(size, pa.int32()), "_data": pa.array(data, pa.binary()), "_texts": pa.array(texts, pa.binary()), "_keys": keys})
+                    low, counter = low + len(some), counter + 1
+
+        return run
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            head = pc.equal(batch.column("_size"), -1)
+            yield batch.filter(head).select(["_run", "_size", "_data", "_keys"])
+            for r in batch.filter(pc.invert(head)).select(["_run", "_size", "_data", "_texts"]).to_pylist():
+                held.append((r["_run"], r["_size"], np.frombuffer(r["_data"], np.uint64), np.frombuffer(r["_texts"], np.uint16)))
+        if held:
+            counts = [x.astype(np.int32).tobytes() for x in grams.alone([h for *_, h, _ in held], [t for *_, t in held])]
+            runs, size = pa.array([r for r, *_ in held], pa.int64()), pa.array([s for _, s, *_ in held], pa.int32())
+            yield pa.RecordBatch.from_pydict({"_run": runs, "_size": size, "_data": pa.array(counts, pa.binary()), "_keys": pa.nulls(len(held), batch.schema.field("_keys").type)})
+
+    def summed(rows: pa.Table) -> pa.Table:
+        head = rows.filter(pc.equal(rows["_size"], -1))
+        keys = head["_keys"].combine_chunks().flatten()
+        totals = np.frombuffer(head["_data"][0].as_py(), np.int64).reshape(-1, len(keys))
+        single = np.zeros((len(sizes), len(keys)), np.int64)
+        for size, data in zip(rows["_size"].to_pylist(), rows["_data"].to_pylist(), strict=True):
+            if size >= 0:
+                x = np.frombuffer(data, np.int32)
+                single[size, : len(x)] += x
+        return pa.table({"_key": keys, "n": totals[0]} | {f"_t{n}": totals[i + 1] for i, n in enumerate(sizes)} | {f"_a{n}": single[i] for i, n in enumerate(sizes)})
+
+    numbers = ", ".join(f"{c}{n} bigint" for c in ("_t", "_a") for n in sizes)
+    before, folder = spark.conf.get(_REMOVE), new_folder(spark, "grams")
+    spark.conf.set(_REMOVE, "true")
+    try:
+        for number in range(passes):
+            dealt = known.mapInArrow(sent(number), f"_task int, _run bigint, _size int, _data binary, _texts binary, _keys array<{kind}>").repartitionById(tasks, F.col("_task"))
+            counts = dealt.drop("_task").mapInArrow(counted, f"_run bigint, _size int, _data binary, _keys array<{kind}>")
+            counts.groupBy("_run").applyInArrow(summed, f"_key {kind}, n bigint, {numbers}").write.parquet(f"{folder}/pass={number}")
+    finally:
+        spark.conf.set(_REMOVE, before)
+    put = spark.read.parquet(*(f"{folder}/pass={number}" for number in range(passes))).groupBy("_key").agg(F.max("n").cast("int").alias("n"), *(F.sum(f"{c}{n}").alias(f"{c}{n}") for c in ("_t", "_a") for n in sizes))
+    share = lambda n: F.when(F.col(f"_t{n}") > 0, 1 - F.col(f"_a{n}") / F.col(f"_t{n}")).otherwise(F.lit(0.0))
+    return put.select(F.col("_key").alias(key), "n", *(share(n).alias(f"r{n}") for n in sizes))
 
 
 def greedy_fill(items: DataFrame, group: str, key: str, value: str, weight: str, budget: int, skip_worthless: bool = False) -> DataFrame:

@@ -4,14 +4,17 @@ import hashlib
 import math
 import os
 import random
+import time
 import unicodedata
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import claims, code, fingerprints, routing, signals
+from siltstone.functions import claims, code, fingerprints, grams, routing, signals
 from siltstone.functions import text as tx
 from siltstone.operators import blocks, graph, ledger, selection, statistics
 from siltstone.plans import queries
@@ -199,6 +202,47 @@ def test_shares_of_ngrams_of_several_sizes(spark, monkeypatch):
         assert got[k] == (len(w), *(pytest.approx(len(a & b) / len(a)) if a else 0.0 for a, b in zip(own, rest, strict=True)))
 
 
+def test_ngrams_are_shuffled_a_share_at_a_time(spark, monkeypatch):
+    """Several passes give the counts of one and of plain code; an n-gram that many texts of a run have is sent once."""
+    r = random.Random(6)
+    texts = [*(" ".join(r.choices("abcdefgh", k=r.randint(0, 30))) for _ in range(90)), None, "", "a", *["one long text of copies"] * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(2)
+    found = lambda: {x["k"]: tuple(x)[1:] for x in selection.ngram_redundancy(docs, "k", claims.tokens(F.col("t")), (1, 3, 4)).collect()}
+    one = found()
+    monkeypatch.setattr(selection, "TASK_GRAMS", 40)
+    monkeypatch.setattr(selection, "PASS_GRAMS", 100)
+    setting = spark.conf.get(selection._REMOVE)
+    assert found() == one and spark.conf.get(selection._REMOVE) == setting
+    words = [(t or "").split() for t in texts]
+    sets = {n: [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in words] for n in (1, 3, 4)}
+    for k, w in enumerate(words):
+        rest = {n: set().union(*(x for j, x in enumerate(own) if j != k)) for n, own in sets.items()}
+        assert one[k] == (len(w), *(pytest.approx(len(own[k] & rest[n]) / len(own[k])) if own[k] else 0.0 for n, own in sets.items()))
+    hashes = pa.array([[1, 2, 3], [1, 2], None, [], [4] * 9], pa.list_(pa.int64()))
+    monkeypatch.setattr(grams, "WORDS", 4)
+    assert [len(x) for x in grams.slices(hashes)] == [1, 3, 1]
+    lengths, (pairs,) = grams.hashed(hashes, (2,))
+    counts, different, places = grams.different(*pairs, 5)
+    assert lengths.tolist() == [3, 2, 0, 0, 9] and counts.tolist() == [2, 1, 0, 0, 1]
+    assert len(different) == 3 and sorted(places.tolist()) == [0, 4, grams.SEVERAL]
+    last = different[places == 4]
+    assert [x.tolist() for x in grams.alone([different, last], [places, np.zeros(1, np.uint16)])] == [[1], []]
+
+
+def test_ngrams_leave_little_on_disk(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(str(r.getrandbits(40)) for _ in range(200)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    size = lambda: sum(os.lstat(f"{d}/{x}").st_size for top in folders for d, _, names in os.walk(top) for x in names if x.startswith("shuffle_") and os.path.exists(f"{d}/{x}"))
+    before = size()
+    assert all(x["r2"] == 0 for x in selection.ngram_redundancy(docs, "k", claims.tokens(F.col("t")), (2, 3, 4)).collect())
+    until = time.time() + 20  # Spark removes them meanwhile
+    while size() - before > 500_000 and time.time() < until:
+        time.sleep(0.5)
+    assert size() - before < 500_000  # of 178,800 n-grams of 8 bytes
+
+
 def test_character_shares_of_marks_among_letters(spark):
     r = random.Random(8)
     alphabet = "aZéǅ中9٣ \n\t  ·•" + routing.SEPARATORS + routing.PROGRESS + "_!\U0001f600"

@@ -138,7 +138,7 @@ def test_word_sums_of_long_and_odd_texts(spark, monkeypatch):
     for bits in (64, 256):
         got = {x["k"]: x["words"] for x in nearest.wide_fingerprints(spark.createDataFrame(rows, "k int, t string"), "k", "t", bits).collect()}
         assert got == {k: plain_fingerprint(t, bits) for k, t in texts.items()}
-    digests = fingerprints._digests(pa.array(["a", "b"]), "x", 1)
+    digests = fingerprints.digests(pa.array(["a", "b"]), "x", 1)
     codes = np.array([0, 1, 1] * 400)
     for summed in (100, 65_536):
         monkeypatch.setattr(fingerprints, "SUMMED_WORDS", summed)
